@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import exact_topk, mixing, packing
+from quillon.llm import exact_topk, jaccard, mixing, packing, toxicity
 from quillon.session import table
 
 SEED = 20
@@ -17,6 +17,33 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"), n=4, percent=85)
+
+
+#: The same join in SQL: shingle sets, overlaps of pairs that share a shingle, then the smallest id reached.
+OP3_SQL = """
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+         ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS s FROM words
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), met AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY ALL
+), links AS MATERIALIZED (
+  SELECT a, b FROM met JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE 100 * common >= 85 * (p.n + q.n - common)
+), reach AS (
+  SELECT doc_id, doc_id AS seen FROM documents
+  UNION
+  SELECT reach.doc_id, links.b FROM reach JOIN links ON links.a = reach.seen
+)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, least(d.doc_id, min(seen)) AS component_id
+FROM documents d LEFT JOIN sizes USING (doc_id) LEFT JOIN reach ON reach.doc_id = d.doc_id GROUP BY d.doc_id, n
+"""
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     mixed = mixing.sample(docs, mixing.words(F.col("text")), seed=SEED)
@@ -68,8 +95,21 @@ WITH v AS (
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
-_QUERIES = {"op1_packing": op1_packing, "op8_mixing": op8_mixing, "op10_exact_topk": op10_exact_topk}
-_SQL = {"op8_mixing": OP8_SQL, "op10_exact_topk": OP10_SQL}
+def learnable(doc_id) -> object:
+    """Rows that may be learned from: crc32 of the id as text is not divisible by five."""
+    return F.crc32(doc_id.cast("string")) % 5 != 0
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), learnable(F.col("doc_id")))
+    scored = toxicity.score(docs, model)
+    held_out = F.coalesce(~learnable(F.col("doc_id")), F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
+_QUERIES = {"op1_packing": op1_packing, "op3_jaccard_join": op3_jaccard_join, "op8_mixing": op8_mixing, "op9_toxicity": op9_toxicity, "op10_exact_topk": op10_exact_topk}
+_SQL = {"op3_jaccard_join": OP3_SQL, "op8_mixing": OP8_SQL, "op10_exact_topk": OP10_SQL}
 
 
 def queries() -> dict:
