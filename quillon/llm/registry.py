@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import exact_topk, jaccard, mixing, packing, toxicity
+from quillon.llm import exact_topk, html, jaccard, mixing, packing, toxicity
 from quillon.session import table
 
 SEED = 20
@@ -44,6 +44,10 @@ FROM documents d LEFT JOIN sizes USING (doc_id) LEFT JOIN reach ON reach.doc_id
 """
 
 
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     mixed = mixing.sample(docs, mixing.words(F.col("text")), seed=SEED)
@@ -108,7 +112,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
-_QUERIES = {"op1_packing": op1_packing, "op3_jaccard_join": op3_jaccard_join, "op8_mixing": op8_mixing, "op9_toxicity": op9_toxicity, "op10_exact_topk": op10_exact_topk}
+_QUERIES = {"op1_packing": op1_packing, "op3_jaccard_join": op3_jaccard_join, "op4_html": op4_html, "op8_mixing": op8_mixing, "op9_toxicity": op9_toxicity, "op10_exact_topk": op10_exact_topk}
 _SQL = {"op3_jaccard_join": OP3_SQL, "op8_mixing": OP8_SQL, "op10_exact_topk": OP10_SQL}
 
 
