@@ -86,13 +86,13 @@ def _segments(data: np.ndarray) -> Iterator[tuple[int, int]]:
         at = end
 
 
-def word_hashes(column: pa.Array, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of every word in order, index of each text's first word and the end)."""
+def word_spans(column: pa.Array, fold: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, first byte, end byte of every word in order; index of each text's first word and the end)."""
     data, offsets = string_bytes(column)
     table = _FOLDED if fold else _BYTE
     first = np.zeros(len(data) + 1, bool)
     first[offsets] = True
-    hashes, starts = [], []
+    hashes, starts, ends = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for a, b in _segments(data):
         part = data[a:b]
         solid = ~SPACE[part]
@@ -107,9 +107,30 @@ def word_hashes(column: pa.Array, fold: bool = True) -> tuple[np.ndarray, np.nda
         s, e = np.flatnonzero(solid & left), np.flatnonzero(solid & right) + 1
         hashes.append(span_hashes(part, s, e, table))
         starts.append(s + a)
-    if not hashes:
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    return np.concatenate(hashes), np.searchsorted(np.concatenate(starts), offsets).astype(np.int64)
+        ends.append(e + a)
+    start = np.concatenate(starts)
+    return np.concatenate(hashes), start, np.concatenate(ends), np.searchsorted(start, offsets).astype(np.int64)
+
+
+def word_hashes(column: pa.Array, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of every word in order, index of each text's first word and the end)."""
+    hashes, _, _, first = word_spans(column, fold)
+    return hashes, first
+
+
+def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each run values[start:end]; a run depends on the order of its values."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    powers = np.full(len(values) + 1, _BASE, np.uint64)
+    powers[0] = 1
+    powers = np.multiply.accumulate(powers)
+    inverse = np.full(len(values) + 1, _INVERSE, np.uint64)
+    inverse[0] = 1
+    inverse = np.multiply.accumulate(inverse)
+    total = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * powers[:-1], out=total[1:])
+    return splitmix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
 
 def sub_batches(batch: pa.RecordBatch, column: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:

@@ -10,11 +10,15 @@ counted over lists), pairs whose count cannot reach T any more are dropped, and
 the long lists of the rest are probed by binary search in the partner's set.
 
 Hot lists: texts with equal sets are collapsed first, so copies make one
-posting. In a list of a shingle that at least ``often`` documents hold, each
-document meets its neighbour and the first of the list only; after the links
-found so far are joined to components, those lists are read again and only
-documents of different components meet, so no link between components is lost
-and a group of thousands of near copies does not emit its pairs.
+posting. Lists of shingles that fewer than ``often`` documents hold give all
+their pairs. In the others each document meets its neighbour and the head of
+its list only, by sizes that may link; the head is the document with the most
+frequent shingles, as a rule the text that others were copied from. The links
+found so far make components. What is left are pairs of different components
+that share no short infrequent list: they need all of T's short part from
+frequent lists, which each of the two must have in its own prefix and, by
+counts per list and size, some partner too. Only such documents meet again, so
+no link is lost and a group of thousands of near copies does not emit its pairs.
 
 Sizes: what is broadcast is the set of frequent shingles, at most ``most_often``
 of them by choice of ``often`` (8 bytes each), and a 16 MB filter of the
@@ -169,52 +173,46 @@ def _need(percent: int, x, y, x_often, y_often):
 
 
 def _list_pairs(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Reads postings sorted by (shingle, n, doc_id); a list of an infrequent shingle gives its pairs, others a chain and a star."""
+    """Reads sorted postings; a list of an infrequent shingle gives its pairs, one of a frequent shingle and size a chain and a star."""
 
     def emit(n: np.ndarray, doc: np.ndarray, often: np.ndarray, i: np.ndarray, j: np.ndarray, star: int) -> pa.RecordBatch:
-        fits = (n[j] * percent <= n[i] * 100) & (doc[i] != doc[j])
+        fits = (np.maximum(n[i], n[j]) * percent <= np.minimum(n[i], n[j]) * 100) & (doc[i] != doc[j])
         i, j = i[fits], j[fits]
         need = _need(percent, n[i], n[j], often[i], often[j])
         a, b = np.minimum(doc[i], doc[j]), np.maximum(doc[i], doc[j])
         return _record("a b light need star", pa.array(a), pa.array(b), pa.array(np.full(len(a), 1 - star, np.int32)), pa.array(need.astype(np.int32)), pa.array(np.full(len(a), star, np.int32)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carry: pa.RecordBatch | None = None
-        first: tuple | None = None  # of a frequent list that runs on: its key, head and last posting
+        carry: list[np.ndarray] | None = None
         for batch in batches:
             columns = [np.asarray(c) for c in batch.columns]
             if carry is not None:
                 columns = [np.concatenate([a, b]) for a, b in zip(carry, columns, strict=True)]
-            shingle, large, frequent, n, doc, often = columns
-            n = n.astype(np.int64)
-            new = np.empty(len(shingle), bool)
-            new[:1] = True
-            new[1:] = (shingle[1:] != shingle[:-1]) | (large[1:] != large[:-1])
+            new = np.ones(len(columns[0]), bool)
+            new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns[:3]])
             starts = np.flatnonzero(new)
-            # the last list may go on; if it is a plain one it waits whole (it is short), a frequent one by its head and last posting
             cut = int(starts[-1]) if len(starts) else 0
-            yield from self_pairs(shingle, large, frequent, n, doc, often, starts[:-1], cut, first)
-            first = None
-            rest = [c[cut:] for c in columns]
-            if len(rest[0]) > 2 and rest[2][0]:
-                yield from self_pairs(*rest[:3], rest[3].astype(np.int64), *rest[4:], np.zeros(1, np.int64), len(rest[0]), None)
-                rest = [c[[0, -1]] for c in rest]
-            carry = rest
+            yield from lists(columns, starts[:-1], cut)
+            # the last list may go on: a plain one waits whole (it is short), a frequent one by its head and last posting
+            carry = [c[cut:] for c in columns]
+            if len(carry[0]) > 2 and carry[3][0]:
+                yield from lists(carry, np.zeros(1, np.int64), len(carry[0]))
+                carry = [c[[0, -1]] for c in carry]
         if carry is not None and len(carry[0]):
-            yield from self_pairs(*carry[:3], carry[3].astype(np.int64), *carry[4:], np.zeros(1, np.int64), len(carry[0]), None)
+            yield from lists(carry, np.zeros(1, np.int64), len(carry[0]))
 
-    def self_pairs(shingle, large, frequent, n, doc, often, starts, end, _) -> Iterator[pa.RecordBatch]:
+    def lists(columns: list[np.ndarray], starts: np.ndarray, end: int) -> Iterator[pa.RecordBatch]:
         if not len(starts):
             return
+        frequent, n, doc, often = columns[3], columns[4].astype(np.int64), columns[5], columns[6]
         lengths = np.diff(np.append(starts, end))
         hot = frequent[starts].astype(bool)
         own, count = starts[hot], lengths[hot]
         own, count = own[count > 1], count[count > 1]
         if len(own):
             index = np.repeat(own, count - 1) + _within(count - 1) + 1
-            head = np.repeat(own, count - 1)
             yield emit(n, doc, often, index - 1, index, 1)
-            yield emit(n, doc, often, head, index, 1)
+            yield emit(n, doc, often, np.repeat(own, count - 1), index, 1)
         own, count = starts[~hot], lengths[~hot]
         for m in np.unique(count[count > 1]).tolist():
             rows = own[count == m]
@@ -289,20 +287,25 @@ def _links(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame
 
 
 def _cross_pairs(postings: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components in the lists of frequent shingles, that can still reach the overlap."""
+    """Pairs of different components that share no infrequent short list and may still reach the overlap by frequent ones."""
     hot = postings.where("frequent = 1").join(labels, postings.doc_id == labels.vertex, "left")
-    hot = hot.select("shingle", "large", "n", "doc_id", F.col("light"), F.coalesce("root", "doc_id").alias("label"))
-    counts = hot.groupBy("shingle", "large", "label").count()
-    main = counts.groupBy("shingle", "large").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.count("*").alias("k")).where("k > 1").drop("k")
-    some = hot.join(main, ["shingle", "large"])
-    x, y = some.where("label <> main").alias("x"), some.alias("y")
-    near = (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent) & (F.col("x.label") != F.col("y.label"))
-    once = (F.col("y.label") == F.col("y.main")) | (F.col("x.doc_id") < F.col("y.doc_id"))
-    total = F.ceil(percent * (F.col("x.n") + F.col("y.n")) / (100 + percent) - 1e-9)
-    rest = F.ceil(F.greatest("x.n", "y.n") * percent / 100 - 1e-9) - 1
-    need = total - rest - F.least("x.light", "y.light")
-    met = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.large") == F.col("y.large")) & near & once)
-    met = met.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b"), need.alias("need"))
+    hot = hot.select("shingle", "large", "n", "doc_id", "often", F.coalesce("root", "doc_id").alias("label"))
+
+    def need(x, y):
+        total = F.ceil(percent * (x + y) / (100 + percent) - 1e-9)
+        return total - F.ceil(F.greatest(x, y) * percent / 100 - 1e-9) + 1
+
+    near = F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent
+    same = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.large") == F.col("y.large"))
+    # per list and size: may any document of that size be a partner?
+    sizes = hot.groupBy("shingle", "large", "n").agg(F.max("often").alias("often"), F.min("label").alias("low"), F.max("label").alias("high"))
+    other = (F.col("y.low") != F.col("x.label")) | (F.col("y.high") != F.col("x.label"))
+    able = hot.alias("x").join(sizes.alias("y"), same & near & other & (need(F.col("x.n"), F.col("y.n")) <= F.least("x.often", "y.often")))
+    able = able.select("x.*", F.col("y.n").alias("size"))
+    met = able.alias("x").join(
+        hot.alias("y"),
+        same & (F.col("x.size") == F.col("y.n")) & (F.col("x.label") != F.col("y.label")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (need(F.col("x.n"), F.col("y.n")) <= F.col("y.often")),
+    ).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"), need(F.col("x.n"), F.col("y.n")).alias("need"))
     return met.groupBy("a", "b").agg(F.count("*").alias("n"), F.min("need").alias("need")).where("n >= need").select("a", "b")
 
 
@@ -323,17 +326,19 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, often: int =
                 lists = batch.column(name)
                 counts = np.diff(np.asarray(lists.offsets)).astype(np.int64)
                 shingles = np.asarray(lists.flatten())
+                frequent = _is_in(shingles.view(np.uint64), shared.value)
+                size = np.log(np.maximum(np.asarray(batch.column("n")), 1)) / np.log(1.2)
                 often = np.asarray(batch.column(f"{name}_often"))
                 yield _record(
-                    "shingle large frequent n doc_id often light",
-                    pa.array(shingles), pa.array(np.full(len(shingles), large, np.int8)), pa.array(_is_in(shingles.view(np.uint64), shared.value).astype(np.int8)),
+                    "shingle large size frequent n doc_id often light",
+                    pa.array(shingles), pa.array(np.full(len(shingles), large, np.int8)), pa.array(np.where(frequent, np.repeat(size, counts), 0).astype(np.int16)), pa.array(frequent.astype(np.int8)),
                     pa.array(np.repeat(np.asarray(batch.column("n")), counts)), pa.array(np.repeat(np.asarray(batch.column("doc_id")), counts)),
                     pa.array(np.repeat(often, counts)), pa.array(np.repeat(counts.astype(np.int32) - often, counts)),
                 )
 
-    postings = single.mapInArrow(post, "shingle long, large byte, frequent byte, n int, doc_id long, often int, light int")
-    ordered = postings.drop("light").repartition("shingle").sortWithinPartitions("shingle", "large", "n", "doc_id")
-    met = ordered.select("shingle", "large", "frequent", "n", "doc_id", "often").mapInArrow(_list_pairs(percent), PAIRS)
+    postings = single.mapInArrow(post, "shingle long, large byte, size short, frequent byte, n int, doc_id long, often int, light int")
+    ordered = postings.repartition("shingle").sortWithinPartitions("shingle", "large", "size", "light", "n", "doc_id")
+    met = ordered.drop("light").mapInArrow(_list_pairs(percent), PAIRS)
     pairs = met.groupBy("a", "b").agg(F.sum("light").alias("light"), F.min("need").alias("need"), F.max("star").alias("star")).where("star = 1 OR light >= need")
     tried = durable(pairs.select("a", "b"))
     links = durable(_links(docs, tried, n, percent))
