@@ -48,14 +48,22 @@ def _power(base: np.uint64, n: int) -> np.ndarray:
     return have[:n]
 
 
+class Spans:
+    """Hashes of stretches of one array of codes; table: a random value per code."""
+
+    def __init__(self, codes: np.ndarray, table: np.ndarray):
+        self.total = np.zeros(len(codes) + 1, np.uint64)
+        np.cumsum(table[codes] * _power(_BASE, len(codes)), out=self.total[1:])
+        self.inverse = _power(_INVERSE, len(codes) + 1)
+
+    def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        spans = (self.total[ends] - self.total[starts]) * self.inverse[starts]
+        return splitmix(spans + (ends - starts).astype(np.uint64) * _ODD)
+
+
 def span_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of ``codes``; table: a random value per code."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    total = np.zeros(len(codes) + 1, np.uint64)
-    np.cumsum(table[codes] * _power(_BASE, len(codes)), out=total[1:])
-    spans = (total[ends] - total[starts]) * _power(_INVERSE, len(codes) + 1)[starts]
-    return splitmix(spans + (ends - starts).astype(np.uint64) * _ODD)
+    """A 64-bit hash of each span of ``codes``."""
+    return Spans(codes, table).hashes(starts, ends) if len(starts) else np.zeros(0, np.uint64)
 
 
 def string_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

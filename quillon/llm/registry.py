@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import exact_topk, html, jaccard, mixing, packing, toxicity
+from quillon.llm import ann, exact_topk, html, jaccard, line_dedup, lm_score, mixing, packing, substring_dedup, toxicity
 from quillon.session import table
 
 SEED = 20
@@ -17,6 +17,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"), n=4, percent=85)
 
@@ -48,6 +52,19 @@ def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup(table(spark, sf_dir, "documents")).select("doc_id", "text", "removed")
+
+
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = table(spark, sf_dir, "labels").where("quality = 1")
+    return lm_score.score(table(spark, sf_dir, "documents"), good)
+
+
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup(table(spark, sf_dir, "documents")).select("doc_id", "text", "removed", "kept")
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     mixed = mixing.sample(docs, mixing.words(F.col("text")), seed=SEED)
@@ -112,7 +129,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
-_QUERIES = {"op1_packing": op1_packing, "op3_jaccard_join": op3_jaccard_join, "op4_html": op4_html, "op8_mixing": op8_mixing, "op9_toxicity": op9_toxicity, "op10_exact_topk": op10_exact_topk}
+_QUERIES = {"op1_packing": op1_packing, "op2_ann": op2_ann, "op3_jaccard_join": op3_jaccard_join, "op4_html": op4_html, "op5_line_dedup": op5_line_dedup, "op6_lm_score": op6_lm_score, "op7_substring_dedup": op7_substring_dedup, "op8_mixing": op8_mixing, "op9_toxicity": op9_toxicity, "op10_exact_topk": op10_exact_topk}
 _SQL = {"op3_jaccard_join": OP3_SQL, "op8_mixing": OP8_SQL, "op10_exact_topk": OP10_SQL}
 
 

@@ -2,14 +2,16 @@
 
 A text is a TF-IDF vector over words and word beginnings (``PREFIXES`` bytes)
 that the labelled examples show to be tied to label 1 (log-likelihood ratio of
-at least ``least_ratio``). Similarity is the exact cosine. The examples stand
+at least ``least_ratio``, and ``least_lift`` times the rate of the other label, as
+longer texts hold more of every common word). Similarity is the exact cosine. The examples stand
 in blocks; each feature knows the largest weight it has in each block, which
 bounds what any example of the block can score, so blocks are scored in order
 of their bound until the bound falls under the k-th best (block-max index).
 The ``k`` nearest vote, weighted by similarity and by how often their class was
 sampled; a logistic curve fitted to the leave-one-out votes of the examples
 turns votes into probabilities. Texts without any such feature get the rate of
-label 1 among examples without one.
+label 1 among examples without one. Near copies among the examples count once,
+else the words of one often copied text would look tied to its label.
 
 The model is fitted on a bounded sample of the labelled rows: at most
 ``examples`` of each label, those with the smallest hash of their id. All texts
@@ -31,11 +33,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm._arrow import _FOLDED, SEGMENT, list_column, span_hashes, string_bytes, sub_batches
+from quillon.llm._arrow import _FOLDED, Spans, list_column, splitmix, string_bytes, sub_batches
+from quillon.llm.jaccard import shingle_sets
 
 PREFIXES = (3, 4, 5, 6)
 BLOCK = 32
 GATE = 1 << 20
+#: Bytes at a time; small enough for the processor's cache.
+FEATURE_SEGMENT = 1 << 18
 SCORED = "doc_id long, score double, evidence array<struct<doc_id: long, similarity: double, label: int>>"
 
 _LETTER = np.zeros(256, bool)
@@ -43,13 +48,13 @@ _LETTER[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80
 
 
 def features(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(text number, feature hash) arrays: every word (letters, digits and non-ASCII bytes) and its beginnings."""
+    """(byte position, feature hash) arrays: every word (letters, digits and non-ASCII bytes) and its beginnings."""
     data, offsets = string_bytes(column)
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
     at = 0
     while at < len(data):
-        end = min(at + SEGMENT, len(data))
+        end = min(at + FEATURE_SEGMENT, len(data))
         while end < len(data) and _LETTER[data[end - 1]] and _LETTER[data[end]] and not edge[end]:
             end += 1
         part = data[at:end]
@@ -59,15 +64,19 @@ def features(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         left[1:] |= ~solid[:-1]
         right[:-1] |= ~solid[1:]
         starts, ends = np.flatnonzero(solid & left), np.flatnonzero(solid & right) + 1
-        text = np.searchsorted(offsets, starts + at, side="right") - 1
-        yield text, span_hashes(part, starts, ends, _FOLDED)
+        spans = Spans(part, _FOLDED)
+        yield starts + at, spans.hashes(starts, ends)
         for n in PREFIXES:
-            longer = ends - starts > n
+            longer = starts[ends - starts > n]
             # a beginning differs from a word of the same letters
-            yield text[longer], span_hashes(part, starts[longer], starts[longer] + n, _FOLDED) ^ np.uint64(n)
+            yield longer + at, spans.hashes(longer, longer + n) ^ np.uint64(n)
         at = end
 
 
+def text_of(positions: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    return np.searchsorted(offsets, positions, side="right") - 1
+
+
 def _log_likelihood(a: Column, b: Column, n1: int, n0: int) -> Column:
     """Twice the log-likelihood ratio of a of n1 and b of n0 holding a feature."""
     rate = (a + b) / F.lit(n1 + n0)
@@ -102,8 +111,8 @@ class Model:
 
     def vectors(self, column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
         """(feature numbers, weights of length 1) of each text."""
-        found = [(text[at], number) for text, hashes in features(column) for at, number in [self.known(hashes)]]
-        text = np.concatenate([x for x, _ in found]) if found else np.zeros(0, np.int64)
+        found = [(place[at], number) for place, hashes in features(column) for at, number in [self.known(hashes)]]
+        text = text_of(np.concatenate([x for x, _ in found]) if found else np.zeros(0, np.int64), string_bytes(column)[1])
         number = np.concatenate([x for _, x in found]) if found else np.zeros(0, np.int64)
         cells, counts = np.unique(text * max(1, len(self.vocabulary)) + number, return_counts=True)
         text, number = np.divmod(cells, max(1, len(self.vocabulary)))
@@ -181,12 +190,35 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.slope * self.votes(rows, scores) + self.shift, -30, 30))))
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column, examples: int = 4000, features_kept: int = 20_000, least_ratio: float = 20.0, k: int = 15) -> Model:
+def _distinct(texts: DataFrame) -> set[int]:
+    """The ids of sampled texts, but one of near copies: texts that share the least of two hashes of their word triples."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in sub_batches(whole, "text"):
+                flat, counts = shingle_sets(batch.column("text"), 3)
+                least = [[], []]
+                for end, n in zip(np.cumsum(counts).tolist(), counts.tolist(), strict=True):
+                    own = flat[end - n : end]
+                    for kept, hashes in zip(least, (own, splitmix(own)), strict=True):
+                        kept.append(int(hashes.min().view(np.int64)) if n else None)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in least)], names=["doc_id", "one", "two"])
+
+    kept: list[dict] = [{}, {}]
+    rows = sorted(texts.mapInArrow(run, "doc_id long, one long, two long").collect())
+    return {r.doc_id for r in rows if r.one is None or {seen.setdefault(h, r.doc_id) for seen, h in zip(kept, (r.one, r.two), strict=True)} == {r.doc_id}}
+
+
+def fit(docs: DataFrame, labels: DataFrame, learn: Column, examples: int = 4000, features_kept: int = 20_000, least_ratio: float = 20.0, least_lift: float = 10.0, k: int = 15) -> Model:
     """Learn from the rows of ``labels`` (doc_id, toxic) for which ``learn`` holds."""
     known = labels.where(learn & F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     totals = dict(known.groupBy("toxic").count().collect())
     chosen = known.where("toxic = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(examples).union(known.where("toxic = 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(examples))
     picked = [(r["doc_id"], r["toxic"]) for r in chosen.collect()]
+    if picked:
+        sampled = docs.sparkSession.createDataFrame(picked, "learned long, toxic int")
+        single = _distinct(docs.select("doc_id", "text").join(F.broadcast(sampled), F.col("doc_id") == F.col("learned")))
+        picked = [(i, t) for i, t in picked if i in single]
     taken = {v: sum(t == v for _, t in picked) for v in (0, 1)}
     nothing = Model(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64), (1.0, 1.0), k)
     if not taken[0] or not taken[1]:
@@ -202,6 +234,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, examples: int = 4000,
                 if not found:
                     continue
                 text, hashes = (np.concatenate(x) for x in zip(*found, strict=True))
+                text = text_of(text, string_bytes(batch.column("text"))[1])
                 order = np.lexsort((text, hashes))
                 text, hashes = text[order], hashes[order]
                 once = np.ones(len(text), bool)
@@ -214,7 +247,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, examples: int = 4000,
 
     counts = texts.mapInArrow(count, "feature long, pos long, neg long").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).where("pos >= 4")
     ratio = _log_likelihood(F.col("pos"), F.col("neg"), taken[1], taken[0])
-    tied = counts.where(F.col("pos") * taken[0] > F.col("neg") * taken[1]).withColumn("ratio", ratio).where(F.col("ratio") >= least_ratio)
+    tied = counts.where(F.col("pos") * taken[0] > F.col("neg") * taken[1] * least_lift).withColumn("ratio", ratio).where(F.col("ratio") >= least_ratio)
     best = tied.orderBy(F.desc("ratio"), "feature").limit(features_kept).toArrow()
     vocabulary = np.asarray(best.column("feature").combine_chunks()).view(np.uint64)
     held = np.asarray(best.column("pos").combine_chunks()) + np.asarray(best.column("neg").combine_chunks())
@@ -259,3 +292,17 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64()), pa.array(evidence, kind)], names=["doc_id", "score", "evidence"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SCORED)
+
+
+def keep_clean(docs: DataFrame, model: Model, most: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that score under ``most``, in one narrow pass."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m: Model = shared.value
+        for whole in batches:
+            for batch in sub_batches(whole, "text"):
+                scores = [m.score(*m.nearest(*v)) if len(v[0]) else m.none for v in m.vectors(batch.column("text"))]
+                yield batch.filter(pa.array(np.array(scores) < most, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
