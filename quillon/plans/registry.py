@@ -2,20 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
-Query = Callable[[SparkSession, str], DataFrame]
+from quillon.plans import ledger_queries
 
 
-def queries() -> dict[str, Query]:
-    return {}
+def queries() -> dict[str, ledger_queries.Query]:
+    return dict(ledger_queries.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ledger_queries.SQL)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Every user's summary."""
+    return ledger_queries.QUERIES["agg_summary"](spark, sf_dir)
