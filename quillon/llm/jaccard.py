@@ -46,7 +46,8 @@ from quillon.session import durable
 PREFIXES = "doc_id long, n int, digest_1 long, digest_2 long, small array<long>, small_often int, large array<long>, large_often int"
 PAIRS = "a long, b long, light int, need int, star int"
 SETS = "doc_id long, shingles binary"
-#: Documents of more shingles count (and order by) a quarter of their shingles, those with small hashes.
+#: Documents of more shingles count a quarter of them, those with small hashes, which come first in their order; the rest
+#: is counted only for those that hold too few infrequent ones of small hash.
 SMALL = 160
 LOW = np.uint64(1 << 62)
 FILTER_BITS = 27
@@ -106,9 +107,9 @@ def _counted(docs: DataFrame, n: int, percent: int) -> DataFrame:
     return _by_text(docs, run, "shingle long, held long").groupBy("shingle").agg(F.sum("held").alias("held"))
 
 
-def _often(docs: DataFrame, n: int, percent: int, often: int, most_often: int) -> np.ndarray:
-    """The sorted hashes of the most frequent shingles, at most ``most_often``."""
-    frequent = durable(_counted(docs, n, percent).where(F.col("held") >= often))
+def _most_frequent(counted: DataFrame, often: int, most_often: int) -> np.ndarray:
+    """The sorted hashes of the most frequent shingles counted, at most ``most_often``."""
+    frequent = durable(counted.where(F.col("held") >= often))
     level = F.floor(F.log2("held")).cast("int")
     histogram = dict(frequent.groupBy(level.alias("level")).count().collect())
     total, least = 0, 64
@@ -121,6 +122,29 @@ def _often(docs: DataFrame, n: int, percent: int, often: int, most_often: int) -
     return np.sort(np.asarray(rows.column("shingle").combine_chunks()).astype(np.int64).view(np.uint64))
 
 
+def _rest_counted(docs: DataFrame, n: int, percent: int, often: np.ndarray) -> DataFrame:
+    """(shingle, held) of large hash, over the large documents that don't hold enough infrequent ones of small hash."""
+    shared = docs.sparkSession.sparkContext.broadcast(often)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        flat, counts = shingle_sets(batch.column("text"), n)
+        plain = (flat < LOW) & ~_is_in(flat, shared.value)
+        before = np.zeros(len(flat) + 1, np.int64)
+        np.cumsum(plain, out=before[1:])
+        ends = np.cumsum(counts)
+        few = (counts > SMALL) & (before[ends] - before[ends - counts] < counts - -(-percent * counts // 100) + 1)
+        shingles, held = np.unique(flat[np.repeat(few, counts) & (flat >= LOW)], return_counts=True)
+        return _record("shingle held", pa.array(shingles.view(np.int64)), pa.array(held.astype(np.int64)))
+
+    return _by_text(docs, run, "shingle long, held long").groupBy("shingle").agg(F.sum("held").alias("held"))
+
+
+def _often(docs: DataFrame, n: int, percent: int, often: int, most_often: int) -> np.ndarray:
+    """The sorted hashes of frequent shingles; at most twice ``most_often``."""
+    first = _most_frequent(_counted(docs, n, percent), often, most_often)
+    return np.union1d(first, _most_frequent(_rest_counted(docs, n, percent, first), often, most_often))
+
+
 def _is_in(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     if not len(ordered):
         return np.zeros(len(values), bool)
@@ -150,7 +174,7 @@ def _prefixes(docs: DataFrame, n: int, percent: int, often: np.ndarray) -> DataF
             for small in (True, False):
                 if count > reach if small else count <= SMALL:
                     continue
-                rank = f if small else np.where(flat[own] < LOW, f, 2)
+                rank = f if small else np.where(f, 2, flat[own] >= LOW)
                 take = np.argsort(rank, kind="stable")[:short]  # by rank, then by hash
                 prefixes[small].append(flat[own][take])
                 heavy[small][i] = f[take].sum()
