@@ -82,3 +82,26 @@ def large_transactions(ledger: DataFrame, peers: int = 6, least: float = 1000.0)
     stats = rest.withColumn("median", middle(F.col("xs")))
     stats = stats.withColumn("mad", middle(F.sort_array(F.transform("xs", lambda v: F.abs(v - F.col("median"))))))
     return stats.where((robust_z(F.col("x"), F.col("median"), F.col("mad")) >= 3.5) & (F.col("x") >= 2 * F.col("median"))).select("user_id", "id", "category", F.col("x").alias("amount"), F.col("median"))
+
+
+def unusual_days(ledger: DataFrame, reported: DataFrame, least: float = 1000.0) -> DataFrame:
+    """Days whose spending is 2.5 times the median of the user's other spending days and 3.5 robust deviations off.
+
+    A day with one purchase of 70 % of it in ``reported`` (user_id, id) is left
+    out. The leave-one-out median comes from the sorted totals of a user's days.
+    """
+    rows = ledger.where(spending()).select("user_id", "date", "id", F.col("amount").cast("double").alias("x"))
+    days = rows.groupBy("user_id", "date").agg(F.sum("x").alias("total"))
+    users = days.groupBy("user_id").agg(F.sort_array(F.collect_list("total")).alias("xs")).where(F.size("xs") >= 10)
+    at = F.array_position("xs", F.col("total"))
+    rest = days.where(F.col("total") >= 2 * least).join(users, "user_id").withColumn("xs", F.concat(F.slice("xs", F.lit(1), at - 1), F.slice("xs", at + 1, F.size("xs"))))
+
+    def middle(a: Column) -> Column:
+        n = F.size(a)
+        return (F.element_at(a, F.floor((n + 1) / 2).cast("int")) + F.element_at(a, F.floor(n / 2 + 1).cast("int"))) / 2
+
+    stats = rest.withColumn("median", middle(F.col("xs")))
+    stats = stats.withColumn("mad", middle(F.sort_array(F.transform("xs", lambda v: F.abs(v - F.col("median"))))))
+    unusual = stats.where((robust_z(F.col("total"), F.col("median"), F.col("mad")) >= 3.5) & (F.col("total") >= 2.5 * F.col("median"))).select("user_id", "date", "total", "median")
+    told = rows.join(reported, ["user_id", "id"], "left_semi").groupBy("user_id", "date").agg(F.max("x").alias("one"))
+    return unusual.join(told, ["user_id", "date"], "left").where(F.coalesce(F.col("one") < 0.7 * F.col("total"), F.lit(True))).drop("one")

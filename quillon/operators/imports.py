@@ -46,6 +46,32 @@ def lookalikes(incoming: DataFrame, existing: DataFrame) -> DataFrame:
     return counts.where("a = 1 AND b = 1").select("user_id", "incoming", "existing")
 
 
+def id_keys(*texts: Column) -> Column:
+    """Distinct runs of 10 to 20 digits in the texts, without leading zeros, of ten digits at least."""
+    runs = F.regexp_extract_all(F.concat_ws(" ", *texts), F.lit(r"(\d{10,20})"), F.lit(1))
+    return F.array_distinct(F.filter(F.transform(runs, lambda r: F.ltrim(r, F.lit("0"))), lambda r: F.length(r) >= 10))
+
+
+def shared_id_matches(incoming: DataFrame, existing: DataFrame) -> DataFrame:
+    """Rows (user_id, id, direction, amount, date, ids) of two sources that share an id: matched where they agree and are
+    at most two days apart, else potential; each row in one match, the surest and then nearest first.
+
+    Ids are exploded and meet in an equi-join. The choice is mutual: a pair
+    stays if it is the best of both its rows, so no order of rows matters.
+    """
+    def exploded(frame: DataFrame, name: str) -> DataFrame:
+        return frame.select("user_id", F.explode("ids").alias("key"), F.struct("id", "direction", "amount", "date").alias(name))
+
+    met = exploded(incoming, "a").join(exploded(existing, "b"), ["user_id", "key"]).select("user_id", "a", "b").distinct()
+    gap = F.abs(F.datediff("a.date", "b.date"))
+    agree = (F.col("a.direction") == F.col("b.direction")) & (F.col("a.amount") == F.col("b.amount")) & (gap <= 2)
+    rated = met.withColumn("confidence", F.when(agree & (gap <= 1), 0.99).when(agree, 0.95).otherwise(0.5)).withColumn("gap", gap)
+    order = (F.desc("confidence"), "gap", "a.id", "b.id")
+    best = rated.withColumns({"x": F.row_number().over(Window.partitionBy("user_id", "a.id").orderBy(*order)), "y": F.row_number().over(Window.partitionBy("user_id", "b.id").orderBy(*order))})
+    status = F.when(F.col("confidence") > 0.5, "matched").otherwise("potential")
+    return best.where("x = 1 AND y = 1").select("user_id", F.col("a.id").alias("incoming"), F.col("b.id").alias("existing"), status.alias("status"), "confidence")
+
+
 def reconcile(rows: DataFrame, printed: DataFrame, keys: list[str]) -> DataFrame:
     """Counts, totals and closing balance of a statement against what it prints (tolerance 0.011)."""
     sums = rows.groupBy(*keys).agg(F.count_if(debit()).alias("debits"), F.count_if(credit()).alias("credits"), total(F.col("amount"), debit()).alias("debit"), total(F.col("amount"), credit()).alias("credit"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions import expressions as X
-from quillon.operators import aggregates, anomalies, balance, compare, explorer, imports, planning, recurring, refunds
+from quillon.operators import aggregates, anomalies, balance, classify, compare, explorer, imports, planning, recurring, refunds
 from quillon.session import table
 from quillon.sources import ledger as sources
 
@@ -250,3 +250,34 @@ def budget_variance(spark: SparkSession, d: str) -> DataFrame:
 )
 def text_keys(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", X.merchant_key(F.col("p_brand")).alias("merchant"), X.narration_key(F.col("p_type")).alias("narration"))
+
+
+def _classify_sql() -> str:
+    """The same rules as one CASE, made from the rule tables."""
+    key = "substr(regexp_replace(upper(merchant), '[^A-Z0-9]+', '', 'g'), 1, 40)"
+    text = "' ' || trim(regexp_replace(upper(narration), '[^A-Z0-9]+', ' ', 'g')) || ' '"
+    arms = []
+    for word, category, sure in classify.MERCHANTS:
+        arms += [f"WHEN contains({key}, '{word}') AND direction = 'credit' THEN 'REFUNDS|{min(sure, 0.85)}|merchant'", f"WHEN contains({key}, '{word}') THEN '{category}|{sure}|merchant'"]
+    for k in sorted(range(len(classify.KEYWORDS)), key=lambda k: (-classify.KEYWORDS[k][3], k)):
+        word, side, category, sure = classify.KEYWORDS[k]
+        arms.append(f"WHEN contains({text}, ' {word} ') AND {'true' if side is None else f"direction = '{side}'"} THEN '{category}|{sure}|keyword'")
+    return f"CASE {' '.join(arms)} WHEN direction = 'credit' THEN 'OTHER|0.35|none' ELSE 'OTHER|0.4|none' END"
+
+
+_WORDS = ("GROCER 1", "CAFE-9", "METRO7", "X1", "HOTEL.22", "Y2")
+_NOTES = ("monthly rent", "SALARY", "card fee", "atm wdl", "misc")
+
+
+@query(
+    "cls_rules",
+    f""", stated AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'R' THEN 'credit' ELSE 'debit' END AS direction, {list(_WORDS)}[CAST(l_partkey % 6 AS INTEGER) + 1] AS merchant, {list(_NOTES)}[CAST(l_suppkey % 5 AS INTEGER) + 1] AS narration FROM lineitem)
+    SELECT l_orderkey, l_linenumber, split_part(c, '|', 1) AS category, CAST(split_part(c, '|', 2) AS DOUBLE) AS confidence, split_part(c, '|', 3) AS method FROM (SELECT *, {_classify_sql()} AS c FROM stated)""",
+)
+def classified_items(spark: SparkSession, d: str) -> DataFrame:
+    pick = lambda names, column: F.element_at(F.array(*map(F.lit, names)), (F.col(column) % len(names) + 1).cast("int"))
+    rows = table(spark, d, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.col("l_suppkey").alias("user_id"), F.when(F.col("l_returnflag") == "R", "credit").otherwise("debit").alias("direction"),
+        pick(_WORDS, "l_partkey").alias("merchant"), pick(_NOTES, "l_suppkey").alias("narration"), F.col("l_extendedprice").alias("amount"),
+    )
+    return classify.classify(rows).select("l_orderkey", "l_linenumber", "category", "confidence", "method")

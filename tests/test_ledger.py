@@ -135,3 +135,39 @@ def test_oracle(spark, sf_dir, name):
     columns = [c[0] for c in want.description]
     assert sorted(columns) == sorted(rows.columns)
     assert sorted(map(repr, (tuple(r) for r in rows.select(*columns).collect()))) == sorted(map(repr, want.fetchall()))
+
+
+def test_classification_order(spark):
+    from quillon.operators import classify
+
+    rows = spark.createDataFrame(
+        [(1, "City Cafe", "upi", "debit", 10.0), (1, "City Cafe", "upi", "credit", 10.0), (1, "Asha Rao", "rent", "debit", 5.0), (1, "X9", "neft from abc", "credit", 20000.0), (1, "X9", "neft from abc", "credit", 2.0), (1, "Zed1", "card fee", "debit", 1.0), (1, "Own Pick", "x", "debit", 1.0), (1, "q1", "", "debit", 1.0)],
+        "user_id long, merchant string, narration string, direction string, amount double",
+    )
+    own = spark.createDataFrame([(1, "OWNPICK", "PETS")], "user_id long, key string, category string")
+    old = spark.createDataFrame([(1, "Q1", "GIFTS", 3, 0.9), (1, "Q1", "FOOD", 2, 0.95)], "user_id long, key string, category string, n long, confidence double")
+    got = [(r.category, r.confidence, r.method) for r in classify.classify(rows, own, old).collect()]
+    assert sorted(got) == sorted([("FOOD", 0.9, "merchant"), ("REFUNDS", 0.85, "merchant"), ("TRANSFERS", 0.62, "person"), ("SALARY/INCOME", 0.62, "bank credit"), ("OTHER", 0.5, "bank credit"), ("BANKING FEES", 0.7, "keyword"), ("PETS", 0.99, "override"), ("GIFTS", 0.88, "history")])
+    assert classify.learned(classify.classify(rows)).count() == 8
+
+
+def test_shared_ids(spark):
+    keys = spark.createDataFrame([("ref 000123456789012 x", "123456789012"), ("none", None)], "a string, b string").select(imports.id_keys(F.col("a"), F.col("b"))).collect()
+    assert [r[0] for r in keys] == [["123456789012"], []]
+    schema = "user_id long, id string, direction string, amount double, date date, ids array<string>"
+    day = dt.date(2026, 1, 5)
+    a = spark.createDataFrame([(1, "a1", "debit", 10.0, day, ["k1"]), (1, "a2", "debit", 9.0, day, ["k2"]), (1, "a3", "debit", 7.0, day, ["k3", "k1"])], schema)
+    b = spark.createDataFrame([(1, "b1", "debit", 10.0, day + dt.timedelta(1), ["k1"]), (1, "b2", "credit", 9.0, day, ["k2"]), (2, "b3", "debit", 7.0, day, ["k3"])], schema)
+    got = {(r.incoming, r.existing, r.status, r.confidence) for r in imports.shared_id_matches(a, b).collect()}
+    assert got == {("a1", "b1", "matched", 0.99), ("a2", "b2", "potential", 0.5)}
+
+
+def test_unusual_days_and_large_rows(spark):
+    from quillon.operators import anomalies
+
+    rows = [row(f"x{k}", str(dt.date(2026, 1, 1) + dt.timedelta(k)), "debit", 300 + 10 * (k % 4), "FOOD", "Eats") for k in range(30)]
+    rows += [row(f"y{k}", "2026-02-10", "debit", 900, "FOOD", "Eats") for k in range(4)] + [row("big", "2026-02-20", "debit", 9000, "FOOD", "Eats")]
+    ledger = spark.createDataFrame(rows, COLUMNS)
+    large = anomalies.large_transactions(ledger)
+    assert [r.id for r in large.collect()] == ["big"]
+    assert [str(r.date) for r in anomalies.unusual_days(ledger, large.select("user_id", "id")).collect()] == ["2026-02-10"]
