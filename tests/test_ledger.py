@@ -171,3 +171,15 @@ def test_unusual_days_and_large_rows(spark):
     large = anomalies.large_transactions(ledger)
     assert [r.id for r in large.collect()] == ["big"]
     assert [str(r.date) for r in anomalies.unusual_days(ledger, large.select("user_id", "id")).collect()] == ["2026-02-10"]
+
+
+def test_insights(spark):
+    from quillon.operators import insights
+
+    rows = [row("a1", "2026-02-10", "debit", 1000, "FOOD", "A"), row("a2", "2026-03-05", "debit", 1000, "FOOD", "A"), row("a3", "2026-03-06", "debit", 900, "FOOD", "B"), row("a4", "2026-03-07", "debit", 800, "FOOD", "C"), row("b", "2026-01-01", "debit", 5, "BANKING FEES", "Z", user=2)]
+    ledger = spark.createDataFrame(rows, COLUMNS)
+    netted = refunds.netted(ledger)
+    found = ledger.where("id = 'a4'").select("user_id", "id", "category", F.col("amount").cast("double").alias("amount"))
+    got = [(r.user_id, r.id, r.severity, r.value) for r in insights.insights(ledger, netted, found, dt.date(2026, 3, 15)).orderBy("user_id", "place").collect()]
+    assert got == [(1, "category:FOOD", "warning", 1700.0), (1, "spending:total", "warning", 1700.0), (1, "unusual:a4", "warning", 800.0), (2, "stale:ledger", "info", 73.0)]
+    assert insights.fees(ledger, dt.date(2026, 3, 15)).first().value == 5 and insights.top_category(ledger, compare.Period(dt.date(2026, 3, 1), dt.date(2026, 3, 31))).first().id == "top:FOOD"
