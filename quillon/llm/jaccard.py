@@ -369,7 +369,9 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, often: int =
     labels = components(links)
     more = durable(_cross_pairs(postings, labels, percent).join(tried, ["a", "b"], "left_anti"))
     if more.limit(1).count():
-        labels = components(links.union(_links(docs, more, n, percent)))
+        later = durable(_links(docs, more, n, percent))
+        if later.limit(1).count():  # the components found so far stand for their links
+            labels = components(labels.select(F.col("vertex").alias("a"), F.col("root").alias("b")).union(later))
     # every copy follows the document of its set; rows that share an id share a component
     roots = single.join(labels, single.doc_id == labels.vertex, "left").select("digest_1", "digest_2", F.coalesce("root", "doc_id").alias("component_id"))
     members = rows.join(roots, ["digest_1", "digest_2"], "left")
