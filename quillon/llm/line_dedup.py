@@ -3,8 +3,10 @@
 Lines are compared by a hash of their words (A-Z folded, white space aside);
 blank lines count for nothing. A document's partners are the first documents
 (by id) that hold its units, which are its lines and its pairs of consecutive
-lines; a partner is aligned with it if they share a rare unit (held by at most
-``rare`` documents), a pair or two lines, ``min_words`` words in all. The two are aligned by patience diff: lines that are unique in both
+lines; a partner is aligned with it if the units they share hold ``min_words``
+words in all, however many documents hold them. (``rare``, if given, cuts this
+down: a single shared line then counts only if at most ``rare`` documents hold
+it.) The two are aligned by patience diff: lines that are unique in both
 anchor the alignment by their longest increasing run, and what lies between
 anchors is aligned in the same way. Runs of aligned lines that hold at least
 ``min_words`` words are common blocks; they are deleted from the later document.
@@ -136,7 +138,7 @@ def _lines(docs: DataFrame) -> DataFrame:
     return keyed.mapInArrow(run, LINES).where(F.size("lines") > 0)
 
 
-def removals(docs: DataFrame, min_words: int = 20, rare: int = 50) -> DataFrame:
+def removals(docs: DataFrame, min_words: int = 20, rare: int | None = None) -> DataFrame:
     """(doc_id, key, removed): the line numbers that go, for documents that lose some; key: xxhash64 of the text."""
     lines = durable(_lines(docs))
     words = F.aggregate("words", F.lit(0), lambda a, x: a + x)
@@ -153,7 +155,10 @@ def removals(docs: DataFrame, min_words: int = 20, rare: int = 50) -> DataFrame:
     holders = posted.groupBy("unit", "lines").agg(F.min(F.struct("doc_id", "key")).alias("owner"), F.count("*").alias("held")).where("held > 1")
     met = posted.join(holders, ["unit", "lines"]).where("owner.doc_id < doc_id")
     pairs = met.groupBy("doc_id", "key", "owner").agg(F.min("held").alias("held"), F.sum("lines").alias("shared"), F.sum("words").alias("words"))
-    pairs = pairs.where((F.col("words") >= min_words) & ((F.col("held") <= rare) | (F.col("shared") >= 2))).select("doc_id", "key", F.col("owner.doc_id").alias("owner_id"), F.col("owner.key").alias("owner_key"))
+    enough = F.col("words") >= min_words
+    if rare is not None:
+        enough &= (F.col("held") <= rare) | (F.col("shared") >= 2)
+    pairs = pairs.where(enough).select("doc_id", "key", F.col("owner.doc_id").alias("owner_id"), F.col("owner.key").alias("owner_key"))
     early = single.select(F.col("doc_id").alias("owner_id"), F.col("key").alias("owner_key"), F.col("lines").alias("theirs"))
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,7 +174,7 @@ def removals(docs: DataFrame, min_words: int = 20, rare: int = 50) -> DataFrame:
     return merged.union(whole.dropDuplicates(["doc_id", "key"]))
 
 
-def dedup(docs: DataFrame, min_words: int = 20, rare: int = 50) -> DataFrame:
+def dedup(docs: DataFrame, min_words: int = 20, rare: int | None = None) -> DataFrame:
     """The rows of ``docs`` with common blocks deleted from ``text``, and ``removed`` (null: nothing)."""
     gone = removals(docs, min_words, rare).select(F.col("doc_id").alias("g_id"), F.col("key").alias("g_key"), F.col("removed").alias("g_removed"))
     rows = docs.select(F.struct(*docs.columns).alias("whole_row"), F.col("doc_id").cast("long").alias("d_id"), F.xxhash64("text").alias("d_key"))

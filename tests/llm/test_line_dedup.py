@@ -91,3 +91,10 @@ def test_odd_rows(spark):
     assert len(rows) == 9 and sorted(r.doc_id for r in rows if r.removed) == [5, 5]
     assert {r.text for r in rows if r.doc_id == 5} == {""} and [r.text for r in rows if r.doc_id == 2] == [None]
     assert line_dedup.dedup(empty_docs(spark)).count() == 0
+
+
+def test_frequent_single_line(spark):
+    common = " ".join(f"w{k}" for k in range(60))
+    rows = [(i, f"before {i}\n{common}\nafter {i}", "", "", 0) for i in range(70)]
+    out = {r.doc_id: r.removed for r in line_dedup.dedup(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert out == {0: None} | {i: [1] for i in range(1, 70)}
