@@ -7,7 +7,10 @@ of a slice, netted rows only linked ones, period totals also the unlinked ones.
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+from datetime import timedelta
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,25 +39,90 @@ def best_links(ledger: DataFrame) -> DataFrame:
     return candidates(ledger).withColumn("nth", F.row_number().over(order)).where("nth = 1").select("user_id", "refund_id", "debit_id")
 
 
+class _Open:
+    """The unclaimed debits of one user and merchant, in order of preference; what is too old is dropped as it grows."""
+
+    def __init__(self) -> None:
+        self.rows: list[tuple] = []  # (date, amount, id), the most preferred last
+        self.same: dict = {}  # amount -> places in rows, the most preferred last
+        self.size = 64
+        self.most: list = [None] * 128  # a tree over the places: the largest unclaimed amount
+
+    def _set(self, place: int, amount) -> None:
+        k = self.size + place
+        self.most[k] = amount
+        while k > 1:
+            k //= 2
+            x, y = self.most[2 * k], self.most[2 * k + 1]
+            self.most[k] = x if y is None or (x is not None and x >= y) else y
+
+    def add(self, row: tuple, oldest) -> None:
+        if len(self.rows) == self.size:
+            live = [r for place, r in enumerate(self.rows) if self.most[self.size + place] is not None and r[0] >= oldest]
+            self.rows, self.same, self.size = [], {}, max(64, 2 * len(live))
+            self.size = 1 << (self.size - 1).bit_length()
+            self.most = [None] * (2 * self.size)
+            for r in live:
+                self._put(r)
+        self._put(row)
+
+    def _put(self, row: tuple) -> None:
+        self.same.setdefault(row[1], []).append(len(self.rows))
+        self.rows.append(row)
+        self._set(len(self.rows) - 1, row[1])
+
+    def claim(self, amount, oldest):
+        """The id of the latest debit of this amount, else of the latest larger one, that is not older than ``oldest``."""
+        places = self.same.get(amount, [])
+        while places and self.most[self.size + places[-1]] is None:
+            places.pop()
+        place = places[-1] if places and self.rows[places[-1]][0] >= oldest else None
+        if place is None and self.most[1] is not None and self.most[1] >= amount:
+            k = 1
+            while k < self.size:
+                k = 2 * k + 1 if self.most[2 * k + 1] is not None and self.most[2 * k + 1] >= amount else 2 * k
+            place = k - self.size
+        if place is None or self.rows[place][0] < oldest:
+            return None
+        self._set(place, None)
+        return self.rows[place][2]
+
+
 def greedy_links(ledger: DataFrame) -> DataFrame:
     """As best_links, but in order of the refunds and each debit claimed once.
 
-    Claims touch one (user, merchant) only, so pandas sees the candidate pairs
-    of such a group; they are bounded by a merchant's refunds in 90 days.
+    Each claim depends on those before it, so the rows of a (user, merchant)
+    are read in order of time by one task: Spark sorts them on disk, no pairs
+    are made, and the task holds the key's unclaimed debits of about 90 days.
+    A row takes time in proportion to the logarithm of these.
     """
-
-    def claim(rows: pd.DataFrame) -> pd.DataFrame:
-        rows["exact"] = rows["debit"] == rows["refund"]
-        rows = rows.sort_values(["refund_date", "refund_seq", "refund_id", "exact", "debit_date", "debit_seq", "debit_id"], ascending=[True, True, True, False, False, False, True])
-        used, out = set(), []
-        for refund, own in rows.groupby("refund_id", sort=False):
-            free = next((d for d in own["debit_id"] if d not in used), None)
-            if free is not None:
-                used.add(free)
-                out.append((own["user_id"].iat[0], refund, free))
-        return pd.DataFrame(out, columns=["user_id", "refund_id", "debit_id"])
-
-    return candidates(ledger).groupBy("user_id", "key").applyInPandas(claim, "user_id long, refund_id string, debit_id string")
+    fields = ["user_id", F.lower("merchant").alias("key"), "date", "seq", "id", "amount"]
+    back = ledger.where(refund()).select(*fields, F.lit(1).alias("back"))
+    keys = back.select(F.col("user_id").alias("k_user"), F.col("key").alias("k_key")).distinct()
+    spent = ledger.where(debit()).select(*fields, F.lit(0).alias("back"))
+    spent = spent.join(keys, (F.col("user_id") == F.col("k_user")) & (F.col("key") == F.col("k_key")), "left_semi")
+    whole = F.col("user_id").isNotNull() & F.col("key").isNotNull() & F.col("date").isNotNull() & F.col("amount").isNotNull()
+    later = F.col("back") == 1
+    # a day's debits stand before its refunds; debits rise in preference, refunds go in turn
+    order = ["user_id", "key", "date", "back", F.when(~later, F.col("seq")).asc_nulls_first(), F.when(~later, F.col("id")).desc(), F.when(later, F.col("seq")).asc_nulls_last(), F.when(later, F.col("id"))]
+    rows = back.unionByName(spent).where(whole).repartition("user_id", "key").sortWithinPartitions(*order)
+
+    def claim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, _Open()
+        for batch in batches:
+            out = []
+            for user, key, date, id_, amount, is_back in zip(*(batch.column(c).to_pylist() for c in ("user_id", "key", "date", "id", "amount", "back")), strict=True):
+                if at != (user, key):
+                    at, held = (user, key), _Open()
+                oldest = date - timedelta(days=DAYS)
+                if not is_back:
+                    held.add((date, amount, id_), oldest)
+                elif (found := held.claim(amount, oldest)) is not None:
+                    out.append((user, id_, found))
+            users, refunds, debits = zip(*out, strict=True) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(users, pa.int64()), pa.array(refunds, pa.string()), pa.array(debits, pa.string())], names=["user_id", "refund_id", "debit_id"])
+
+    return rows.mapInArrow(claim, "user_id long, refund_id string, debit_id string")
 
 
 def with_links(ledger: DataFrame, links: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import os
+import random
 
 import duckdb
 import pytest
@@ -50,6 +51,28 @@ def test_refund_links_claim_once(spark):
     assert dict(refunds.greedy_links(ledger).select("refund_id", "debit_id").collect()) == {"r1": "d2", "r2": "d1"}
 
 
+def test_greedy_refund_links_make_no_pairs(spark):
+    rng = random.Random(5)
+    start = dt.date(2026, 1, 1)
+    rows = []
+    for i in range(1500):
+        day = (start + dt.timedelta(days=rng.randrange(400))).isoformat()
+        kind = ("credit", rng.choice([5, 10, 15, 20]), "REFUNDS") if rng.random() < 0.4 else ("debit", rng.choice([3, 5, 10, 12, 20]), "FOOD")
+        rows.append((*row(f"t{i}", day, *kind, rng.choice(["Shop", "SHOP", "Bar"]))[:3], rng.randrange(3), *row(f"t{i}", day, *kind, rng.choice(["Shop", "SHOP", "Bar"]))[4:]))
+    ledger = spark.createDataFrame(rows, COLUMNS).repartition(3)
+    used, want = set(), {}
+    for r in sorted((r for r in rows if r[4] == "credit"), key=lambda r: (r[2], r[3], r[1])):
+        own = [d for d in rows if d[4] == "debit" and d[8].lower() == r[8].lower() and 0 <= (r[2] - d[2]).days <= 90 and d[5] >= r[5] and d[1] not in used]
+        if own:
+            own.sort(key=lambda d: d[1])
+            want[r[1]] = max(own, key=lambda d: (d[5] == r[5], d[2], d[3]))[1]
+            used.add(want[r[1]])
+    links = refunds.greedy_links(ledger)
+    assert {r.refund_id: r.debit_id for r in links.collect()} == want and len(want) > 300
+    plan = links._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroups" not in plan and "Join Inner" not in plan
+
+
 def test_period_keys(spark):
     days = spark.createDataFrame([(dt.date(2025, 12, 31),), (dt.date(2026, 3, 24),), (dt.date(2026, 3, 25),), (dt.date(2024, 3, 31),)], "date date")
     keys = days.select(*[X.bucket(F.col("date"), g, n).alias(f"{g}{n}") for g, n in (("weekly", 1), ("monthly", 25), ("quarterly", 25), ("yearly", 25))]).collect()
