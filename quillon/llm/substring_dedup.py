@@ -1,12 +1,21 @@
 """Substring dedup by unit hashing.
 
-Units are sentences within lines (a word that ends in . ! or ? ends one);
-sentences under ``min_words`` words join the next ones of their line until they
-reach it, so a passage set into the middle of another line is found as well.
-``unit="line"`` takes whole lines and ``"paragraph"`` runs of lines between
-blank ones. Units are normalised (A-Z folded, white space aside) and hashed to
+Units do not depend on what stands around them (``unit="run"``). Texts are cut
+into pieces after a word that ends in . ! or ?, at a line's end, and, in what
+is then longer than twice ``min_words``, also between some pairs of words that
+their hashes choose. From each piece the shortest run of pieces of at least
+``min_words`` words forward is a unit, and so is the shortest one back; runs
+cross lines, so whole lines and paragraphs are covered by theirs. Each piece of
+a repeated stretch of pieces that holds ``min_words`` words lies in a unit that
+repeats. What stays is the part of a passage before its first and after its
+last cut, where it is entered or left inside a piece.
+
+``unit="sentence"`` takes sentences within lines, those under ``min_words``
+words joined to the next from the line's start, ``"line"`` whole lines and
+``"paragraph"`` runs of lines between blank ones. Units are normalised (A-Z folded, white space aside) and hashed to
 64 bits twice; equal digests are one group over all documents. The occurrence
-that ranks first (by doc_id, then place) stays, the others are removed; units
+that ranks first (by doc_id, then place) stays, the others are removed (of one
+that overlaps the first in its own text, the part behind it); units
 under ``min_words`` words always stay. The places of removed and kept text are
 offsets into the original text, in code points.
 
@@ -34,10 +43,33 @@ from pyspark.sql import functions as F
 from quillon.llm._arrow import run_hashes, splitmix, string_bytes, sub_batches, word_spans
 
 UNITS = "doc_id long, key long, start int, end int, digest_1 long, digest_2 long"
+#: One of so many pairs of words is a cut in a long piece.
+CUTS = 8
 _STOPS = np.zeros(256, bool)
 _STOPS[[0x21, 0x2E, 0x3F]] = True
 
 
+def _runs(hashes: np.ndarray, text: np.ndarray, ends_here: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """First word and end of the shortest runs of pieces forward and back from every piece."""
+    if not len(hashes):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    stops = np.flatnonzero(ends_here) + 1
+    size = np.diff(stops, prepend=0)
+    chosen = np.zeros(len(hashes), bool)
+    chosen[:-1] = (splitmix(hashes[:-1] + splitmix(hashes[1:])) % np.uint64(CUTS) == 0) & (hashes[:-1] != hashes[1:])
+    stops = np.flatnonzero(ends_here | (chosen & np.repeat(size > 2 * min_words, size))) + 1
+    starts = np.append(0, stops[:-1])
+    own = text[starts]
+    ahead = np.searchsorted(stops, starts + min_words)
+    fits = ahead < len(stops)
+    fits[fits] = own[ahead[fits]] == own[fits]
+    behind = np.searchsorted(starts, stops - min_words, side="right") - 1
+    reaches = behind >= 0
+    reaches[reaches] = own[behind[reaches]] == own[reaches]
+    both = np.unique(np.concatenate([np.stack([starts[fits], stops[ahead[fits]]], 1), np.stack([starts[behind[reaches]], stops[reaches]], 1)]), axis=0)
+    return both[:, 0], both[:, 1]
+
+
 def units(column: pa.Array, unit: str, min_words: int) -> tuple[np.ndarray, ...]:
     """(text number, start, end in code points, two digests) of the units of at least ``min_words`` words."""
     data, offsets = string_bytes(column)
@@ -49,9 +81,11 @@ def units(column: pa.Array, unit: str, min_words: int) -> tuple[np.ndarray, ...]
     new_line[1:] = (text[1:] != text[:-1]) | (line[1:] != line[:-1])
     if unit == "paragraph":  # a new line that follows a blank one, or the text's first
         new_line[1:] &= (text[1:] != text[:-1]) | (line[1:] - line[:-1] > 1)
-    if unit == "sentence":
-        ends_here = np.ones(len(starts), bool)
-        ends_here[:-1] = _STOPS[data[ends[:-1] - 1]] | new_line[1:]
+    ends_here = np.ones(len(starts), bool)
+    ends_here[:-1] = _STOPS[data[ends[:-1] - 1]] | new_line[1:]
+    if unit == "run":
+        at, upto = _runs(hashes, text, ends_here, min_words)
+    elif unit == "sentence":
         last = np.flatnonzero(ends_here)
         size = np.diff(last, prepend=-1)
         line_end = np.append(new_line[1:], True)[last] if len(last) else np.zeros(0, bool)
@@ -76,7 +110,23 @@ def units(column: pa.Array, unit: str, min_words: int) -> tuple[np.ndarray, ...]
     return own, points[starts[at]] - base, points[ends[upto - 1]] - base, run_hashes(hashes, at, upto), run_hashes(splitmix(hashes), at, upto)
 
 
-def removals(docs: DataFrame, unit: str = "sentence", min_words: int = 8) -> DataFrame:
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Overlapping spans of the sorted lists become one."""
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+    for batch in batches:
+        out = []
+        for spans in batch.column("removed").to_pylist():
+            merged: list[dict] = []
+            for s in spans:
+                if merged and s["start"] < merged[-1]["end"]:
+                    merged[-1]["end"] = max(merged[-1]["end"], s["end"])
+                else:
+                    merged.append(s)
+            out.append(merged)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(out, kind)], names=["doc_id", "key", "removed"])
+
+
+def removals(docs: DataFrame, unit: str = "run", min_words: int = 8) -> DataFrame:
     """(doc_id, key, removed): spans that go, in order; key: xxhash64 of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,13 +140,16 @@ def removals(docs: DataFrame, unit: str = "sentence", min_words: int = 8) -> Dat
                 )
 
     found = docs.where("text IS NOT NULL").select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("key"), "text").mapInArrow(run, UNITS)
-    rank = F.struct(F.col("doc_id").isNull().alias("late"), F.col("doc_id").alias("id"), F.col("key").alias("text_key"), F.col("start").alias("place"))
+    rank = F.struct(F.col("doc_id").isNull().alias("late"), F.col("doc_id").alias("id"), F.col("key").alias("text_key"), F.col("start").alias("place"), F.col("end").alias("upto"))
     first = found.groupBy("digest_1", "digest_2").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = found.join(first, ["digest_1", "digest_2"]).where(~(F.col("first.id").eqNullSafe(F.col("doc_id")) & (F.col("first.text_key") == F.col("key")) & (F.col("first.place") == F.col("start"))))
-    return later.groupBy("doc_id", "key").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("removed"))
+    same = F.col("first.id").eqNullSafe(F.col("doc_id")) & (F.col("first.text_key") == F.col("key"))
+    later = found.join(first, ["digest_1", "digest_2"]).where(~(same & (F.col("first.place") == F.col("start"))))
+    later = later.withColumn("start", F.when(same, F.greatest("start", "first.upto")).otherwise(F.col("start"))).where("start < end")
+    spans = later.groupBy("doc_id", "key").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("removed"))
+    return spans.mapInArrow(_merge, "doc_id long, key long, removed array<struct<start: int, end: int>>")
 
 
-def dedup(docs: DataFrame, unit: str = "sentence", min_words: int = 8) -> DataFrame:
+def dedup(docs: DataFrame, unit: str = "run", min_words: int = 8) -> DataFrame:
     """The rows of ``docs`` without their repeated units, and the spans ``removed`` and ``kept`` (null: nothing was removed)."""
     gone = removals(docs, unit, min_words).select(F.col("doc_id").alias("g_id"), F.col("key").alias("g_key"), F.col("removed").alias("g_removed"))
     rows = docs.select(F.struct(*docs.columns).alias("whole_row"), F.col("doc_id").cast("long").alias("d_id"), F.xxhash64("text").alias("d_key"))

@@ -60,3 +60,19 @@ def test_odd_rows(spark):
     rows = substring_dedup.dedup(odd_docs(spark), min_words=3).collect()
     assert len(rows) == 9 and sorted(str(r.doc_id) for r in rows if r.removed) == ["5", "5"]
     assert substring_dedup.dedup(empty_docs(spark)).count() == 0
+
+
+def test_passage_after_different_text(spark):
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
+    passage = [[word() for _ in range(n)] for n in (3, 9, 4, 2, 12, 3)]
+    text = " ".join(" ".join(s) + "." for s in passage)
+    poem = "\n".join(" ".join(word() for _ in range(3)) for _ in range(6))
+    unstopped = " ".join(word() for _ in range(80))
+    rows = [(i, "".join(f"{word()}. " for _ in range(i)) + f"{text} {' '.join(word() for _ in range(9 - i))}.\n{poem}\n{word()} {word()}\n{word()} {unstopped} {word()}") for i in range(6)]
+    out = {r.doc_id: r.removed for r in substring_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[0] is None
+    for i, t in rows[1:]:
+        gone = "\n".join(t[a:b] for a, b in out[i])
+        assert text in gone and poem in gone
+        assert len(set(unstopped.split()) & set(gone.split())) > 50
