@@ -1,6 +1,15 @@
 """Cross-entropy difference of a target and a background n-gram model.
 
-Both models are 4-gram models over one vocabulary of 64 symbols: the 63 bytes
+``score_words`` takes word bigrams. Tokens are words (white space aside, A-Z
+folded, by 64-bit hash) of any script; all words of all documents are the one
+vocabulary. Counts of all bigrams, their contexts and words stay distributed
+tables that grow with the input; nothing is gathered on the driver or capped.
+Each document's bigrams are counted before they are shuffled, so one that all
+documents hold comes once from each, and Spark splits its skewed partition in
+the join. Smoothing, scaling and defined results are those given below, with
+1 / V of the vocabulary's V words as the uniform distribution.
+
+``score`` takes bytes. Both models are 4-gram models over one vocabulary of 64 symbols: the 63 bytes
 (A-Z folded) that all documents use most, and one symbol for the rest, which
 also stands before a text's start. Orders are smoothed into each other,
 p(x | h) = (count(hx) + alpha p(x | shorter h)) / (count(h) + alpha), down to
@@ -27,7 +36,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm._arrow import string_bytes, sub_batches
+from quillon.llm._arrow import splitmix, string_bytes, sub_batches, word_hashes
+from quillon.session import durable
 
 SYMBOLS, ORDER = 64, 4
 OTHER = SYMBOLS - 1
@@ -111,12 +121,106 @@ def count(docs: DataFrame, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out
 
 
-def score(docs: DataFrame, target_ids: DataFrame, alpha: float = 8.0) -> DataFrame:
-    """doc_id, n_tokens, score of every row of ``docs``; target_ids: doc_id of the target's documents."""
+def _bigrams(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, context, word, count) of each text's different bigrams; the context at a text's start is 0."""
+    words, first = word_hashes(column)
+    text = np.repeat(np.arange(len(column)), np.diff(first))
+    before = np.zeros(len(words), np.uint64)
+    before[1:] = words[:-1]
+    before[first[:-1][np.diff(first) > 0]] = 0
+    order = np.lexsort((splitmix(splitmix(before) ^ words), text))
+    own, ahead, word = text[order], before[order], words[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (own[1:] != own[:-1]) | (ahead[1:] != ahead[:-1]) | (word[1:] != word[:-1])
+    at = np.flatnonzero(new)
+    return own[at], ahead[at], word[at], np.diff(at, append=len(order))
+
+
+def _summed(columns: list[np.ndarray], order: np.ndarray, seen: np.ndarray, aimed: np.ndarray) -> list[pa.Array]:
+    """Different rows of ``columns``, equal ones of which ``order`` brings together, with the sums of the counts."""
+    columns = [c[order] for c in columns]
+    new = np.ones(len(order), bool)
+    new[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+    at = np.flatnonzero(new)
+    counts = [np.add.reduceat(c[order], at) if len(at) else c[:0] for c in (seen, aimed)]
+    return [pa.array(c[at].view(np.int64)) for c in columns] + [pa.array(c) for c in counts]
+
+
+def _flagged(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
+    """doc_id, text, is_target of every row."""
     wanted = target_ids.select(F.col("doc_id").alias("t_id")).where("t_id IS NOT NULL").distinct()
     few = wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    flagged = rows.join(F.broadcast(wanted) if few else wanted, F.col("doc_id") == F.col("t_id"), "left").select("doc_id", "text", F.col("t_id").isNotNull().alias("is_target"))
+    return rows.join(F.broadcast(wanted) if few else wanted, F.col("doc_id") == F.col("t_id"), "left").select("doc_id", "text", F.col("t_id").isNotNull().alias("is_target"))
+
+
+def word_model(flagged: DataFrame, alpha: float) -> DataFrame:
+    """(gram, loss): target loss minus background loss of every word bigram of the documents."""
+
+    def pairs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in sub_batches(whole, "text"):
+                own, ahead, word, n = _bigrams(batch.column("text"))
+                aimed = np.where(np.asarray(batch.column("is_target"))[own], n, 0)
+                yield pa.RecordBatch.from_arrays(_summed([ahead, word], np.argsort(splitmix(splitmix(ahead) ^ word)), n, aimed), names=["context", "word", "seen", "aimed"])
+
+    def sides_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in sub_batches(whole, "text"):
+                own, ahead, word, n = _bigrams(batch.column("text"))
+                aimed = np.where(np.asarray(batch.column("is_target"))[own], n, 0)
+                for is_context, values in ((True, ahead), (False, word)):
+                    found = _summed([values], np.argsort(values), n, aimed)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found[0]), is_context)), *found], names=["is_context", "item", "seen", "aimed"])
+
+    sums = F.sum("seen").alias("seen"), F.sum("aimed").alias("aimed")
+    texts = flagged.select("text", "is_target")
+    pairs = texts.mapInArrow(pairs_of, "context long, word long, seen long, aimed long").groupBy("context", "word").agg(*sums).withColumn("gram", F.xxhash64("context", "word"))
+    sides = durable(texts.mapInArrow(sides_of, "is_context boolean, item long, seen long, aimed long").groupBy("is_context", "item").agg(*sums))
+    words = sides.where("NOT is_context")
+    whole = words.agg(F.count("*").alias("v"), *sums).first()
+    if not whole.v or not whole.aimed:
+        return pairs.select("gram", F.lit(0.0).alias("loss"))
+    scale = whole.aimed / whole.seen
+    contexts = sides.where("is_context").select(F.col("item").alias("context"), F.col("seen").alias("c_seen"), F.col("aimed").alias("c_aimed"))
+    single = words.select(F.col("item").alias("word"), F.col("seen").alias("w_seen"), F.col("aimed").alias("w_aimed"))
+
+    def log_p(name: str, by: float) -> object:
+        one = (F.col(f"w_{name}") * by + alpha / whole.v) / (float(whole.aimed) + alpha)
+        return F.log((F.col(name) * by + alpha * one) / (F.col(f"c_{name}") * by + alpha))
+
+    return pairs.join(single, "word").join(contexts, "context").select("gram", (log_p("seen", scale) - log_p("aimed", 1.0)).alias("loss"))
+
+
+def score_words(docs: DataFrame, target_ids: DataFrame, alpha: float = 8.0) -> DataFrame:
+    """doc_id, n_tokens, score of every row of ``docs`` by word bigrams; target_ids: doc_id of the target's documents."""
+    flagged = _flagged(docs, target_ids)
+    model = word_model(flagged, alpha)
+    key = F.xxhash64("text").alias("key")
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in sub_batches(whole, "text"):
+                own, ahead, word, n = _bigrams(batch.column("text"))
+                yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(own)), pa.array(ahead.view(np.int64)), pa.array(word.view(np.int64)), pa.array(n.astype(np.int32))], names=["key", "context", "word", "n"])
+
+    def size(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in sub_batches(whole, "text"):
+                _, first = word_hashes(batch.column("text"))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(np.diff(first))], names=["doc_id", "key", "n_tokens"])
+
+    # equal texts have one score, whichever rows hold them: sum over sum
+    posted = flagged.select(key, "text").mapInArrow(post, "key long, context long, word long, n int").select("key", F.xxhash64("context", "word").alias("gram"), "n")
+    scored = posted.join(model, "gram").groupBy("key").agg((F.sum(F.col("n") * F.col("loss")) / F.sum("n")).alias("mean")).withColumnRenamed("key", "s_key")
+    rows = flagged.select("doc_id", key, "text").mapInArrow(size, "doc_id long, key long, n_tokens long")
+    return rows.join(scored, F.col("key") == F.col("s_key"), "left").select("doc_id", "n_tokens", F.coalesce("mean", F.lit(0.0)).alias("score"))
+
+
+def score(docs: DataFrame, target_ids: DataFrame, alpha: float = 8.0) -> DataFrame:
+    """doc_id, n_tokens, score of every row of ``docs``; target_ids: doc_id of the target's documents."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    flagged = _flagged(docs, target_ids)
     symbol = vocabulary(rows)
     table = docs.sparkSession.sparkContext.broadcast(loss_differences(*count(flagged, symbol), alpha))
 

@@ -58,7 +58,7 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     good = table(spark, sf_dir, "labels").where("quality = 1")
-    return lm_score.score(table(spark, sf_dir, "documents"), good)
+    return lm_score.score_words(table(spark, sf_dir, "documents"), good)
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

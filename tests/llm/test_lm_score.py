@@ -73,3 +73,46 @@ def test_odd_rows(spark):
     assert len(rows) == 9 and all(np.isfinite(r.score) for r in rows) and {r.score for r in rows if r.doc_id in (2, 3)} == {0.0}
     assert {r.score for r in lm_score.score(odd_docs(spark), target.where("doc_id = 77")).collect()} == {0.0}
     assert lm_score.score(empty_docs(spark), target).count() == 0
+
+
+def brute_words(rows, target, alpha=8.0):
+    tokens = {i: ["".join(c.lower() if c.isascii() else c for c in w) for w in (t or "").split()] for i, t in rows}
+    pairs, words, heads = ([Counter(), Counter()] for _ in range(3))
+    for i, s in tokens.items():
+        for a, b in zip(["", *s], s):
+            for m in range(1 + (i in target)):
+                pairs[m][a, b] += 1
+                words[m][b] += 1
+                heads[m][a] += 1
+    scale = sum(words[1].values()) / sum(words[0].values())
+
+    def log_p(m, a, b):
+        by = scale if m == 0 else 1.0
+        one = (words[m][b] * by + alpha / len(words[0])) / (sum(words[m].values()) * by + alpha)
+        return log((pairs[m][a, b] * by + alpha * one) / (heads[m][a] * by + alpha))
+
+    return {i: (len(s), sum(log_p(0, a, b) - log_p(1, a, b) for a, b in zip(["", *s], s)) / max(1, len(s))) for i, s in tokens.items()}
+
+
+def test_words_against_brute_force(spark, sf_dir):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").where("length(text) < 3000").limit(80).collect()] + [(-1, None), (-2, " ")]
+    target = {i for i, _ in rows[::3]}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = lm_score.score_words(docs, spark.createDataFrame([(i,) for i in target] * 2, "doc_id long")).collect()
+    want = brute_words(rows, target)
+    assert len(got) == len(rows)
+    for r in got:
+        assert r.n_tokens == want[r.doc_id][0] and abs(r.score - want[r.doc_id][1]) < 1e-9
+    target = spark.createDataFrame([(1,)], "doc_id long")
+    assert len(lm_score.score_words(odd_docs(spark), target).collect()) == 9 and lm_score.score_words(empty_docs(spark), target).count() == 0
+
+
+def test_query_tells_small_scripts_apart(spark, tmp_path):
+    from quillon.llm import registry
+
+    latin = [(i, " ".join(chr(97 + (i + k) % 26) * 3 for k in range(60)) + "0123456789.,;:!?()[]{}<>/+*=#%&$@^~|_-" * 9) for i in range(20)]
+    rows = [*latin, (100, "мама мыла раму " * 9), (101, "мама мыла раму " * 9 + "мама"), (102, "кофе стоит даром " * 9)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(100, 1)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    score = {r.doc_id: r.score for r in registry.op6_lm_score(spark, str(tmp_path)).collect()}
+    assert score[101] < 0 < score[102] and score[102] - score[101] > 1
