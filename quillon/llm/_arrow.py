@@ -11,11 +11,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
+BATCH_ROWS = 1000
+_BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 #: Bytes handled at a time; a longer word extends its segment.
-SEGMENT = 1 << 21
+SEGMENT = 1 << 19
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -141,7 +144,7 @@ def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     return splitmix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
 
-def sub_batches(batch: pa.RecordBatch, column: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def sub_batches(batch: pa.RecordBatch, column: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch that hold about ``limit`` bytes of ``column`` each, one row at least."""
     if not batch.num_rows:
         return
@@ -153,6 +156,30 @@ def sub_batches(batch: pa.RecordBatch, column: str, limit: int = 8 << 20) -> Ite
         at = end
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, with Arrow batches of at most ``BATCH_ROWS`` rows where the session has Spark's default of 10,000.
+
+    A batch is held whole on both sides of the pipe to Python, and texts may be long.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH_CONF) == "10000":
+        conf.set(_BATCH_CONF, str(BATCH_ROWS))
+    return df
+
+
+def gathered(batches: Iterator[pa.RecordBatch], rows: int = 20_000) -> Iterator[pa.RecordBatch]:
+    """Batches of short rows, put together into longer ones."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= rows:
+            yield pa.concat_batches(held)
+            held, n = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def list_column(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Array:
     """A list column from flat values and the length of each list."""
     offsets = np.zeros(len(counts) + 1, np.int32)

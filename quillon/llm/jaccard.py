@@ -10,24 +10,29 @@ counted over lists), pairs whose count cannot reach T any more are dropped, and
 the long lists of the rest are probed by binary search in the partner's set.
 
 Hot lists: texts with equal sets are collapsed first, so copies make one
-posting. Lists of shingles that fewer than ``often`` documents hold give all
-their pairs. In the others each document meets its neighbour and the head of
-its list only, by sizes that may link; the head is the document with the most
-frequent shingles, as a rule the text that others were copied from. The links
-found so far make components. What is left are pairs of different components
-that share no short infrequent list: they need all of T's short part from
-frequent lists, which each of the two must have in its own prefix and, by
-counts per list and size, some partner too. Only such documents meet again, so
-no link is lost and a group of thousands of near copies does not emit its pairs.
-
-Sizes: what is broadcast is the set of frequent shingles, at most ``most_often``
-of them by choice of ``often`` (8 bytes each), and a 16 MB filter of the
-documents that occur in pairs.
+posting. A list of fewer than ``long_list`` postings gives all its pairs. In a
+longer one each document meets its neighbour and the head of its list only; the
+head is the document with the most frequent shingles, as a rule the text that
+others were copied from. The links found so far make components. What is left
+are pairs of different components that share no short list but long ones: they
+need all of T's short part from long lists, which each of the two must have in
+its own prefix and, by counts per list and size, some partner too. Only such
+documents meet again, so no link is lost and a group of thousands of near
+copies does not emit its pairs.
+
+The order needs to know which shingles are frequent; those held by ``often``
+documents or more are broadcast, the most frequent first, at most
+``most_often`` of them (9 bytes each). Their lists are split by document size
+and, when very long, into parts of about ``PART`` postings. The set only orders
+and splits: a list outside it that turns out long when it is read is a long
+list all the same, so the bound on the set costs time, never a link. A filter
+of the documents that occur in pairs is broadcast too (16 MB at any size).
 
 Defined results: a null or empty text has no shingles and links with nothing;
 a text of fewer words than n is one shingle, the whole sequence; rows that
-share a doc_id are one document; a row without an id gets no component; other
-columns are ignored; an empty table gives an empty result.
+share a doc_id are one document, which links by any of its texts (n_shingles is
+each row's own); a row without an id gets no component; other columns are
+ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -36,21 +41,25 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm._arrow import list_column, splitmix, sub_batches, word_hashes
+from quillon.llm._arrow import gathered, list_column, small_batches, splitmix, sub_batches, word_hashes
+from quillon.llm._filter import in_filter, member_filter
 from quillon.llm.components import components
 from quillon.session import durable
 
 PREFIXES = "doc_id long, n int, digest_1 long, digest_2 long, small array<long>, small_often int, large array<long>, large_often int"
-PAIRS = "a long, b long, light int, need int, star int"
+#: A pair (a, b) of a list; or, with a shingle, a posting of document a in a long list that was not known as frequent.
+MET = "a long, b long, light int, need int, star int, shingle long, large byte, n int"
 SETS = "doc_id long, shingles binary"
 #: Documents of more shingles count a quarter of them, those with small hashes, which come first in their order; the rest
 #: is counted only for those that hold too few infrequent ones of small hash.
 SMALL = 160
 LOW = np.uint64(1 << 62)
-FILTER_BITS = 27
+#: Postings of a frequent shingle that stay one list.
+PART = 200_000
 _FACTORS = [np.uint64(x) for x in (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0x9FB21C651E98DF25, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 
 
@@ -107,8 +116,8 @@ def _counted(docs: DataFrame, n: int, percent: int) -> DataFrame:
     return _by_text(docs, run, "shingle long, held long").groupBy("shingle").agg(F.sum("held").alias("held"))
 
 
-def _most_frequent(counted: DataFrame, often: int, most_often: int) -> np.ndarray:
-    """The sorted hashes of the most frequent shingles counted, at most ``most_often``."""
+def _most_frequent(counted: DataFrame, often: int, most_often: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted hashes, counts) of the most frequent shingles counted, at most ``most_often``."""
     frequent = durable(counted.where(F.col("held") >= often))
     level = F.floor(F.log2("held")).cast("int")
     histogram = dict(frequent.groupBy(level.alias("level")).count().collect())
@@ -118,13 +127,14 @@ def _most_frequent(counted: DataFrame, often: int, most_often: int) -> np.ndarra
         if total > most_often:
             break
         least = k
-    rows = frequent.where(level >= least).select("shingle").toArrow()
-    return np.sort(np.asarray(rows.column("shingle").combine_chunks()).astype(np.int64).view(np.uint64))
+    rows = frequent.where(level >= least).toArrow()
+    shingles = np.asarray(rows.column("shingle").combine_chunks()).astype(np.int64).view(np.uint64)
+    order = np.argsort(shingles)
+    return shingles[order], np.asarray(rows.column("held").combine_chunks()).astype(np.int64)[order]
 
 
-def _rest_counted(docs: DataFrame, n: int, percent: int, often: np.ndarray) -> DataFrame:
+def _rest_counted(docs: DataFrame, n: int, percent: int, shared: Broadcast) -> DataFrame:
     """(shingle, held) of large hash, over the large documents that don't hold enough infrequent ones of small hash."""
-    shared = docs.sparkSession.sparkContext.broadcast(often)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         flat, counts = shingle_sets(batch.column("text"), n)
@@ -139,10 +149,14 @@ def _rest_counted(docs: DataFrame, n: int, percent: int, often: np.ndarray) -> D
     return _by_text(docs, run, "shingle long, held long").groupBy("shingle").agg(F.sum("held").alias("held"))
 
 
-def _often(docs: DataFrame, n: int, percent: int, often: int, most_often: int) -> np.ndarray:
-    """The sorted hashes of frequent shingles; at most twice ``most_often``."""
-    first = _most_frequent(_counted(docs, n, percent), often, most_often)
-    return np.union1d(first, _most_frequent(_rest_counted(docs, n, percent, first), often, most_often))
+def _often(docs: DataFrame, n: int, percent: int, often: int, most_often: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted hashes of frequent shingles, into how many parts each one's lists are split); at most twice ``most_often``."""
+    shingles, held = _most_frequent(_counted(docs, n, percent), often, most_often)
+    shared = docs.sparkSession.sparkContext.broadcast(shingles)
+    more, also = _most_frequent(_rest_counted(docs, n, percent, shared), often, most_often)
+    shared.destroy()
+    shingles, at = np.unique(np.concatenate([shingles, more]), return_index=True)
+    return shingles, np.minimum(np.concatenate([held, also])[at] // PART + 1, 1 << 15).astype(np.uint16)
 
 
 def _is_in(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
@@ -151,14 +165,13 @@ def _is_in(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
 
 
-def _prefixes(docs: DataFrame, n: int, percent: int, often: np.ndarray) -> DataFrame:
+def _prefixes(docs: DataFrame, n: int, percent: int, shared: Broadcast) -> DataFrame:
     """PREFIXES rows: a document's short lists, in the order of small documents and of large ones."""
-    shared = docs.sparkSession.sparkContext.broadcast(often)
     reach = SMALL * 100 // percent
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         flat, counts = shingle_sets(batch.column("text"), n)
-        frequent, mixed = _is_in(flat, shared.value), splitmix(flat)
+        frequent, mixed = _is_in(flat, shared.value[0]), splitmix(flat)
         ends = np.cumsum(counts)
         prefixes: dict[bool, list] = {True: [], False: []}
         heavy = {True: np.zeros(len(counts), np.int32), False: np.zeros(len(counts), np.int32)}
@@ -196,19 +209,24 @@ def _need(percent: int, x, y, x_often, y_often):
     return total - rest - np.minimum(x_often, y_often)
 
 
-def _list_pairs(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Reads sorted postings; a list of an infrequent shingle gives its pairs, one of a frequent shingle and size a chain and a star."""
+def _list_pairs(percent: int, long_list: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Reads sorted postings; a short list gives its pairs, a long one a chain and a star.
 
-    def emit(n: np.ndarray, doc: np.ndarray, often: np.ndarray, i: np.ndarray, j: np.ndarray, star: int) -> pa.RecordBatch:
+    ``frequent`` of a list's first posting: 1 a frequent shingle's list, 2 one
+    that was found to be long and goes on from an earlier batch.
+    """
+
+    def pairs(n: np.ndarray, doc: np.ndarray, often: np.ndarray, i: np.ndarray, j: np.ndarray, star: int) -> pa.RecordBatch:
         fits = (np.maximum(n[i], n[j]) * percent <= np.minimum(n[i], n[j]) * 100) & (doc[i] != doc[j])
         i, j = i[fits], j[fits]
+        none = [pa.nulls(len(i), kind) for kind in (pa.int64(), pa.int8(), pa.int32())]
         need = _need(percent, n[i], n[j], often[i], often[j])
         a, b = np.minimum(doc[i], doc[j]), np.maximum(doc[i], doc[j])
-        return _record("a b light need star", pa.array(a), pa.array(b), pa.array(np.full(len(a), 1 - star, np.int32)), pa.array(need.astype(np.int32)), pa.array(np.full(len(a), star, np.int32)))
+        return _record("a b light need star shingle large n", pa.array(a), pa.array(b), pa.array(np.full(len(a), 1 - star, np.int32)), pa.array(need.astype(np.int32)), pa.array(np.full(len(a), star, np.int32)), *none)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carry: list[np.ndarray] | None = None
-        for batch in batches:
+        for batch in gathered(batches):
             columns = [np.asarray(c) for c in batch.columns]
             if carry is not None:
                 columns = [np.concatenate([a, b]) for a, b in zip(carry, columns, strict=True)]
@@ -217,11 +235,12 @@ def _list_pairs(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
             starts = np.flatnonzero(new)
             cut = int(starts[-1]) if len(starts) else 0
             yield from lists(columns, starts[:-1], cut)
-            # the last list may go on: a plain one waits whole (it is short), a frequent one by its head and last posting
-            carry = [c[cut:] for c in columns]
-            if len(carry[0]) > 2 and carry[3][0]:
+            # the last list may go on: a short one waits whole, a long one by its head and last posting
+            carry = [c[cut:].copy() for c in columns]
+            if len(carry[0]) > 2 and (carry[3][0] or len(carry[0]) >= long_list):
                 yield from lists(carry, np.zeros(1, np.int64), len(carry[0]))
                 carry = [c[[0, -1]] for c in carry]
+                carry[3][0] = 1 if carry[3][0] == 1 else 2
         if carry is not None and len(carry[0]):
             yield from lists(carry, np.zeros(1, np.int64), len(carry[0]))
 
@@ -230,20 +249,27 @@ def _list_pairs(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
             return
         frequent, n, doc, often = columns[3], columns[4].astype(np.int64), columns[5], columns[6]
         lengths = np.diff(np.append(starts, end))
-        hot = frequent[starts].astype(bool)
+        found = ((frequent[starts] == 0) & (lengths >= long_list)) | (frequent[starts] == 2)
+        hot = frequent[starts].astype(bool) | found
+        if found.any():
+            done = np.where(frequent[starts[found]] == 2, 2, 0)  # the head and last posting of what was read before
+            count = lengths[found] - done
+            index = np.repeat(starts[found] + done, count) + _within(count)
+            none = pa.nulls(len(index), pa.int64()), *(pa.nulls(len(index), pa.int32()) for _ in range(3))
+            yield _record("a b light need star shingle large n", pa.array(doc[index]), *none, pa.array(columns[0][index]), pa.array(columns[1][index]), pa.array(n[index].astype(np.int32)))
         own, count = starts[hot], lengths[hot]
         own, count = own[count > 1], count[count > 1]
         if len(own):
             index = np.repeat(own, count - 1) + _within(count - 1) + 1
-            yield emit(n, doc, often, index - 1, index, 1)
-            yield emit(n, doc, often, np.repeat(own, count - 1), index, 1)
+            yield pairs(n, doc, often, index - 1, index, 1)
+            yield pairs(n, doc, often, np.repeat(own, count - 1), index, 1)
         own, count = starts[~hot], lengths[~hot]
         for m in np.unique(count[count > 1]).tolist():
             rows = own[count == m]
             x, y = np.triu_indices(m, 1)
-            for at in range(0, len(rows), max(1, 500_000 // len(x))):
-                base = rows[at : at + max(1, 500_000 // len(x)), None]
-                yield emit(n, doc, often, (base + x).ravel(), (base + y).ravel(), 0)
+            for at in range(0, len(rows), max(1, 200_000 // len(x))):
+                base = rows[at : at + max(1, 200_000 // len(x)), None]
+                yield pairs(n, doc, often, (base + x).ravel(), (base + y).ravel(), 0)
 
     return run
 
@@ -253,39 +279,14 @@ def _within(counts: np.ndarray) -> np.ndarray:
     return np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
-def _member_filter(ids: DataFrame) -> np.ndarray:
-    """Bits of a Bloom filter of the ids, 16 MB at any number of them."""
-    mask = np.uint64((1 << FILTER_BITS) - 1)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            h = splitmix(np.asarray(batch.column(0)).view(np.uint64))
-            bits = np.concatenate([h & mask, (h >> np.uint64(32)) & mask])
-            yield _record("word bit", pa.array((bits >> np.uint64(6)).astype(np.int32)), pa.array((np.uint64(1) << (bits & np.uint64(63))).view(np.int64)))
-
-    words = ids.mapInArrow(run, "word int, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-    out = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
-    out[np.asarray(words.column("word").combine_chunks())] = np.asarray(words.column("bits").combine_chunks()).view(np.uint64)
-    return out
-
-
-def _in_filter(ids: np.ndarray, words: np.ndarray) -> np.ndarray:
-    h = splitmix(ids.view(np.uint64))
-    mask = np.uint64((1 << FILTER_BITS) - 1)
-    hit = np.ones(len(ids), bool)
-    for bits in (h & mask, (h >> np.uint64(32)) & mask):
-        hit &= (words[(bits >> np.uint64(6)).astype(np.int64)] >> (bits & np.uint64(63))) & np.uint64(1) == 1
-    return hit
-
-
 def _links(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole sets reach the overlap, found by binary probes."""
     ids = pairs.select("a").union(pairs.select("b")).distinct()
-    shared = docs.sparkSession.sparkContext.broadcast(_member_filter(ids))
+    shared = docs.sparkSession.sparkContext.broadcast(member_filter(ids))
 
     def sets(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         ids = np.asarray(batch.column("doc_id").fill_null(0))
-        keep = _in_filter(ids, shared.value) & np.asarray(batch.column("doc_id").is_valid())
+        keep = in_filter(ids, shared.value) & np.asarray(batch.column("doc_id").is_valid())
         if not keep.any():
             return None
         batch = batch.filter(pa.array(keep))
@@ -307,13 +308,17 @@ def _links(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame
     whole = _by_text(docs, sets, SETS)
     x = whole.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
     y = whole.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
-    return pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(probe, "a long, b long").distinct()
+    links = durable(pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(probe, "a long, b long").distinct())
+    shared.destroy()
+    return links
 
 
-def _cross_pairs(postings: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components that share no infrequent short list and may still reach the overlap by frequent ones."""
-    hot = postings.where("frequent = 1").join(labels, postings.doc_id == labels.vertex, "left")
-    hot = hot.select("shingle", "large", "n", "doc_id", "often", F.coalesce("root", "doc_id").alias("label"))
+def _cross_pairs(hot: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components that share no short list and may still reach the overlap by long ones.
+
+    hot: the postings (shingle, large, n, doc_id, often) of long lists; often: how many of them the document has.
+    """
+    hot = hot.join(labels, hot.doc_id == labels.vertex, "left").select("shingle", "large", "n", "doc_id", "often", F.coalesce("root", "doc_id").alias("label"))
 
     def need(x, y):
         total = F.ceil(percent * (x + y) / (100 + percent) - 1e-9)
@@ -333,43 +338,65 @@ def _cross_pairs(postings: DataFrame, labels: DataFrame, percent: int) -> DataFr
     return met.groupBy("a", "b").agg(F.count("*").alias("n"), F.min("need").alias("need")).where("n >= need").select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, often: int = 16, most_often: int = 1_000_000) -> DataFrame:
+def _same_id(held: DataFrame, single: DataFrame) -> DataFrame:
+    """Edges (a, b) between the first documents of sets that rows of one id hold."""
+    several = held.groupBy("doc_id").agg(F.countDistinct("digest_1", "digest_2").alias("sets")).where("sets > 1").select("doc_id")
+    firsts = held.join(several, "doc_id").select("doc_id", "digest_1", "digest_2").join(single.select("digest_1", "digest_2", F.col("doc_id").alias("b")), ["digest_1", "digest_2"])
+    return firsts.where("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct()
+
+
+def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, often: int = 16, most_often: int = 1_000_000, long_list: int = 64) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of ``docs`` (doc_id, text)."""
-    docs = docs.select("doc_id", "text")
-    frequent = _often(docs, n, percent, often, most_often)
-    rows = durable(_prefixes(docs, n, percent, frequent))
+    docs = small_batches(docs.select("doc_id", "text"))
+    shared = docs.sparkSession.sparkContext.broadcast(_often(docs, n, percent, often, most_often))
+    rows = durable(_prefixes(docs, n, percent, shared))
     held = rows.where("n > 0 AND doc_id IS NOT NULL")
     # one document of each set, the first
     single = held.groupBy("digest_1", "digest_2").agg(F.min(F.struct("doc_id", "n", "small", "small_often", "large", "large_often")).alias("r")).select("digest_1", "digest_2", "r.*")
     single = durable(single)
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles_often, parts = shared.value
         for batch in batches:
             for large, name in enumerate(("small", "large")):
                 lists = batch.column(name)
                 counts = np.diff(np.asarray(lists.offsets)).astype(np.int64)
                 shingles = np.asarray(lists.flatten())
-                frequent = _is_in(shingles.view(np.uint64), shared.value)
+                doc = np.repeat(np.asarray(batch.column("doc_id")), counts)
+                frequent = _is_in(shingles.view(np.uint64), shingles_often)
+                at = np.searchsorted(shingles_often, shingles.view(np.uint64)[frequent])
                 size = np.log(np.maximum(np.asarray(batch.column("n")), 1)) / np.log(1.2)
+                # a frequent shingle's list is split by size and, if it is very long, by a hash of posting and document
+                part = np.zeros(len(shingles), np.int32)
+                part[frequent] = np.repeat(size, counts)[frequent].astype(np.int32) + 256 * (splitmix((doc ^ shingles).view(np.uint64)[frequent]) % parts[at]).astype(np.int32)
                 often = np.asarray(batch.column(f"{name}_often"))
                 yield _record(
-                    "shingle large size frequent n doc_id often light",
-                    pa.array(shingles), pa.array(np.full(len(shingles), large, np.int8)), pa.array(np.where(frequent, np.repeat(size, counts), 0).astype(np.int16)), pa.array(frequent.astype(np.int8)),
-                    pa.array(np.repeat(np.asarray(batch.column("n")), counts)), pa.array(np.repeat(np.asarray(batch.column("doc_id")), counts)),
-                    pa.array(np.repeat(often, counts)), pa.array(np.repeat(counts.astype(np.int32) - often, counts)),
+                    "shingle large part frequent n doc_id often light",
+                    pa.array(shingles), pa.array(np.full(len(shingles), large, np.int8)), pa.array(part), pa.array(frequent.astype(np.int8)), pa.array(np.repeat(np.asarray(batch.column("n")), counts)),
+                    pa.array(doc), pa.array(np.repeat(often, counts)), pa.array(np.repeat(counts.astype(np.int32) - often, counts)),
                 )
 
-    postings = single.mapInArrow(post, "shingle long, large byte, size short, frequent byte, n int, doc_id long, often int, light int")
-    ordered = postings.repartition("shingle").sortWithinPartitions("shingle", "large", "size", "light", "n", "doc_id")
-    met = ordered.drop("light").mapInArrow(_list_pairs(percent), PAIRS)
-    pairs = met.groupBy("a", "b").agg(F.sum("light").alias("light"), F.min("need").alias("need"), F.max("star").alias("star")).where("star = 1 OR light >= need")
-    tried = durable(pairs.select("a", "b"))
-    links = durable(_links(docs, tried, n, percent))
+    postings = single.mapInArrow(post, "shingle long, large byte, part int, frequent byte, n int, doc_id long, often int, light int")
+    ordered = postings.repartition("shingle", "large", "part").sortWithinPartitions("shingle", "large", "part", "light", "n", "doc_id")
+    met = ordered.drop("light").mapInArrow(_list_pairs(percent, long_list), MET)
+    met = durable(met.groupBy("a", "b", "shingle", "large").agg(F.sum("light").alias("light"), F.min("need").alias("need"), F.max("star").alias("star"), F.max("n").alias("n")))
+    found = met.where("shingle IS NOT NULL").select("shingle", "large", "n", F.col("a").alias("doc_id"))
+    hot = postings.where("frequent = 1").select("shingle", "large", "n", "doc_id", "often")
+    pairs = met.where("shingle IS NULL")
+    if found.limit(1).count():  # lists that turned out long: what a pair needs of short ones is less by those both may have
+        in_long = durable(found.groupBy("doc_id").agg(F.count("*").cast("int").alias("more")))
+        hot = hot.union(found.withColumn("often", F.lit(0))).groupBy("doc_id", "shingle", "large", "n").agg(F.max("often").alias("often"))
+        known = rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.greatest("small_often", "large_often")).alias("before"))
+        hot = hot.join(in_long, "doc_id", "left").join(known, "doc_id").select("shingle", "large", "n", "doc_id", (F.greatest("often", "before") + F.coalesce("more", F.lit(0))).alias("often"))
+        pairs = pairs.join(in_long.select(F.col("doc_id").alias("a"), F.col("more").alias("x")), "a", "left").join(in_long.select(F.col("doc_id").alias("b"), F.col("more").alias("y")), "b", "left")
+        pairs = pairs.withColumn("need", F.col("need") - F.least(F.coalesce("x", F.lit(0)), F.coalesce("y", F.lit(0))))
+    tried = durable(pairs.where("star = 1 OR light >= need").select("a", "b"))
+    links = _links(docs, tried, n, percent).union(_same_id(held, single))
     labels = components(links)
-    more = durable(_cross_pairs(postings, labels, percent).join(tried, ["a", "b"], "left_anti"))
+    more = durable(_cross_pairs(hot, labels, percent).join(tried, ["a", "b"], "left_anti"))
+    shared.destroy()
     if more.limit(1).count():
-        later = durable(_links(docs, more, n, percent))
+        later = _links(docs, more, n, percent)
         if later.limit(1).count():  # the components found so far stand for their links
             labels = components(labels.select(F.col("vertex").alias("a"), F.col("root").alias("b")).union(later))
     # every copy follows the document of its set; rows that share an id share a component

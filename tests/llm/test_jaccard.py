@@ -51,9 +51,10 @@ def test_tables(spark, sf_dir, n, percent):
     assert found(docs, n=n, percent=percent) == want
 
 
-@pytest.mark.parametrize(("seed", "often"), [(1, 16), (2, 3), (3, 2)])
-def test_groups_chains_and_shared_passages(spark, seed, often):
-    """Families of near copies, chains of ever more edits, boilerplate: every link counts, in hot lists too."""
+@pytest.mark.parametrize(("seed", "often", "most_often", "long_list", "part"), [(1, 16, 10**6, 64, 10**6), (2, 3, 10**6, 6, 4), (3, 2, 0, 4, 10**6), (4, 3, 40, 5, 3)])
+def test_groups_chains_and_shared_passages(spark, monkeypatch, seed, often, most_often, long_list, part):
+    """Families of near copies, chains of ever more edits, boilerplate: every link counts, in hot lists too, whether the frequent set holds them or not."""
+    monkeypatch.setattr(jaccard, "PART", part)
     rng = random.Random(seed)
     vocabulary = [f"w{i}" for i in range(400)]
     passages = [[rng.choice(vocabulary) for _ in range(14)] for _ in range(3)]
@@ -72,7 +73,7 @@ def test_groups_chains_and_shared_passages(spark, seed, often):
     rng.shuffle(rows)
     table = [(i, " ".join(w)) for i, w in enumerate(rows)]
     docs = spark.createDataFrame([(i, t, "", "", 0) for i, t in table], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
-    assert found(docs, n=4, percent=85, often=often) == brute(table, 4, 85)
+    assert found(docs, n=4, percent=85, often=often, most_often=most_often, long_list=long_list) == brute(table, 4, 85)
 
 
 def test_odd_rows(spark):
@@ -82,6 +83,14 @@ def test_odd_rows(spark):
     assert jaccard.near_duplicates(odd_docs(spark)).count() == 9
 
 
+def test_one_id_with_several_texts(spark):
+    """Rows that share an id are one document: it links by either text."""
+    a, b = (" ".join(f"{x}{i}" for i in range(30)) for x in "ab")
+    rows = [(1, b), (5, a), (5, b), (7, a), (9, "alone of its kind here"), (5, None)]
+    got = {(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), n=4, percent=85).collect()}
+    assert got == {(1, 27, 1), (5, 27, 1), (5, 0, 5), (7, 27, 1), (9, 2, 9)}
+
+
 def test_empty(spark):
     assert jaccard.near_duplicates(empty_docs(spark)).count() == 0
 
