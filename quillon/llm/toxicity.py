@@ -3,20 +3,26 @@
 A text is a TF-IDF vector over words and word beginnings (``PREFIXES`` bytes)
 that the labelled examples show to be tied to label 1 (log-likelihood ratio of
 at least ``least_ratio``, and ``least_lift`` times the rate of the other label, as
-longer texts hold more of every common word). Similarity is the exact cosine. The examples stand
-in blocks; each feature knows the largest weight it has in each block, which
-bounds what any example of the block can score, so blocks are scored in order
-of their bound until the bound falls under the k-th best (block-max index).
+longer texts hold more of every common word); a text is near an example only by
+such features, so a toxic text all of whose features are new to the examples is
+not found. Similarity is the exact cosine. The examples stand in blocks; an
+inverted list gives each feature's blocks, with the largest weight it has in
+each and its postings there. The block maxima bound what any example of a block
+can score, so blocks are opened in order of their bound until the bound falls
+under the k-th best, and only the text's own features' postings are read.
 The ``k`` nearest vote, weighted by similarity and by how often their class was
 sampled; a logistic curve fitted to the leave-one-out votes of the examples
-turns votes into probabilities. Texts without any such feature get the rate of
-label 1 among examples without one. Near copies among the examples count once,
-else the words of one often copied text would look tied to its label.
-
-The model is fitted on a bounded sample of the labelled rows: at most
-``examples`` of each label, those with the smallest hash of their id. All texts
-are scored, whole, in one narrow pass with the model broadcast (its size is
-bounded by ``examples`` and ``features``); no text is shuffled.
+turns votes into probabilities. An example never votes on its own text, and
+ties in similarity go by the examples' content, so neither ids nor the text's
+own label are inputs. Texts without any such feature get the rate of label 1
+among examples without one. Near copies among the examples count once, else the
+words of one often copied text would look tied to its label.
+
+The model is fitted on a bounded sample of the labelled rows: twice ``examples``
+of each label are drawn by the smallest hash of their id, near copies go, and at
+most ``examples`` of each label stay. All texts are scored, whole, in one narrow
+pass with the model broadcast (its size is bounded by ``examples`` and
+``features``); no text is shuffled.
 
 Defined results: a null or empty text has no feature and is scored as such;
 labels of null are not learned from; of repeated label rows the largest label
@@ -30,10 +36,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm._arrow import _FOLDED, Spans, list_column, splitmix, string_bytes, sub_batches
+from quillon.llm._arrow import _FOLDED, Spans, list_column, small_batches, splitmix, string_bytes, sub_batches
 from quillon.llm.jaccard import shingle_sets
 
 PREFIXES = (3, 4, 5, 6)
@@ -87,8 +94,19 @@ def _log_likelihood(a: Column, b: Column, n1: int, n0: int) -> Column:
     return 2 * (part(a, n1 * rate) + part(b, n0 * rate) + part(n1 - a, n1 * (1 - rate)) + part(n0 - b, n0 * (1 - rate)))
 
 
+def digests(column: pa.Array) -> np.ndarray:
+    """A hash of each whole text; null is empty."""
+    return np.array([xxhash.xxh64_intdigest((t.as_buffer() or b"") if t.is_valid else b"") for t in column], np.uint64)
+
+
+def _ranges(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """starts[0] .. ends[0] - 1, starts[1] .. and so on."""
+    counts = ends - starts
+    return np.arange(int(counts.sum())) + np.repeat(starts - np.cumsum(counts) + counts, counts)
+
+
 class Model:
-    """The examples' vectors, their block maxima and the curve; small, plain arrays."""
+    """The examples' inverted lists with block maxima, and the curve; small, plain arrays."""
 
     def __init__(self, vocabulary: np.ndarray, idf: np.ndarray, ids: np.ndarray, labels: np.ndarray, rates: tuple[float, float], k: int):
         order = np.argsort(vocabulary)
@@ -96,9 +114,9 @@ class Model:
         self.gate = np.zeros(GATE, bool)
         self.gate[(self.vocabulary & np.uint64(GATE - 1)).astype(np.int64)] = True
         self.ids, self.labels, self.rates, self.k = ids, labels, rates, k
+        self.digests = np.zeros(len(ids), np.uint64)
         self.slope, self.shift, self.none = 1.0, 0.0, 0.0
-        self.blocks: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        self.best = np.zeros((len(self.vocabulary), 0), np.float32)
+        self.index([])
 
     def known(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(positions in ``hashes``, feature numbers) of those in the vocabulary."""
@@ -121,43 +139,64 @@ class Model:
         return [(number[a:b], weight[a:b] / max(np.sqrt(np.square(weight[a:b]).sum()), 1e-300)) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
 
     def index(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> None:
-        """Put the examples in blocks of like texts (by strongest feature)."""
+        """Put the examples in blocks of like texts (by strongest feature) and invert them.
+
+        A list is a run of entries, one for each block that holds the feature:
+        its largest weight in the block and its postings there.
+        """
         held = np.array([i for i, (f, _) in enumerate(vectors) if len(f)], np.int64)
         keys = np.array([vectors[i][0][np.argmax(vectors[i][1])] for i in held], np.int64)
-        held = held[np.argsort(keys, kind="stable")]
-        self.best = np.zeros((len(self.vocabulary), -(-len(held) // BLOCK)), np.float32)
-        for b in range(self.best.shape[1]):
-            own = held[b * BLOCK : (b + 1) * BLOCK]
-            number = np.concatenate([vectors[i][0] for i in own])
-            weight = np.concatenate([vectors[i][1] for i in own])
-            row = np.repeat(np.arange(len(own)), [len(vectors[i][0]) for i in own])
-            # rounded up, so that the bound holds in single precision
-            np.maximum.at(self.best[:, b], number, np.nextafter(weight.astype(np.float32), np.float32(2)))
-            self.blocks.append((own, number, weight, row))
+        self.order = held[np.lexsort((self.digests[held], keys))]
+        place = np.repeat(np.arange(len(held)), [len(vectors[i][0]) for i in self.order])
+        number = np.concatenate([np.zeros(0, np.int64), *(vectors[i][0] for i in self.order)])
+        weight = np.concatenate([np.zeros(0), *(vectors[i][1] for i in self.order)])
+        by_list = np.lexsort((place, number))
+        self.posting_row, self.posting_weight, number = place[by_list], weight[by_list], number[by_list]
+        block = self.posting_row // BLOCK
+        at = np.flatnonzero(np.append(np.ones(min(1, len(number)), bool), (number[1:] != number[:-1]) | (block[1:] != block[:-1])))
+        self.entry_block, self.entry_start = block[at], at
+        self.entry_end = np.append(at[1:], len(number))[: len(at)]
+        self.entry_most = np.maximum.reduceat(self.posting_weight, at) if len(at) else np.zeros(0)
+        self.lists = np.searchsorted(number[at], np.arange(len(self.vocabulary) + 1))
         lone = np.setdiff1d(np.arange(len(vectors)), held)
         toxic, clean = (float((self.labels[lone] == v).sum()) * self.rates[v] for v in (1, 0))
         self.none = (toxic / (toxic + clean)) if toxic + clean else 0.0
 
-    def nearest(self, number: np.ndarray, weight: np.ndarray, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """(examples, cosines) of the k nearest with any shared feature; ties to the smaller id."""
-        bounds = weight.astype(np.float32) @ self.best[number] * np.float32(1.0001)
-        dense = np.zeros(len(self.vocabulary))
-        dense[number] = weight
+    def nearest(self, number: np.ndarray, weight: np.ndarray, digest: np.uint64 | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(examples, cosines) of the k nearest with any shared feature, without those of the text ``digest`` itself; ties by content."""
+        starts, ends = self.lists[number], self.lists[number + 1]
+        entries = _ranges(starts, ends)
+        own = np.repeat(weight, ends - starts)
+        by_block = np.argsort(self.entry_block[entries], kind="stable")
+        entries, own = entries[by_block], own[by_block]
+        blocks, first = np.unique(self.entry_block[entries], return_index=True)
+        last = np.append(first[1:], len(entries))
+        # rounded up by far more than the sums' rounding error
+        bounds = np.add.reduceat(self.entry_most[entries] * own, first) * (1 + 1e-9) if len(first) else np.zeros(0)
         rows, scores, floor = np.zeros(0, np.int64), np.zeros(0), 0.0
         for b in np.argsort(-bounds, kind="stable").tolist():
-            if bounds[b] <= 0 or (len(rows) >= self.k and bounds[b] < floor):
+            if len(rows) >= self.k and bounds[b] < floor:
                 break
-            own, numbers, weights, row = self.blocks[b]
-            found = np.bincount(row, dense[numbers] * weights, len(own))
-            keep = (found > 0) & (own != but)
-            rows, scores = np.concatenate([rows, own[keep]]), np.concatenate([scores, found[keep]])
+            part = slice(first[b], last[b])
+            from_, to = self.entry_start[entries[part]], self.entry_end[entries[part]]
+            postings = _ranges(from_, to)
+            base = int(blocks[b]) * BLOCK
+            found = np.bincount(self.posting_row[postings] - base, np.repeat(own[part], to - from_) * self.posting_weight[postings])
+            keep = np.flatnonzero(found > 0)
+            near, found = self.order[base + keep], found[keep]
+            if digest is not None and (same := self.digests[near] == digest).any():
+                near, found = near[~same], found[~same]
+            rows, scores = np.concatenate([rows, near]), np.concatenate([scores, found])
             if len(rows) > self.k:
-                order = np.lexsort((self.ids[rows], -np.round(scores, 12)))[: self.k]
+                order = self._ranked(rows, scores)[: self.k]
                 rows, scores = rows[order], scores[order]
                 floor = scores.min() - 1e-9
-        order = np.lexsort((self.ids[rows], -np.round(scores, 12)))
+        order = self._ranked(rows, scores)
         return rows[order], scores[order]
 
+    def _ranked(self, rows: np.ndarray, scores: np.ndarray) -> np.ndarray:
+        return np.lexsort((self.digests[rows], -np.round(scores, 12)))
+
     def votes(self, rows: np.ndarray, scores: np.ndarray) -> float:
         """The log odds of label 1 among the neighbours, each voting with its cosine and class weight."""
         toxic = self.labels[rows] == 1
@@ -168,7 +207,7 @@ class Model:
         own = [i for i, (f, _) in enumerate(vectors) if len(f)]
         if not own:
             return
-        x = np.array([self.votes(*self.nearest(*vectors[i], but=i)) for i in own])
+        x = np.array([self.votes(*self.nearest(*vectors[i], self.digests[i])) for i in own])
         y = self.labels[own].astype(float)
         w = np.where(y == 1, *self.rates[::-1])
         w = w / w.sum() * len(w)
@@ -189,9 +228,15 @@ class Model:
             return self.none
         return float(1 / (1 + np.exp(-np.clip(self.slope * self.votes(rows, scores) + self.shift, -30, 30))))
 
+    def judged(self, column: pa.Array) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
+        """(score, examples that voted, their cosines) of each text."""
+        for i, (number, weight) in enumerate(self.vectors(column)):
+            found = self.nearest(number, weight, digests(column[i : i + 1])[0]) if len(number) else (np.zeros(0, np.int64), np.zeros(0))
+            yield self.score(*found), *found
+
 
 def _distinct(texts: DataFrame) -> set[int]:
-    """The ids of sampled texts, but one of near copies: texts that share the least of two hashes of their word triples."""
+    """The ids of sampled texts, but one of near copies: texts whose word triples have the same two least hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -204,21 +249,23 @@ def _distinct(texts: DataFrame) -> set[int]:
                         kept.append(int(hashes.min().view(np.int64)) if n else None)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in least)], names=["doc_id", "one", "two"])
 
-    kept: list[dict] = [{}, {}]
-    rows = sorted(texts.mapInArrow(run, "doc_id long, one long, two long").collect())
-    return {r.doc_id for r in rows if r.one is None or {seen.setdefault(h, r.doc_id) for seen, h in zip(kept, (r.one, r.two), strict=True)} == {r.doc_id}}
+    first: dict[tuple, int] = {}
+    for r in sorted(texts.mapInArrow(run, "doc_id long, one long, two long").collect(), key=lambda r: r.doc_id):
+        first.setdefault((r.doc_id,) if r.one is None else (r.one, r.two), r.doc_id)
+    return set(first.values())
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, examples: int = 4000, features_kept: int = 20_000, least_ratio: float = 20.0, least_lift: float = 10.0, k: int = 15) -> Model:
     """Learn from the rows of ``labels`` (doc_id, toxic) for which ``learn`` holds."""
     known = labels.where(learn & F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     totals = dict(known.groupBy("toxic").count().collect())
-    chosen = known.where("toxic = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(examples).union(known.where("toxic = 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(examples))
-    picked = [(r["doc_id"], r["toxic"]) for r in chosen.collect()]
+    docs = small_batches(docs)
+    chosen = [known.where(F.col("toxic") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * examples) for v in (1, 0)]
+    picked = [(r["doc_id"], r["toxic"]) for r in chosen[0].union(chosen[1]).collect()]
     if picked:
         sampled = docs.sparkSession.createDataFrame(picked, "learned long, toxic int")
         single = _distinct(docs.select("doc_id", "text").join(F.broadcast(sampled), F.col("doc_id") == F.col("learned")))
-        picked = [(i, t) for i, t in picked if i in single]
+        picked = [x for v in (1, 0) for x in [(i, t) for i, t in picked if i in single and t == v][:examples]]
     taken = {v: sum(t == v for _, t in picked) for v in (0, 1)}
     nothing = Model(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64), (1.0, 1.0), k)
     if not taken[0] or not taken[1]:
@@ -262,13 +309,14 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, examples: int = 4000,
                 vectors = shared.value.vectors(batch.column("text"))
                 counts = [len(f) for f, _ in vectors]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), batch.column("toxic"), list_column(np.concatenate([f for f, _ in vectors]).astype(np.int32), counts, pa.int32()), list_column(np.concatenate([w for _, w in vectors]), counts, pa.float64())],
-                    names=["doc_id", "toxic", "features", "weights"],
+                    [batch.column("doc_id"), batch.column("toxic"), pa.array(digests(batch.column("text")).view(np.int64)), list_column(np.concatenate([f for f, _ in vectors]).astype(np.int32), counts, pa.int32()), list_column(np.concatenate([w for _, w in vectors]), counts, pa.float64())],
+                    names=["doc_id", "toxic", "digest", "features", "weights"],
                 )
 
-    rows = texts.mapInArrow(example, "doc_id long, toxic int, features array<int>, weights array<double>").dropDuplicates(["doc_id"]).orderBy("doc_id").toArrow()
+    rows = texts.mapInArrow(example, "doc_id long, toxic int, digest long, features array<int>, weights array<double>").dropDuplicates(["doc_id"]).orderBy("doc_id").toArrow()
     model.ids = np.asarray(rows.column("doc_id").combine_chunks())
     model.labels = np.asarray(rows.column("toxic").combine_chunks()).astype(np.int64)
+    model.digests = np.asarray(rows.column("digest").combine_chunks()).view(np.uint64)
     vectors = [(np.array(f, np.int64), np.array(w, float)) for f, w in zip(rows.column("features").to_pylist(), rows.column("weights").to_pylist(), strict=True)]
     model.index(vectors)
     model.calibrate(vectors)
@@ -277,16 +325,15 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, examples: int = 4000,
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """SCORED rows: a probability of label 1 and the neighbours that voted, for every row of ``docs``."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = small_batches(docs).sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = shared.value
         for whole in batches:
             for batch in sub_batches(whole, "text"):
                 scores, evidence = [], []
-                for number, weight in m.vectors(batch.column("text")):
-                    rows, cosines = m.nearest(number, weight) if len(number) else (np.zeros(0, np.int64), np.zeros(0))
-                    scores.append(m.score(rows, cosines))
+                for value, rows, cosines in m.judged(batch.column("text")):
+                    scores.append(value)
                     evidence.append([{"doc_id": int(m.ids[r]), "similarity": float(c), "label": int(m.labels[r])} for r, c in zip(rows, cosines, strict=True)])
                 kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("label", pa.int32())]))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64()), pa.array(evidence, kind)], names=["doc_id", "score", "evidence"])
@@ -296,13 +343,13 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def keep_clean(docs: DataFrame, model: Model, most: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that score under ``most``, in one narrow pass."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = small_batches(docs).sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = shared.value
         for whole in batches:
             for batch in sub_batches(whole, "text"):
-                scores = [m.score(*m.nearest(*v)) if len(v[0]) else m.none for v in m.vectors(batch.column("text"))]
+                scores = [value for value, _, _ in m.judged(batch.column("text"))]
                 yield batch.filter(pa.array(np.array(scores) < most, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -50,9 +50,11 @@ def test_block_max_search_is_exact(corpus):
     examples = dense[[int(d) for d in model.ids]]
     for i in range(0, 500, 7):
         cosines = examples @ dense[i]
-        want = sorted(((-round(c, 12), int(d)) for c, d in zip(cosines, model.ids, strict=True) if c > 0))[:15]
+        want = sorted(((-round(c, 12), int(g), int(d)) for c, g, d in zip(cosines, model.digests, model.ids, strict=True) if c > 0))[:15]
         rows, scores = model.nearest(*vectors[i])
-        assert [(-round(s, 12), int(model.ids[r])) for r, s in zip(rows, scores, strict=True)] == want
+        assert [(-round(s, 12), int(model.digests[r]), int(model.ids[r])) for r, s in zip(rows, scores, strict=True)] == want
+        but, _ = model.nearest(*vectors[i], toxicity.digests(pa.array(texts[i : i + 1]))[0])
+        assert i not in model.ids[but] and set(but[:14]) >= {r for r in rows if model.ids[r] != i and r in rows[:14]}
     assert len(by_id) == 500
 
 
@@ -64,3 +66,19 @@ def test_odd_rows(spark, corpus):
     assert toxicity.score(empty_docs(spark), model).count() == 0
     nothing = toxicity.fit(docs, spark.createDataFrame([], LABELS), F.lit(True))
     assert {r.score for r in toxicity.score(odd_docs(spark), nothing).collect()} == {0.0}
+
+
+def test_neither_ids_nor_own_labels_count(spark, corpus):
+    """Other ids, and copies of an example under a new id, get the same scores."""
+    docs, labels = corpus
+    model = toxicity.fit(docs, labels, F.col("doc_id") % 5 != 0)
+    score = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    again = {r.doc_id: r.score for r in toxicity.score(docs.withColumn("doc_id", F.col("doc_id") + 10_000), model).collect()}
+    assert again == {i + 10_000: s for i, s in score.items()}
+
+
+def test_near_copies_count_once(spark):
+    long = " ".join(f"w{i}" for i in range(200))
+    rows = [(i, f"{long} end", "", "", 0) for i in range(5)] + [(5, "another text of its own", "", "", 0), (6, "", "", "", 0), (7, None, "", "", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert toxicity._distinct(docs.select("doc_id", "text")) == {0, 5, 6, 7}
