@@ -1,22 +1,30 @@
 """Line dedup by pairwise alignment.
 
 Lines are compared by a hash of their words (A-Z folded, white space aside);
-blank lines count for nothing. A document's partners are the first documents
-(by id) that hold its units, which are its lines and its pairs of consecutive
-lines; a partner is aligned with it if the units they share hold ``min_words``
-words in all, however many documents hold them. (``rare``, if given, cuts this
-down: a single shared line then counts only if at most ``rare`` documents hold
-it.) The two are aligned by patience diff: lines that are unique in both
-anchor the alignment by their longest increasing run, and what lies between
-anchors is aligned in the same way. Runs of aligned lines that hold at least
-``min_words`` words are common blocks; they are deleted from the later document.
+blank lines count for nothing. A run is a shortest stretch of consecutive lines
+of at least ``min_words`` words, counted forward or back from some line: rarer
+than a single short line, and any block of ``min_words`` words that two
+documents share is made of runs they share, whatever stands around it. A
+document's partners are the first documents (by id) that hold its runs. The two
+are aligned by patience diff: lines that are unique in both anchor the
+alignment by their longest increasing chain, and what lies between anchors is
+aligned in the same way. Stretches of aligned lines that hold at least
+``min_words`` words are common blocks; so are shared runs that the alignment
+leaves out because they stand in another order. Common blocks are deleted from
+the later document.
+
+So a line goes exactly if it lies in a stretch of consecutive lines of at least
+``min_words`` words that some document with a smaller id holds too, however
+many do: a block that has lost its first holder as a partner has it by another
+of its runs.
 
 Work on Spark: a narrow pass makes line hashes, which a checkpoint keeps (about
-16 bytes a line). Documents of equal lines are collapsed first. Each unit's
+16 bytes a line). Documents of equal lines are collapsed first. Each run's
 occurrence makes one pair at most, (document, first holder), so a line that a
 third of all documents hold makes pairs in proportion to them, never their
-square. Only hashes go through the pair joins; the texts are shuffled once, to
-meet their deletions.
+square; the first holders are a table of their own, so that Spark can split the
+join of a hot run. Only hashes go through the pair joins; the texts are
+shuffled once, to meet their deletions.
 
 Defined results: a null text stays null; blank lines stay unless a text loses
 all its other lines; rows without an id are left alone; rows that share an id
@@ -36,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm._arrow import list_column, run_hashes, splitmix, string_bytes, sub_batches, word_spans
+from quillon.llm._arrow import list_column, run_hashes, small_batches, splitmix, string_bytes, sub_batches, word_spans
 from quillon.session import durable
 
 LINES = "doc_id long, key long, digest_1 long, digest_2 long, lines array<long>, words array<int>, numbers array<int>"
@@ -101,9 +109,25 @@ def _aligned(a: list, b: list) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def runs(words: np.ndarray, text: np.ndarray, min_words: int) -> np.ndarray:
+    """(first line, end) of the shortest runs of ``min_words`` words forward and back from every line; text: whose line it is."""
+    if not len(words):
+        return np.zeros((0, 2), np.int64)
+    upto = np.cumsum(words)
+    before = upto - words
+    end = np.searchsorted(upto, before + min_words)
+    fits = end < len(upto)
+    fits[fits] = text[end[fits]] == text[fits]
+    start = np.searchsorted(before, upto - min_words, side="right") - 1
+    reaches = start >= 0
+    reaches[reaches] = text[start[reaches]] == text[reaches]
+    ahead = np.stack([np.flatnonzero(fits), end[fits] + 1], 1)
+    return np.unique(np.concatenate([ahead, np.stack([start[reaches], np.flatnonzero(reaches) + 1], 1)]), axis=0)
+
+
 def common_blocks(a: list, b: list, words: list[int], min_words: int) -> list[int]:
-    """Positions in ``a`` of its aligned blocks with ``b`` that hold ``min_words`` words."""
-    gone: list[int] = []
+    """Positions in ``a`` of its common blocks with ``b``: aligned ones, and shared runs that stand in another order."""
+    gone: set[int] = set()
     block: list[int] = []
     last = None
     for i, j in [*_aligned(a, b), (None, None)]:
@@ -111,12 +135,22 @@ def common_blocks(a: list, b: list, words: list[int], min_words: int) -> list[in
             block.append(i)
         else:
             if sum(words[k] for k in block) >= min_words:
-                gone += block
+                gone.update(block)
             block = [i]
         last = (i, j)
         if i is None:
             break
-    return gone
+    left = [(i, j) for i, j in runs(np.array(words), np.zeros(len(a)), min_words).tolist() if not gone.issuperset(range(i, j))]
+    if left:
+        size = dict(zip(a, words, strict=True))
+        known = [x in size for x in b]
+        # lines that ``a`` doesn't hold end a run of ``b``
+        held = runs(np.array([size.get(x, min_words) for x in b]), np.cumsum(np.logical_not(known)), min_words).tolist()
+        theirs = {tuple(b[i:j]) for i, j in held if all(known[i:j])}
+        for i, j in left:
+            if tuple(a[i:j]) in theirs:
+                gone.update(range(i, j))
+    return sorted(gone)
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -138,27 +172,30 @@ def _lines(docs: DataFrame) -> DataFrame:
     return keyed.mapInArrow(run, LINES).where(F.size("lines") > 0)
 
 
-def removals(docs: DataFrame, min_words: int = 20, rare: int | None = None) -> DataFrame:
+def removals(docs: DataFrame, min_words: int = 20) -> DataFrame:
     """(doc_id, key, removed): the line numbers that go, for documents that lose some; key: xxhash64 of the text."""
-    lines = durable(_lines(docs))
+    lines = durable(_lines(small_batches(docs)))
     words = F.aggregate("words", F.lit(0), lambda a, x: a + x)
-    first = lines.groupBy("digest_1", "digest_2").agg(F.min(F.struct("doc_id", "key")).alias("f")).select("digest_1", "digest_2", F.col("f.doc_id").alias("first_id"), F.col("f.key").alias("first_key"))
-    ranked = lines.join(first, ["digest_1", "digest_2"])
+    alike = lines.groupBy("digest_1", "digest_2").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).where("first_id < last_id").drop("last_id")
+    ranked = lines.join(durable(alike), ["digest_1", "digest_2"], "left")
     whole = ranked.where((F.col("doc_id") > F.col("first_id")) & (words >= min_words)).select("doc_id", "key", F.col("numbers").alias("removed"))
-    single = ranked.where("doc_id = first_id AND key = first_key").dropDuplicates(["doc_id", "key"]).select("doc_id", "key", "lines", "words", "numbers")
-    later = F.slice("lines", 2, F.size("lines"))
-    more = F.slice("words", 2, F.size("words"))
-    pair = F.zip_with(F.zip_with(F.slice("lines", 1, F.size("lines") - 1), later, lambda a, b: F.xxhash64(a, b)), F.zip_with(F.slice("words", 1, F.size("lines") - 1), more, lambda a, b: a + b), lambda u, w: F.struct(u.alias("unit"), w.alias("words"), F.lit(2).alias("lines")))
-    alone = F.zip_with("lines", "words", lambda u, w: F.struct(u.alias("unit"), w.alias("words"), F.lit(1).alias("lines")))
-    held = single.select("doc_id", "key", F.explode(F.concat(alone, pair)).alias("u")).select("doc_id", "key", "u.*")
-    posted = held.groupBy("doc_id", "key", "unit", "lines").agg(F.sum("words").alias("words"))
-    holders = posted.groupBy("unit", "lines").agg(F.min(F.struct("doc_id", "key")).alias("owner"), F.count("*").alias("held")).where("held > 1")
-    met = posted.join(holders, ["unit", "lines"]).where("owner.doc_id < doc_id")
-    pairs = met.groupBy("doc_id", "key", "owner").agg(F.min("held").alias("held"), F.sum("lines").alias("shared"), F.sum("words").alias("words"))
-    enough = F.col("words") >= min_words
-    if rare is not None:
-        enough &= (F.col("held") <= rare) | (F.col("shared") >= 2)
-    pairs = pairs.where(enough).select("doc_id", "key", F.col("owner.doc_id").alias("owner_id"), F.col("owner.key").alias("owner_key"))
+    single = ranked.where("first_id IS NULL OR doc_id = first_id").dropDuplicates(["doc_id", "key"]).select("doc_id", "key", "lines", "words", "numbers")
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = np.diff(np.asarray(batch.column("lines").offsets))
+            hashes = np.asarray(batch.column("lines").flatten()).view(np.uint64)
+            text = np.repeat(np.arange(batch.num_rows), counts)
+            spans = runs(np.asarray(batch.column("words").flatten()), text, min_words)
+            own, unit = text[spans[:, 0]], run_hashes(hashes, spans[:, 0], spans[:, 1])
+            once = np.unique(np.stack([own.astype(np.uint64), unit], 1), axis=0)
+            take = pa.array(once[:, 0].astype(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(take), batch.column("key").take(take), pa.array(once[:, 1].copy().view(np.int64))], names=["doc_id", "key", "unit"])
+
+    posted = single.select("doc_id", "key", "lines", "words").mapInArrow(post, "doc_id long, key long, unit long")
+    # of texts that share the first id any may be the owner: what it shares by the run is the same
+    owners = posted.groupBy("unit").agg(F.min("doc_id").alias("owner_id"), F.min_by("key", "doc_id").alias("owner_key"), F.max("doc_id").alias("last_id")).where("owner_id < last_id").drop("last_id")
+    pairs = posted.join(durable(owners), "unit").where("owner_id < doc_id").select("doc_id", "key", "owner_id", "owner_key").distinct()
     early = single.select(F.col("doc_id").alias("owner_id"), F.col("key").alias("owner_key"), F.col("lines").alias("theirs"))
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,9 +211,9 @@ def removals(docs: DataFrame, min_words: int = 20, rare: int | None = None) -> D
     return merged.union(whole.dropDuplicates(["doc_id", "key"]))
 
 
-def dedup(docs: DataFrame, min_words: int = 20, rare: int | None = None) -> DataFrame:
+def dedup(docs: DataFrame, min_words: int = 20) -> DataFrame:
     """The rows of ``docs`` with common blocks deleted from ``text``, and ``removed`` (null: nothing)."""
-    gone = removals(docs, min_words, rare).select(F.col("doc_id").alias("g_id"), F.col("key").alias("g_key"), F.col("removed").alias("g_removed"))
+    gone = removals(docs, min_words).select(F.col("doc_id").alias("g_id"), F.col("key").alias("g_key"), F.col("removed").alias("g_removed"))
     rows = docs.select(F.struct(*docs.columns).alias("whole_row"), F.col("doc_id").cast("long").alias("d_id"), F.xxhash64("text").alias("d_key"))
     met = rows.join(gone, (F.col("d_id") == F.col("g_id")) & (F.col("d_key") == F.col("g_key")), "left")
     kept = F.filter(F.split("whole_row.text", "\n"), lambda x, i: ~F.array_contains("g_removed", i))

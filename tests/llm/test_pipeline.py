@@ -26,7 +26,7 @@ def test_each_stage_against_a_plain_version(spark, sf_dir):
     cut = stage["line dedup"](spark, clean, sf_dir)
     assert cut.columns == columns
     rows = [(r.doc_id, r.text) for r in clean_rows]
-    gone = brute_lines(rows, 20, 50)
+    gone = brute_lines(rows, 20)
     want = {}
     for i, t in rows:
         lines = [x for k, x in enumerate(t.split("\n")) if k not in gone.get(i, [])]
