@@ -1,24 +1,29 @@
 """Main text of web pages: nearest-URL page differencing beside structural marks.
 
 A page is cut into blocks (one line of text each). Pages of a host stand in
-order of their URL path; each page is paired with that neighbour whose path
-shares the longer beginning (the earlier one on a tie). The two pages' lines
-are aligned by longest common subsequence and shared lines are deleted, except
-inside ``article`` or ``main``: two articles may quote one passage, and copies
-of an article under several URLs share all of it. A neighbour that shares
-``COPY`` of the page's free lines is a copy of it; then nothing is deleted.
+order of their URL path; URLs that differ only in query, fragment, a trailing
+slash or the ending .html or .htm are addresses of one page. Each page is
+paired with that neighbour whose path shares the longer beginning (the earlier
+one on a tie). The two pages' lines are aligned by longest common subsequence
+and shared lines are deleted: everywhere in a page that doesn't say where its
+article is; in ``article`` or ``main``, at its head and its tail, up to its
+first and from its last line that is the page's own, as what pages share in
+between is text that articles quote, not a frame around them. A page without
+any line of its own is a copy of its neighbour and loses nothing.
 
 Differencing alone can't give the main text where menus, adverts and footers
-differ from page to page, so blocks inside elements that name themselves
+are drawn anew for each page, so blocks inside elements that name themselves
 (nav, footer, aside, form, class="ad", role=navigation, ...) go as well. Where
 a page has an ``article`` or ``main``, only its blocks are the main text.
 
-Work on Spark: a narrow pass makes line hashes; only these are range-sorted by
-(host, path), so a hot host spreads over many partitions; the two pages on
-either side of a partition's edge are brought together by a window over one
-row or two per partition. A second narrow pass cuts the texts again and drops
-the deleted lines; those are joined by broadcast while they are few (a checked
-count), else by a shuffle. The html itself is not shuffled in the first case.
+Work on Spark: a narrow pass makes line hashes, which a checkpoint keeps; pages
+of one path make one row, and only hosts and paths are range-sorted, so a hot
+host spreads over many partitions; the two paths on either side of a
+partition's edge are brought together by a window over two short rows of each
+partition. Pages meet their neighbour's line hashes by path. A second narrow
+pass cuts the texts again and drops the deleted lines; those are joined by
+broadcast while they are few (a checked count), else by a shuffle. The html
+itself is not shuffled in the first case.
 
 Defined results: a null or empty html gives an empty text; a null url belongs
 to one host of its own; repeated rows get the same text; other columns are
@@ -40,11 +45,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm._arrow import sub_batches
+from quillon.llm._arrow import small_batches, sub_batches
 from quillon.session import durable
 
-#: Share of a page's free lines that only a copy of it shares.
-COPY = 0.8
 BROADCAST_ROWS = 100_000
 ARTICLE, FREE, MARKED = 0, 1, 2
 
@@ -175,20 +178,21 @@ def common_start(a: str, b: str) -> int:
     return next((i for i in range(n) if a[i] != b[i]), n)
 
 
-def deleted(own: dict, pages: list[dict | None]) -> list[int]:
-    """Lines of a page that its nearest neighbour shares; pages: the one before and the one after."""
-    near = [p for p in pages if p is not None and p["host"] == own["host"] and p["lines"]]
-    near.sort(key=lambda p: -common_start(p["path"], own["path"]))
-    free = sum(z == FREE for z in own["zones"])
-    for page in near:
-        shared = [i for i in aligned(own["lines"], page["lines"]) if own["zones"][i] == FREE]
-        if len(shared) < COPY * free:
-            return shared
-    return []
+def deleted(lines: list[int], zones: list[int], theirs: list[int]) -> list[int]:
+    """The lines that a page loses to its neighbour's."""
+    shared = set(aligned(lines, theirs))
+    article = [i for i, z in enumerate(zones) if z == ARTICLE]
+    free = article or [i for i, z in enumerate(zones) if z == FREE]
+    own = [i for i in free if i not in shared]
+    if not own:
+        return []
+    return [i for i in free if i in shared and not (article and own[0] < i < own[-1])]
 
 
 PAGE = "k1 long, k2 long, host string, path string, lines array<long>, zones array<int>"
-EDGES = f"{PAGE}, gone array<int>, part int, nth int, inner struct<host: string, path: string, lines: array<long>, zones: array<int>>"
+NEAR = "host string, path string, near string"
+#: part, nth: of a partition's first and last path, whose other neighbour is in another partition; inner: the one in its own.
+EDGES = f"{NEAR}, part int, nth int, inner_host string, inner_path string"
 
 
 def _hashed(pages: DataFrame) -> DataFrame:
@@ -203,67 +207,73 @@ def _hashed(pages: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("k1", "k2", "host", "path")), pa.array(lines, pa.list_(pa.int64())), pa.array(zones, pa.list_(pa.int32()))], names=["k1", "k2", "host", "path", "lines", "zones"])
 
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
-    path = F.coalesce(F.regexp_extract("url", r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)?([^?#]*)", 1), F.lit(""))
+    path = F.coalesce(F.regexp_replace(F.regexp_extract("url", r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)?([^?#]*)", 1), r"(\.html?)?/*$", ""), F.lit(""))
     return pages.select("k1", "k2", host.alias("host"), path.alias("path"), "html").mapInArrow(run, PAGE)
 
 
-def _neighbours(hashed: DataFrame) -> DataFrame:
-    """(k1, k2, gone): the lines each page loses, for pages that lose some."""
-    names = [f.split()[0] for f in PAGE.split(", ")]
+def nearest(host: str, path: str, others: list[tuple[str, str] | None]) -> str | None:
+    """The path among (host, path) pairs, the earlier first, that lies nearest on the same host."""
+    own = [p for h, p in (o for o in others if o is not None) if h == host]
+    return max(own, key=lambda p: common_start(p, path), default=None)
+
+
+def _near(paths: DataFrame) -> DataFrame:
+    """NEAR rows: the nearest other path of each (host, path), which must be different; null if the host has no other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
+        part, nth = TaskContext.get().partitionId(), 0
         before = now = None
-        nth = 0
-        schema = pa.schema(
-            [("k1", pa.int64()), ("k2", pa.int64()), ("host", pa.string()), ("path", pa.string()), ("lines", pa.list_(pa.int64())), ("zones", pa.list_(pa.int32())), ("gone", pa.list_(pa.int32())), ("part", pa.int32()), ("nth", pa.int32())]
-            + [("inner", pa.struct([("host", pa.string()), ("path", pa.string()), ("lines", pa.list_(pa.int64())), ("zones", pa.list_(pa.int32()))]))]
-        )
+        names = [f.split()[0] for f in EDGES.split(", ")]
 
-        def edge(page: dict, inner: dict | None) -> dict:
-            return page | {"gone": None, "part": part, "nth": nth, "inner": inner and {k: inner[k] for k in ("host", "path", "lines", "zones")}}
+        def rows(found: list[tuple]) -> pa.RecordBatch:
+            kinds = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string())
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], kind) for k, kind in enumerate(kinds)], names=names)
 
         for batch in batches:
-            rows = []
-            for page in batch.to_pylist():
-                if now is not None and (now["k1"], now["k2"]) == (page["k1"], page["k2"]):
-                    continue  # a repeated row; equal rows fall in one partition
+            found = []
+            for page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if now is not None:
-                    if before is None:
-                        rows.append(edge(now, page))
-                    elif gone := deleted(now, [before, page]):
-                        rows.append({"k1": now["k1"], "k2": now["k2"], "gone": gone, "part": part, "nth": nth})
-                    nth += 1
+                    found.append((*now, None, part, nth, *page) if before is None else (*now, nearest(*now, [before, page]), None, None, None, None))
+                    nth = 1
                 before, now = now, page
-            if rows:
-                yield pa.RecordBatch.from_pylist(rows, schema)
+            if found:
+                yield rows(found)
         if now is not None:
-            yield pa.RecordBatch.from_pylist([edge(now, before)], schema)
-
-    ordered = hashed.repartitionByRange("host", "path", "k1", "k2").sortWithinPartitions("host", "path", "k1", "k2")
-    found = durable(ordered.mapInArrow(run, EDGES))
+            yield rows([(*now, None, part, nth, *(before or (None, None)))])
 
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for page in batch.to_pylist():
-                # the first page of a partition has its inner neighbour after it, the last before it
-                gone = deleted(page, [page["outer_before"], page["inner"]] if page["nth"] == 0 and page["inner"] else [page["inner"], page["outer_after"]] if page["inner"] else [page["outer_before"], page["outer_after"]])
-                if gone:
-                    rows.append({"k1": page["k1"], "k2": page["k2"], "gone": gone})
-            yield pa.RecordBatch.from_pylist(rows, pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("gone", pa.list_(pa.int32()))]))
+            near = []
+            for r in batch.to_pylist():
+                inner, ahead, behind = ((r[f"{x}_host"], r[f"{x}_path"]) if r[f"{x}_path"] is not None else None for x in ("inner", "ahead", "behind"))
+                # the first path of a partition has its inner neighbour behind it, the last one ahead
+                near.append(nearest(r["host"], r["path"], [ahead, inner or behind] if r["nth"] == 0 else [inner, behind]))
+            yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("path"), pa.array(near, pa.string())], names=["host", "path", "near"])
+
+    found = durable(paths.select("host", "path").repartitionByRange("host", "path").sortWithinPartitions("host", "path").mapInArrow(run, EDGES))
+    order = Window.orderBy("part", "nth")  # two rows of each partition at most
+    outer = {f"{name}_{c}": f(c).over(order) for name, f in (("ahead", F.lag), ("behind", F.lead)) for c in ("host", "path")}
+    edges = found.where("part IS NOT NULL").withColumns(outer).select("host", "path", "nth", *(f"{x}_{c}" for x in ("inner", "ahead", "behind") for c in ("host", "path")))
+    return found.where("part IS NULL").select("host", "path", "near").union(edges.mapInArrow(resolve, NEAR))
+
+
+def _losses(hashed: DataFrame) -> DataFrame:
+    """(k1, k2, gone): the lines each page loses, for pages that lose some."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            gone = [deleted(*row) for row in zip(*(batch.column(c).to_pylist() for c in ("lines", "zones", "theirs")), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("k1"), batch.column("k2"), pa.array(gone, pa.list_(pa.int32()))], names=["k1", "k2", "gone"])
 
-    order = Window.orderBy("part", "nth")  # a row or two of each partition
-    page = F.struct("host", "path", "lines", "zones")
-    edges = found.where("gone IS NULL").withColumns({"outer_before": F.lag(page).over(order), "outer_after": F.lead(page).over(order)})
-    resolved = edges.select(*names, "nth", "inner", "outer_before", "outer_after").mapInArrow(resolve, "k1 long, k2 long, gone array<int>")
-    return found.where("gone IS NOT NULL").select("k1", "k2", "gone").union(resolved)
+    paths = durable(hashed.groupBy("host", "path").agg(F.min_by("lines", F.struct("k1", "k2")).alias("theirs")))
+    near = _near(paths).where("near IS NOT NULL").join(paths.withColumnRenamed("path", "near"), ["host", "near"]).select("host", "path", "theirs")
+    return hashed.join(near, ["host", "path"]).select("k1", "k2", "lines", "zones", "theirs").mapInArrow(run, "k1 long, k2 long, gone array<int>").where(F.size("gone") > 0)
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every row of ``pages`` (page_id, url, html)."""
-    keyed = pages.select("page_id", "url", "html", F.xxhash64("url", "html").alias("k1"), F.xxhash64(F.lit(1), "html", "url").alias("k2"))
-    gone = durable(_neighbours(_hashed(keyed)).groupBy("k1", "k2").agg(F.first("gone").alias("gone")))
+    keyed = small_batches(pages).select("page_id", "url", "html", F.xxhash64("url", "html").alias("k1"), F.xxhash64(F.lit(1), "html", "url").alias("k2"))
+    gone = durable(_losses(durable(_hashed(keyed).dropDuplicates(["k1", "k2"]))))
     few = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     joined = keyed.join(F.broadcast(gone) if few else gone, ["k1", "k2"], "left").select("page_id", "url", "html", "gone")
 
@@ -273,7 +283,8 @@ def extract(pages: DataFrame) -> DataFrame:
                 texts = []
                 for page, lost in zip(batch.column("html").to_pylist(), batch.column("gone").to_pylist(), strict=True):
                     found, lost = blocks(page or ""), set(lost or ())
-                    kept = [t for t, z in found if z == ARTICLE] or [t for i, (t, z) in enumerate(found) if z == FREE and i not in lost]
+                    zone = ARTICLE if any(z == ARTICLE for _, z in found) else FREE
+                    kept = [t for i, (t, z) in enumerate(found) if z == zone and i not in lost]
                     texts.append("\n\n".join(kept))
                 yield pa.RecordBatch.from_arrays([batch.column("page_id").cast(pa.int64()), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
