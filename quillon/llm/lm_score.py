@@ -1,30 +1,32 @@
 """Cross-entropy difference of a target and a background n-gram model.
 
-``score_words`` takes word bigrams. Tokens are words (white space aside, A-Z
-folded, by 64-bit hash) of any script; all words of all documents are the one
-vocabulary. Counts of all bigrams, their contexts and words stay distributed
-tables that grow with the input; nothing is gathered on the driver or capped.
-Each document's bigrams are counted before they are shuffled, so one that all
-documents hold comes once from each, and Spark splits its skewed partition in
-the join. Smoothing, scaling and defined results are those given below, with
-1 / V of the vocabulary's V words as the uniform distribution.
-
-``score`` takes bytes. Both models are 4-gram models over one vocabulary of 64 symbols: the 63 bytes
-(A-Z folded) that all documents use most, and one symbol for the rest, which
-also stands before a text's start. Orders are smoothed into each other,
+Tokens are words (white space aside, A-Z folded, by 64-bit hash) of any script,
+between a start and an end of text. Both models are word n-gram models of one
+order (bigrams by default) over one vocabulary, all words of all documents. The
+target's model counts the target's documents, the background's all documents.
+Orders are smoothed into each other,
 p(x | h) = (count(hx) + alpha p(x | shorter h)) / (count(h) + alpha), down to
-the uniform distribution. The models are matched: same vocabulary, order and
-smoothing, and the background's counts are scaled to the target's number of
-tokens. A document's score is the mean over its tokens of the target's loss
-minus the background's loss, in nats; lower means closer to the target.
-
-Counts cover every token of all documents. Each task counts densely and gives
-its non-zero 4-grams, so what is gathered grows with the input, while the model
-that is broadcast is one table of 64**4 loss differences (64 MB at any size).
+one share for any word, 1 / (tokens of the corpus + 1). The models are matched:
+same vocabulary, order and smoothing, and the background's counts are scaled to
+the target's number of tokens. A document's score is the mean over its tokens
+(its end is one) of the target's loss minus the background's loss, in nats;
+lower means closer to the target.
+
+Work on Spark: counts cover every n-gram of every document, stay distributed
+and grow with the input; only three totals come to the driver. The texts are
+dealt once to buckets of about ``BUCKET`` bytes by a hash of id and text. Each
+bucket asks for the counts of its different n-grams (so a word that all
+documents hold is asked for once by each bucket), cut into slices of the hash
+range. A slice of all buckets' questions is summed in one task, and each bucket
+gets its answers in the order of its questions, without the n-grams; questions
+travel as differences of sorted hashes. Answers
+and texts then meet by bucket. The number of buckets and slices follows from
+the corpus's size, so neither grows; the texts' shuffle serves both passes.
 
 Defined results: a null or empty text has no tokens and score 0; without any
-target token all scores are 0; repeated rows are counted and scored each; other
-columns are ignored; an empty table gives an empty result.
+target token all scores are 0; repeated rows are counted and scored each (those
+equal in id and text share a bucket); other columns are ignored; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -36,114 +38,76 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm._arrow import splitmix, string_bytes, sub_batches, word_hashes
-from quillon.session import durable
-
-SYMBOLS, ORDER = 64, 4
-OTHER = SYMBOLS - 1
-BROADCAST_IDS = 5_000_000
-_FOLD = np.arange(256)
-_FOLD[0x41:0x5B] += 0x20
-
-
-def grams(data: np.ndarray, offsets: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-    """The code of the 4-gram that ends at each byte; before a text's start stands OTHER."""
-    s = symbol[data].astype(np.int32)
-    place = np.arange(len(s)) - np.repeat(offsets[:-1], np.diff(offsets))
-    codes = s.copy()
-    for k in range(1, ORDER):
-        earlier = np.full(len(s), OTHER, np.int32)
-        earlier[k:] = s[:-k]
-        earlier[place < k] = OTHER
-        codes |= earlier << (6 * k)
-    return codes
-
-
-def loss_differences(background: np.ndarray, target: np.ndarray, alpha: float) -> np.ndarray:
-    """Target loss minus background loss of the last symbol of every 4-gram."""
-
-    def log_p(counts: np.ndarray) -> np.ndarray:
-        counts = counts.reshape((SYMBOLS,) * ORDER)
-        p = np.full(SYMBOLS, 1 / SYMBOLS)
-        for n in range(1, ORDER + 1):
-            own = counts.sum(axis=tuple(range(ORDER - n))) if n < ORDER else counts
-            p = (own + alpha * p) / (own.sum(axis=-1, keepdims=True) + alpha)
-        return np.log(p, out=p)
-
-    if not target.any() or not background.any():
-        return np.zeros(SYMBOLS**ORDER, np.float32)
-    difference = log_p(background * (target.sum() / background.sum()))
-    difference -= log_p(target)
-    return difference.astype(np.float32).ravel()
-
-
-def vocabulary(docs: DataFrame) -> np.ndarray:
-    """The symbol of each byte, from its use in all documents."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(256, np.int64)
-        for whole in batches:
-            for batch in sub_batches(whole, "text"):
-                data, _ = string_bytes(batch.column("text"))
-                seen += np.bincount(_FOLD[data], minlength=256)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(256)), pa.array(seen)], names=["byte", "n"])
-
-    counts = dict(docs.select("text").mapInArrow(run, "byte long, n long").groupBy("byte").agg(F.sum("n")).collect())
-    most = sorted((b for b, n in counts.items() if n), key=lambda b: (-counts[b], b))[:OTHER]
-    symbol = np.full(256, OTHER, np.uint8)
-    symbol[most] = np.arange(len(most))
-    return symbol[_FOLD]
-
-
-def count(docs: DataFrame, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Dense counts of every 4-gram in all documents and in those with ``is_target``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, aimed = (np.zeros(SYMBOLS**ORDER, np.int32) for _ in range(2))
-        for whole in batches:
-            for batch in sub_batches(whole, "text", 2 << 20):
-                data, offsets = string_bytes(batch.column("text"))
-                codes = grams(data, offsets, symbol)
-                wanted = np.repeat(np.asarray(batch.column("is_target")), np.diff(offsets))
-                for counts, own in ((seen, codes), (aimed, codes[wanted])):
-                    found, n = np.unique(own, return_counts=True)
-                    counts[found] += n.astype(np.int32)
-        some = np.flatnonzero(seen)
-        for at in range(0, len(some), 100_000):
-            part = some[at : at + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(seen[part].astype(np.int64)), pa.array(aimed[part].astype(np.int64))], names=["gram", "seen", "aimed"])
-
-    sums = docs.select("text", "is_target").mapInArrow(run, "gram int, seen long, aimed long").groupBy("gram").agg(F.sum("seen").alias("seen"), F.sum("aimed").alias("aimed")).toArrow()
-    at = np.asarray(sums.column("gram").combine_chunks())
-    out = np.zeros(SYMBOLS**ORDER, np.float32), np.zeros(SYMBOLS**ORDER, np.float32)
-    for dense, name in zip(out, ("seen", "aimed"), strict=True):
-        dense[at] = np.asarray(sums.column(name).combine_chunks())
-    return out
-
-
-def _bigrams(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text number, context, word, count) of each text's different bigrams; the context at a text's start is 0."""
-    words, first = word_hashes(column)
-    text = np.repeat(np.arange(len(column)), np.diff(first))
-    before = np.zeros(len(words), np.uint64)
-    before[1:] = words[:-1]
-    before[first[:-1][np.diff(first) > 0]] = 0
-    order = np.lexsort((splitmix(splitmix(before) ^ words), text))
-    own, ahead, word = text[order], before[order], words[order]
-    new = np.ones(len(order), bool)
-    new[1:] = (own[1:] != own[:-1]) | (ahead[1:] != ahead[:-1]) | (word[1:] != word[:-1])
-    at = np.flatnonzero(new)
-    return own[at], ahead[at], word[at], np.diff(at, append=len(order))
-
-
-def _summed(columns: list[np.ndarray], order: np.ndarray, seen: np.ndarray, aimed: np.ndarray) -> list[pa.Array]:
-    """Different rows of ``columns``, equal ones of which ``order`` brings together, with the sums of the counts."""
-    columns = [c[order] for c in columns]
-    new = np.ones(len(order), bool)
-    new[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
-    at = np.flatnonzero(new)
-    counts = [np.add.reduceat(c[order], at) if len(at) else c[:0] for c in (seen, aimed)]
-    return [pa.array(c[at].view(np.int64)) for c in columns] + [pa.array(c) for c in counts]
+from quillon.llm._arrow import SPACE, small_batches, splitmix, string_bytes, sub_batches, word_hashes
+
+#: Bytes of text in a bucket, n-grams asked for in a slice; both about.
+BUCKET, SLICE = 4 << 20, 1_500_000
+BROADCAST_IDS = 1_000_000
+START, END = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
+_FACTOR = np.uint64(0xC2B2AE3D27D4EB4F)
+ASKED = "slice int, bucket int, grams binary, seen binary, aimed binary"
+ANSWERED = "bucket int, slice int, seen binary, aimed binary"
+SCORED = "doc_id long, n_tokens long, score double"
+
+
+def packed(counts: np.ndarray) -> bytes:
+    """64-bit counts byte by byte (all lowest bytes first), which compresses well as most are small."""
+    return np.ascontiguousarray(counts.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<u8").ravel().astype(np.int64)
+
+
+class Grams:
+    """The n-grams of a column of texts."""
+
+    def __init__(self, column: pa.Array, order: int):
+        words, first = word_hashes(column)
+        self.n = np.diff(first)
+        self.lengths = np.where(self.n > 0, self.n + 2, 0)
+        self.ends = np.cumsum(self.lengths)
+        starts = self.ends - self.lengths
+        tokens = np.empty(int(self.lengths.sum()), np.uint64)
+        tokens[np.arange(len(words)) + np.repeat(starts + 1 - first[:-1], self.n)] = words
+        tokens[starts[self.n > 0]], tokens[self.ends[self.n > 0] - 1] = START, END
+        self.place = np.arange(len(tokens)) - np.repeat(starts, self.lengths)
+        keys = [splitmix(tokens)]
+        for _ in range(1, order):
+            longer = np.zeros(len(tokens), np.uint64)
+            longer[1:] = splitmix(keys[-1][:-1] * _FACTOR + tokens[1:])
+            keys.append(longer)
+        self.held = [self.place >= k for k in range(order)]  # where an n-gram lies within its text
+        self.unique, self.number = np.unique(np.concatenate([x[h] for x, h in zip(keys, self.held, strict=True)]), return_inverse=True)
+
+    def counts(self, flag: np.ndarray | None = None) -> np.ndarray:
+        """How often each different n-gram occurs, in the flagged texts only if given."""
+        if flag is None:
+            return np.bincount(self.number, minlength=len(self.unique))
+        wanted = np.repeat(flag, self.lengths)
+        return np.bincount(self.number[np.concatenate([wanted[h] for h in self.held])], minlength=len(self.unique))
+
+    def log_p(self, counts: np.ndarray, scale: float, tokens: float, floor: float, alpha: float) -> np.ndarray:
+        """The log probability of the token at each place, from counts of the different n-grams."""
+        found, at = counts[self.number] * scale, 0
+        p = np.full(len(self.place), floor)
+        context = None
+        for k, held in enumerate(self.held):
+            own = np.zeros(len(held))
+            own[held] = found[at : at + int(held.sum())]
+            at += int(held.sum())
+            if k == 0:
+                p = (own + alpha * p) / (tokens + alpha)
+            else:
+                p[1:] = np.where(held[1:], (own[1:] + alpha * p[1:]) / (context[:-1] + alpha), p[1:])
+            context = own
+        return np.log(p)
+
+    def means(self, values: np.ndarray) -> np.ndarray:
+        """The mean over each text's words and end."""
+        total = np.zeros(len(values) + 1)
+        np.cumsum(np.where(self.place > 0, values, 0), out=total[1:])
+        return (total[self.ends] - total[self.ends - self.lengths]) / np.maximum(self.lengths - 1, 1)
 
 
 def _flagged(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
@@ -154,83 +118,77 @@ def _flagged(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(wanted) if few else wanted, F.col("doc_id") == F.col("t_id"), "left").select("doc_id", "text", F.col("t_id").isNotNull().alias("is_target"))
 
 
-def word_model(flagged: DataFrame, alpha: float) -> DataFrame:
-    """(gram, loss): target loss minus background loss of every word bigram of the documents."""
+def _totals(flagged: DataFrame) -> tuple[int, int, int]:
+    """(bytes, tokens, the target's tokens) of all texts; a text's end is a token."""
 
-    def pairs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = tokens = aimed = 0
         for whole in batches:
             for batch in sub_batches(whole, "text"):
-                own, ahead, word, n = _bigrams(batch.column("text"))
-                aimed = np.where(np.asarray(batch.column("is_target"))[own], n, 0)
-                yield pa.RecordBatch.from_arrays(_summed([ahead, word], np.argsort(splitmix(splitmix(ahead) ^ word)), n, aimed), names=["context", "word", "seen", "aimed"])
+                data, offsets = string_bytes(batch.column("text"))
+                begins = ~SPACE[data]
+                edge = np.zeros(len(data) + 1, bool)
+                edge[offsets] = True
+                begins[1:] &= SPACE[data[:-1]] | edge[1:-1]
+                before = np.zeros(len(data) + 1, np.int64)
+                np.cumsum(begins, out=before[1:])
+                n = before[offsets[1:]] - before[offsets[:-1]]
+                n += n > 0
+                size, tokens = size + len(data), tokens + int(n.sum())
+                aimed += int(n[np.asarray(batch.column("is_target"))].sum())
+        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (size, tokens, aimed)], names=["size", "tokens", "aimed"])
 
-    def sides_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in sub_batches(whole, "text"):
-                own, ahead, word, n = _bigrams(batch.column("text"))
-                aimed = np.where(np.asarray(batch.column("is_target"))[own], n, 0)
-                for is_context, values in ((True, ahead), (False, word)):
-                    found = _summed([values], np.argsort(values), n, aimed)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found[0]), is_context)), *found], names=["is_context", "item", "seen", "aimed"])
-
-    sums = F.sum("seen").alias("seen"), F.sum("aimed").alias("aimed")
-    texts = flagged.select("text", "is_target")
-    pairs = texts.mapInArrow(pairs_of, "context long, word long, seen long, aimed long").groupBy("context", "word").agg(*sums).withColumn("gram", F.xxhash64("context", "word"))
-    sides = durable(texts.mapInArrow(sides_of, "is_context boolean, item long, seen long, aimed long").groupBy("is_context", "item").agg(*sums))
-    words = sides.where("NOT is_context")
-    whole = words.agg(F.count("*").alias("v"), *sums).first()
-    if not whole.v or not whole.aimed:
-        return pairs.select("gram", F.lit(0.0).alias("loss"))
-    scale = whole.aimed / whole.seen
-    contexts = sides.where("is_context").select(F.col("item").alias("context"), F.col("seen").alias("c_seen"), F.col("aimed").alias("c_aimed"))
-    single = words.select(F.col("item").alias("word"), F.col("seen").alias("w_seen"), F.col("aimed").alias("w_aimed"))
-
-    def log_p(name: str, by: float) -> object:
-        one = (F.col(f"w_{name}") * by + alpha / whole.v) / (float(whole.aimed) + alpha)
-        return F.log((F.col(name) * by + alpha * one) / (F.col(f"c_{name}") * by + alpha))
-
-    return pairs.join(single, "word").join(contexts, "context").select("gram", (log_p("seen", scale) - log_p("aimed", 1.0)).alias("loss"))
-
-
-def score_words(docs: DataFrame, target_ids: DataFrame, alpha: float = 8.0) -> DataFrame:
-    """doc_id, n_tokens, score of every row of ``docs`` by word bigrams; target_ids: doc_id of the target's documents."""
-    flagged = _flagged(docs, target_ids)
-    model = word_model(flagged, alpha)
-    key = F.xxhash64("text").alias("key")
-
-    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in sub_batches(whole, "text"):
-                own, ahead, word, n = _bigrams(batch.column("text"))
-                yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(own)), pa.array(ahead.view(np.int64)), pa.array(word.view(np.int64)), pa.array(n.astype(np.int32))], names=["key", "context", "word", "n"])
+    sums = flagged.select("text", "is_target").mapInArrow(run, "size long, tokens long, aimed long").agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("size", "tokens", "aimed")))
+    return tuple(sums.first())
 
-    def size(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in sub_batches(whole, "text"):
-                _, first = word_hashes(batch.column("text"))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(np.diff(first))], names=["doc_id", "key", "n_tokens"])
 
-    # equal texts have one score, whichever rows hold them: sum over sum
-    posted = flagged.select(key, "text").mapInArrow(post, "key long, context long, word long, n int").select("key", F.xxhash64("context", "word").alias("gram"), "n")
-    scored = posted.join(model, "gram").groupBy("key").agg((F.sum(F.col("n") * F.col("loss")) / F.sum("n")).alias("mean")).withColumnRenamed("key", "s_key")
-    rows = flagged.select("doc_id", key, "text").mapInArrow(size, "doc_id long, key long, n_tokens long")
-    return rows.join(scored, F.col("key") == F.col("s_key"), "left").select("doc_id", "n_tokens", F.coalesce("mean", F.lit(0.0)).alias("score"))
+def _column(table: pa.Table, name: str) -> pa.Array:
+    column = table.column(name).combine_chunks()
+    return pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) else column
 
 
-def score(docs: DataFrame, target_ids: DataFrame, alpha: float = 8.0) -> DataFrame:
+def score(docs: DataFrame, target_ids: DataFrame, order: int = 2, alpha: float = 2.0) -> DataFrame:
     """doc_id, n_tokens, score of every row of ``docs``; target_ids: doc_id of the target's documents."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    flagged = _flagged(docs, target_ids)
-    symbol = vocabulary(rows)
-    table = docs.sparkSession.sparkContext.broadcast(loss_differences(*count(flagged, symbol), alpha))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in sub_batches(whole, "text", 2 << 20):
-                data, offsets = string_bytes(batch.column("text"))
-                total = np.zeros(len(data) + 1)
-                np.cumsum(table.value[grams(data, offsets, symbol)], out=total[1:])
-                n = np.diff(offsets)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array((total[offsets[1:]] - total[offsets[:-1]]) / np.maximum(n, 1))], names=["doc_id", "n_tokens", "score"])
-
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, score double")
+    flagged = small_batches(_flagged(docs, target_ids))
+    size, tokens, aimed = _totals(flagged)
+    buckets, slices = 1 + size // BUCKET, 1 + order * tokens // SLICE
+    edges = np.array([(i << 64) // slices for i in range(1, slices)], np.uint64)
+    scale, floor = (aimed / tokens if tokens else 0.0), 1 / (tokens + 1)
+    dealt = flagged.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("int").alias("bucket"), "doc_id", "text", "is_target")
+
+    def ask(key: tuple, table: pa.Table) -> pa.Table:
+        grams = Grams(_column(table, "text"), order)
+        seen, wanted = grams.counts(), grams.counts(np.asarray(_column(table, "is_target")))
+        cuts = [0, *np.searchsorted(grams.unique, edges).tolist(), len(grams.unique)]
+        some = [(i, a, b) for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+        columns = [
+            pa.array([i for i, _, _ in some], pa.int32()), pa.array([key[0].as_py()] * len(some), pa.int32()), pa.array([packed(np.diff(grams.unique[a:b], prepend=np.uint64(0))) for _, a, b in some], pa.binary()),
+            pa.array([packed(seen[a:b]) for _, a, b in some], pa.binary()), pa.array([packed(wanted[a:b]) for _, a, b in some], pa.binary()),
+        ]
+        return pa.Table.from_arrays(columns, names=["slice", "bucket", "grams", "seen", "aimed"])
+
+    def answer(key: tuple, table: pa.Table) -> pa.Table:
+        asked = [np.cumsum(unpacked(x.as_buffer()).view(np.uint64)) for x in table.column("grams")]
+        _, number = np.unique(np.concatenate(asked), return_inverse=True)
+        sums = []
+        for name in ("seen", "aimed"):
+            each = np.concatenate([unpacked(x.as_buffer()) for x in table.column(name)])
+            order_ = np.argsort(number, kind="stable")
+            total = np.add.reduceat(each[order_], np.flatnonzero(np.append(True, np.diff(number[order_]) > 0)))
+            sums.append(total[number])
+        ends = np.cumsum([len(x) for x in asked]).tolist()
+        spans = list(zip([0, *ends[:-1]], ends, strict=True))
+        columns = [table.column("bucket").combine_chunks(), table.column("slice").combine_chunks(), *(pa.array([packed(total[a:b]) for a, b in spans], pa.binary()) for total in sums)]
+        return pa.Table.from_arrays(columns, names=["bucket", "slice", "seen", "aimed"])
+
+    def judge(key: tuple, texts: pa.Table, answers: pa.Table) -> pa.Table:
+        grams = Grams(_column(texts, "text"), order)
+        mean = np.zeros(len(grams.n))
+        if aimed and len(grams.unique):
+            answers = answers.sort_by("slice")
+            seen, wanted = (np.concatenate([unpacked(x.as_buffer()) for x in answers.column(c)]) for c in ("seen", "aimed"))
+            mean = grams.means(grams.log_p(seen, scale, tokens * scale, floor, alpha) - grams.log_p(wanted, 1.0, aimed, floor, alpha))
+        return pa.Table.from_arrays([_column(texts, "doc_id"), pa.array(grams.n.astype(np.int64)), pa.array(mean)], names=["doc_id", "n_tokens", "score"])
+
+    answered = dealt.groupBy("bucket").applyInArrow(ask, ASKED).groupBy("slice").applyInArrow(answer, ANSWERED)
+    return dealt.groupBy("bucket").cogroup(answered.groupBy("bucket")).applyInArrow(judge, SCORED)

@@ -2,109 +2,78 @@ from collections import Counter
 from math import log
 
 import numpy as np
+import pytest
 from helpers import empty_docs, odd_docs
 
 from quillon.llm import lm_score
 
 
-def fold(text):
-    return [b + 32 if 65 <= b <= 90 else b for b in (text or "").encode()]
+def brute(rows, target, order, alpha):
+    """{doc_id: (n_tokens, score)} with counters over tuples of words."""
+    texts = [(i, ["".join(c.lower() if c.isascii() else c for c in w) for w in (t or "").split()]) for i, t in rows]
+    counts = [Counter(), Counter()]
+    for i, words in texts:
+        tokens = ["<s>", *words, "</s>"] if words else []
+        for m in range(1 + (i in target)):
+            for k in range(1, order + 1):
+                for at in range(len(tokens) - k + 1):
+                    counts[m][tuple(tokens[at : at + k])] += 1
+    total = [sum(n for g, n in c.items() if len(g) == 1 and g != ("<s>",)) for c in counts]
+    scale = [total[1] / total[0], 1.0]
+
+    def p(m, gram):
+        if not gram:
+            return 1 / (total[0] + 1)
+        held = counts[m][gram] * scale[m]
+        context = (counts[m][gram[:-1]] if len(gram) > 1 else total[m]) * scale[m]
+        return (held + alpha * p(m, gram[1:])) / (context + alpha)
+
+    out = []
+    for i, words in texts:
+        tokens = ["<s>", *words, "</s>"] if words else []
+        grams = [tuple(tokens[max(0, at - order + 1) : at + 1]) for at in range(1, len(tokens))]
+        out.append((i, len(words), sum(log(p(0, g)) - log(p(1, g)) for g in grams) / max(1, len(grams))))
+    return out
+
+
+@pytest.mark.parametrize(("order", "bucket", "asked"), [(2, 4 << 20, 10**6), (2, 9000, 700), (3, 20_000, 5000)])
+def test_against_brute_force(spark, sf_dir, monkeypatch, order, bucket, asked):
+    monkeypatch.setattr(lm_score, "BUCKET", bucket)
+    monkeypatch.setattr(lm_score, "SLICE", asked)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("length(text) < 3000").orderBy("doc_id").limit(80)
+    rows = [(r.doc_id, r.text) for r in docs.collect()] + [(-1, None), (-2, " ")]
+    rows += rows[:3]
+    target = {i for i, _ in rows[::3]}
+    ids = spark.createDataFrame([(i,) for i in target] * 2, "doc_id long")
+    got = sorted(tuple(r) for r in lm_score.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), ids, order=order).collect())
+    want = sorted(brute(rows, target, order, 2.0))
+    assert [x[:2] for x in got] == [x[:2] for x in want] and np.allclose([x[2] for x in got], [x[2] for x in want], atol=1e-9)
+    assert np.mean([s for i, n, s in got if i in target and n]) < np.mean([s for i, n, s in got if i not in target and n])
 
 
-def brute(rows, target, alpha=8.0):
-    """{doc_id: score}, with counters instead of tables."""
-    seen = Counter(b for _, t in rows for b in fold(t))
-    symbol = {b: k for k, b in enumerate(sorted(seen, key=lambda b: (-seen[b], b))[:63])}
-    tokens = {i: [symbol.get(b, 63) for b in fold(t)] for i, t in rows}
-    counts = [Counter(), Counter()]
-    for i, s in tokens.items():
-        padded = [63] * 3 + s
-        for k in range(len(s)):
-            for c in counts[: 1 + (i in target)]:
-                c[tuple(padded[k : k + 4])] += 1
-    scale = sum(counts[1].values()) / sum(counts[0].values())
-    models = []
-    for c, w in zip(counts, (scale, 1.0), strict=True):
-        orders = [Counter() for _ in range(5)]
-        for g, n in c.items():
-            for k in range(5):
-                orders[k][g[4 - k :]] += n * w
-        models.append(orders)
-        orders.append(Counter())
-
-    def p(orders, gram):
-        out = 1 / 64
-        for k in range(1, 5):
-            context = sum(n for g, n in orders[k].items() if g[:-1] == gram[4 - k : -1]) if k == 1 else contexts[id(orders)][k][gram[4 - k : -1]]
-            out = (orders[k][gram[4 - k :]] + alpha * out) / (context + alpha)
-        return out
-
-    contexts = {}
-    for orders in models:
-        contexts[id(orders)] = [Counter() for _ in range(5)]
-        for k in range(1, 5):
-            for g, n in orders[k].items():
-                contexts[id(orders)][k][g[:-1]] += n
-    scores = {}
-    for i, s in tokens.items():
-        padded = [63] * 3 + s
-        losses = [log(p(models[0], tuple(padded[k : k + 4]))) - log(p(models[1], tuple(padded[k : k + 4]))) for k in range(len(s))]
-        scores[i] = sum(losses) / max(1, len(losses))
-    return scores
-
-
-def test_against_brute_force(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("length(text) < 700").limit(40)
-    rows = [(r.doc_id, r.text) for r in docs.collect()]
-    ids = [i for i, _ in rows]
-    some = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    target = spark.createDataFrame([(i,) for i in ids[::3]] * 2, "doc_id long")
-    got = {r.doc_id: (r.n_tokens, r.score) for r in lm_score.score(some, target).collect()}
-    want = brute(rows, set(ids[::3]))
-    for i, t in rows:
-        assert got[i][0] == len(t.encode()) and abs(got[i][1] - want[i]) < 1e-4
-    inside, outside = (np.mean([got[i][1] for i in ids if (i in set(ids[::3])) == x]) for x in (True, False))
-    assert inside < outside
+def test_counts_pack_and_unpack():
+    counts = np.array([0, 1, 255, 256, 2**40 + 7], np.int64)
+    assert (lm_score.unpacked(lm_score.packed(counts)) == counts).all() and len(lm_score.unpacked(b"")) == 0
 
 
 def test_odd_rows(spark):
     target = spark.createDataFrame([(1,), (None,)], "doc_id long")
-    rows = lm_score.score(odd_docs(spark), target).collect()
+    docs = odd_docs(spark).selectExpr("*", "1 AS bucket", "2 AS t_id", "3 AS is_target", "4 AS score")
+    rows = lm_score.score(docs, target).collect()
     assert len(rows) == 9 and all(np.isfinite(r.score) for r in rows) and {r.score for r in rows if r.doc_id in (2, 3)} == {0.0}
+    assert {r.n_tokens for r in rows if r.doc_id == 7} == {3000}
     assert {r.score for r in lm_score.score(odd_docs(spark), target.where("doc_id = 77")).collect()} == {0.0}
     assert lm_score.score(empty_docs(spark), target).count() == 0
 
 
-def brute_words(rows, target, alpha=8.0):
-    tokens = {i: ["".join(c.lower() if c.isascii() else c for c in w) for w in (t or "").split()] for i, t in rows}
-    pairs, words, heads = ([Counter(), Counter()] for _ in range(3))
-    for i, s in tokens.items():
-        for a, b in zip(["", *s], s):
-            for m in range(1 + (i in target)):
-                pairs[m][a, b] += 1
-                words[m][b] += 1
-                heads[m][a] += 1
-    scale = sum(words[1].values()) / sum(words[0].values())
-
-    def log_p(m, a, b):
-        by = scale if m == 0 else 1.0
-        one = (words[m][b] * by + alpha / len(words[0])) / (sum(words[m].values()) * by + alpha)
-        return log((pairs[m][a, b] * by + alpha * one) / (heads[m][a] * by + alpha))
-
-    return {i: (len(s), sum(log_p(0, a, b) - log_p(1, a, b) for a, b in zip(["", *s], s)) / max(1, len(s))) for i, s in tokens.items()}
-
-
-def test_words_against_brute_force(spark, sf_dir):
-    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").where("length(text) < 3000").limit(80).collect()] + [(-1, None), (-2, " ")]
-    target = {i for i, _ in rows[::3]}
-    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = lm_score.score_words(docs, spark.createDataFrame([(i,) for i in target] * 2, "doc_id long")).collect()
-    want = brute_words(rows, target)
-    assert len(got) == len(rows)
-    for r in got:
-        assert r.n_tokens == want[r.doc_id][0] and abs(r.score - want[r.doc_id][1]) < 1e-9
-    target = spark.createDataFrame([(1,)], "doc_id long")
-    assert len(lm_score.score_words(odd_docs(spark), target).collect()) == 9 and lm_score.score_words(empty_docs(spark), target).count() == 0
+def test_texts_that_occur_twice_stand_apart(spark):
+    """The background's counts are those of the whole corpus: what it holds twice is likelier to it."""
+    rng = np.random.default_rng(1)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 3000, 120)) for _ in range(300)]
+    rows = list(enumerate(texts)) + [(1000 + i, texts[i]) for i in range(100, 130)]
+    score = {r.doc_id: r.score for r in lm_score.score(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i,) for i in range(90)], "doc_id long")).collect()}
+    twice, once = [score[i] for i in range(100, 130)], [score[i] for i in range(130, 300)]
+    assert np.mean([x > max(np.quantile(once, 0.95), 0) for x in twice]) > 0.9
 
 
 def test_query_tells_small_scripts_apart(spark, tmp_path):
