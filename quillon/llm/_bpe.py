@@ -3,8 +3,9 @@
 Text is cut into pieces with array operations, each distinct piece is encoded
 once by the public ``tiktoken`` ranks (the same vocabulary as the ``tokenizers``
 file; the tests hold the ids against it), and ids are gathered per text. A text
-with a contraction or a character outside the scripts classified here goes
-through the library whole, so every text gets the library's own ids.
+with a contraction, a special token spelled out or a character outside the
+scripts classified here goes through the library whole, so every text gets the
+library's own ids.
 """
 
 from __future__ import annotations
@@ -36,12 +37,13 @@ def _classes() -> np.ndarray:
 class Encoder:
     """Encodes batches of texts; one per Python worker."""
 
-    def __init__(self, ranks_path: str, pattern: str):
+    def __init__(self, ranks_path: str, pattern: str, special: tuple[tuple[str, int], ...] = ()):
         import tiktoken
 
         with open(ranks_path, "rb") as file:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
-        self.library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens=dict(special))
+        self.special = re.compile("|".join(re.escape(t) for t, _ in special)) if special else None
         self.kinds = _classes()
         self.table = splitmix(np.arange(KNOWN, dtype=np.uint64))
         self.width = np.zeros(max(ranks.values()) + 1, np.int64)
@@ -92,7 +94,9 @@ class Encoder:
         out: list[np.ndarray | None] = [None] * len(texts)
         quick = []
         for i, text in enumerate(texts):
-            if _UNKNOWN.search(text) or _CONTRACTION.search(text):
+            if self.special and self.special.search(text):
+                out[i] = np.asarray(self.library.encode(text, allowed_special="all"), np.uint32)
+            elif _UNKNOWN.search(text) or _CONTRACTION.search(text):
                 out[i] = np.asarray(self.library.encode_ordinary(text), np.uint32)
             else:
                 quick.append(i)

@@ -13,13 +13,16 @@ partition to partition. Every window but the last is full.
 Work on Spark: one narrow pass encodes the texts and notes each document's
 place within its partition and source; a reliable checkpoint keeps the ids; a
 small aggregate turns (source, partition) token counts into stream offsets; a
-second narrow pass cuts the documents. Token ids are never shuffled.
+second narrow pass cuts the documents. Token ids are not shuffled while the
+offsets (one row for each source and partition) are few enough to broadcast, a
+checked number; beyond ``BROADCAST_ROWS`` they are, once, to meet them.
 
 Defined results: a null text is empty (its ids are the end id alone); a null
 source is a queue of its own, last in the round; repeated rows are packed as
 often as they occur; an empty table gives no pieces; other columns are ignored.
-The number of sources is bounded by ``max_sources`` (a mixture names its
-sources): beyond it a ValueError is raised, nothing is dropped.
+The ``own_queues`` largest sources are queues of their own, as are those that
+``weights`` names; any smaller ones share ``SHARED`` queues by a hash of their
+name, with their weights summed, one source after the other within a queue.
 """
 
 from __future__ import annotations
@@ -35,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm._arrow import sub_batches
+from quillon.llm._arrow import small_batches, sub_batches
 from quillon.session import durable
 
 TOKENS = "doc_id long, source string, part int, local_start long, n_tokens long, ids binary"
@@ -44,13 +47,19 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 BLOCK = 256
 #: Rows of the (source, partition) offset table that are still broadcast.
 BROADCAST_ROWS = 200_000
+#: Queues for the sources beyond ``own_queues``.
+SHARED = 64
+
+
+#: Fixed value: the vocabulary's special token, which is one id also where a text spells it out.
+SPECIAL = (("<|endoftext|>", 50256),)
 
 
 @lru_cache(maxsize=1)
 def _encoder(ranks_path: str, pattern: str):
     from quillon.llm._bpe import Encoder
 
-    return Encoder(ranks_path, pattern)
+    return Encoder(ranks_path, pattern, SPECIAL)
 
 
 def tokenize(docs: DataFrame, ranks_path: str, pattern: str, end_id: int) -> DataFrame:
@@ -59,7 +68,7 @@ def tokenize(docs: DataFrame, ranks_path: str, pattern: str, end_id: int) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, ahead = _encoder(ranks_path, pattern), TaskContext.get().partitionId(), {}
         for whole in batches:
-            for batch in sub_batches(whole, "text", 4 << 20):
+            for batch in sub_batches(whole, "text"):
                 texts = [t or "" for t in batch.column("text").to_pylist()]
                 sources = batch.column("source").to_pylist()
                 ids = [np.append(x, end_id).astype("<u2") for x in encoder.encode(texts)]
@@ -186,7 +195,7 @@ def pack(
     window: int = 2048,
     end_id: int = 1,
     weights: dict[str | None, float] | None = None,
-    max_sources: int = 10_000,
+    own_queues: int = 2000,
 ) -> DataFrame:
     """PIECES rows: where each stretch of each document's ids goes.
 
@@ -195,34 +204,42 @@ def pack(
     window shows the corpus's mixture and all queues end together. Ids must fit
     16 bits (vocabularies up to 65,536).
     """
-    spark = docs.sparkSession
+    spark = small_batches(docs).sparkSession
     tokens = durable(tokenize(docs, ranks_path, pattern, end_id))
     parts = tokens.groupBy("source", "part").agg(F.sum("n_tokens").alias("n"))
-    sums = parts.groupBy("source").agg(F.sum("n").alias("n"), F.count("*").alias("parts")).orderBy(F.col("source").asc_nulls_last()).limit(max_sources + 1).collect()
-    if len(sums) > max_sources:
-        raise ValueError(f"more than {max_sources} sources")
+    if weights is None:
+        largest = parts.groupBy("source").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), F.col("source").asc_nulls_last()).limit(own_queues).collect()
+        own = [r["source"] for r in largest]
+    else:
+        own = list(weights)
+    own = sorted(own, key=lambda s: (s is None, s or ""))
+    named = spark.createDataFrame([(s, i) for i, s in enumerate(own)], "own_source string, own int")
+    of_queue = F.coalesce("own", len(own) + F.pmod(F.xxhash64("source"), F.lit(SHARED)).cast("int")).alias("queue")
+    parts = parts.join(F.broadcast(named), parts.source.eqNullSafe(named.own_source), "left").select("source", "part", "n", of_queue)
+    sums = parts.groupBy("queue").agg(F.sum("n").alias("n"), F.count("*").alias("rows")).orderBy("queue").collect()
     if not sums:
         return spark.createDataFrame([], PIECES)
-    names = [r["source"] for r in sums]
+    if weights is not None and sums[-1]["queue"] >= len(own):
+        raise ValueError("each source needs a weight")
     held = [r["n"] for r in sums]
-    shares = [float(n) for n in held] if weights is None else [float(weights[s]) for s in names]
+    shares = [float(n) for n in held] if weights is None else [float(weights[own[r["queue"]]]) for r in sums]
     if min(shares) <= 0:
         raise ValueError("each source needs a positive weight")
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = parts.select(F.col("source").alias("of_source"), F.col("part").alias("of_part"), before.alias("part_start"))
-    if sum(r["parts"] for r in sums) <= BROADCAST_ROWS:
+    within = Window.partitionBy("queue").orderBy("source", "part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.select(F.col("source").alias("of_source"), F.col("part").alias("of_part"), "queue", F.coalesce(F.sum("n").over(within), F.lit(0)).alias("part_start"))
+    if sum(r["rows"] for r in sums) <= BROADCAST_ROWS:
         starts = F.broadcast(starts)
-    placed = tokens.join(starts, tokens.source.eqNullSafe(starts.of_source) & (tokens.part == starts.of_part)).select("doc_id", "source", (F.col("part_start") + F.col("local_start")).alias("position"), "ids")
-    queue_of = {s: i for i, s in enumerate(names)}
+    placed = tokens.join(starts, tokens.source.eqNullSafe(starts.of_source) & (tokens.part == starts.of_part)).select("doc_id", "queue", (F.col("part_start") + F.col("local_start")).alias("position"), "ids")
+    queue_of = {r["queue"]: i for i, r in enumerate(sums)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schedule = Schedule(held, shares, window)
         for batch in batches:
             rows, parts = [[], [], [], []], [[], [], []]
-            for doc, source, position, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for doc, queue, position, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 wide = memoryview(np.frombuffer(ids, "<u2").astype("<u4").tobytes())
                 start, n = 0, len(wide) // 4
-                for found in schedule.cuts(queue_of[source], position, n):
+                for found in schedule.cuts(queue_of[queue], position, n):
                     for kept, x in zip(parts, found, strict=True):
                         kept.append(x)
                     for length in found[2].tolist():

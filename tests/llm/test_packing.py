@@ -100,3 +100,20 @@ def test_schedule_carries_over_blocks(seed, monkeypatch):
     for q, n in enumerate(held):
         got = [x for part in plan.cuts(q, 0, n) for x in part[2].tolist()]
         assert sum(got) == n
+
+
+def test_many_sources(spark, monkeypatch):
+    """Sources beyond the number of own queues share some; a token lies in one piece all the same."""
+    monkeypatch.setattr(packing, "SHARED", 3)
+    rows = [(i, f"text {i} of " + "some words " * (i % 7), f"s{i % 40}" if i % 40 else None) for i in range(300)]
+    docs = spark.createDataFrame([(i, t, "en", s, 0) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    pieces = packing.pack(docs, RANKS, public_tokenizers.PATTERN, window=64, own_queues=5).collect()
+    check(pieces, [(i, t) for i, t, _ in rows], 64)
+
+
+def test_ids_of_odd_texts():
+    from quillon.llm._bpe import Encoder
+
+    texts = ["don't we'll IT'S they're", "汉字 テスト 한국어 عربى", "a\u0301 \U0001f600\U0001f469\u200d\U0001f4bb emoji", " \t\n\r\n  trailing  ", "x" * 5000, "ab " * 20_000, "1234567 12.5% $3,000", "\u00a0\u2003wide\u3000spaces", "<|endoftext|> [PAD]", "a <|endoftext|><|endoftext|>b  <|endoftext|>", ""]
+    got = Encoder(RANKS, public_tokenizers.PATTERN, packing.SPECIAL).encode(texts)
+    assert [[*x, 1] for x in map(list, got)] == reference_ids(texts)
