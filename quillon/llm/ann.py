@@ -5,19 +5,24 @@ component, sqrt(M^2 - |v|^2) for the largest norm M, and each query a zero.
 Centroids come from a bounded sample, halved again and again by 2-means with
 both halves of one size, so lists are balanced. A vector goes into the list of
 its nearest centroid and, if it lies near a boundary, into further ones: those
-at most ``1 + spread`` times as far, ``copies`` lists in all. Centroids are searched by a best-first walk on an in-memory
-graph of their nearest neighbours. A query reads the lists whose centroids are
-at most ``1 + reach`` times as far as its nearest one, and scores what it reads
-exactly, in double precision.
-
-Work on Spark: the sample (``sample_rows`` vectors) and the centroids (at most
-``most_lists``) are bounded parameters and are all that is broadcast; every row
-is indexed. Lists and the queries that read them meet in blocks of at most
-``ROWS`` vectors over an equi-join on the list, so a long list is many blocks.
-Each task keeps the best k of a query, and only those are shuffled.
+at most ``1 + spread`` times as far, ``copies`` lists in all. Centroids are
+searched by a best-first walk on an in-memory graph of their nearest
+neighbours. A query reads the lists whose centroids are at most ``1 + reach``
+times as far as its nearest one, and further ones while these hold too few
+vectors, and scores what it reads exactly, in double precision. A query that
+still finds fewer than k although there are more is searched over all lists.
+
+Work on Spark: the number of lists follows from the number of vectors, up to
+``most_lists``; the sample (sixteen rows a list, at least ``LEAST_SAMPLE``) and
+the centroids are all that is broadcast; every row is indexed. Lists and the
+queries that read them meet in blocks of at most ``ROWS`` vectors over an
+equi-join on the list and its part: a list that is long by the sample's count
+is split into parts of about ``PART`` blocks, and its queries go to each, so a
+vector that a third of all rows have isn't one task's. Each task keeps the best
+k of a query, and only those are shuffled.
 
 Defined results: vectors that are null, empty, zero or hold a null or non-
-finite component take no part, nor do vectors of another length than the
+finite component take no part, nor do rows without an id or vectors of another length than the
 commonest; rows that share a vec_id are one candidate with their best score and
 never their own query's; ties go to the smaller vec_id; an empty table gives no
 rows.
@@ -25,17 +30,22 @@ rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.llm._arrow import splitmix
 from quillon.llm.exact_topk import _unique_best, vectors
+from quillon.session import durable
 
 ROWS = 2048
-LISTED = "list int, ids binary, vecs binary, n int"
+#: Blocks of a list in one part.
+PART = 8
+LEAST_SAMPLE = 20_000
+LISTED = "list int, part int, ids binary, vecs binary, n int"
 
 
 def halves(x: np.ndarray, rows: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
@@ -61,13 +71,16 @@ class Index:
         self.centroids = np.stack([sample[p].mean(axis=0) for p in parts])
         self.squares = np.square(self.centroids).sum(axis=1)
         n = len(self.centroids)
-        near = self.squares[:, None] + self.squares - 2 * self.centroids @ self.centroids.T
-        np.fill_diagonal(near, np.inf)
         degree = min(degree, n - 1)
-        closest = np.argpartition(near, degree - 1, axis=1)[:, :degree] if degree else np.zeros((n, 0), np.int64)
+        closest = np.zeros((n, degree), np.int64)
+        for at in range(0, n if degree else 0, 1024):
+            near = self.squares - 2 * self.centroids[at : at + 1024] @ self.centroids.T
+            near[np.arange(len(near)), at + np.arange(len(near))] = np.inf
+            closest[at : at + 1024] = np.argpartition(near, degree - 1, axis=1)[:, :degree]
         far = rng.integers(0, n, (n, min(2, n - 1)))  # some far links keep the graph in one piece
         self.graph = np.concatenate([closest, far], axis=1)
         self.entries = np.unique(np.linspace(0, n - 1, min(n, 8)).astype(np.int64))
+        self.sizes = np.zeros(n)
 
     def search(self, x: np.ndarray, ef: int, squares: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(centroids, squared distances) of about the ``ef`` nearest of each row, nearest first, by a walk on the graph."""
@@ -124,10 +137,11 @@ class Index:
             lists.append(ids[fits, k])
         return np.concatenate(rows), np.concatenate(lists)
 
-    def lists_of(self, x: np.ndarray, reach: float, ef: int) -> tuple[np.ndarray, np.ndarray]:
-        """(row, list) pairs: the lists a query reads, pruned by distance ratio."""
+    def lists_of(self, x: np.ndarray, reach: float, ef: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """(row, list) pairs: the lists a query reads, pruned by distance ratio; while they hold under ``least`` vectors, more."""
         ids, dist = self.search(x, ef)
-        fits = np.isfinite(dist) & (dist <= (1 + reach) ** 2 * np.maximum(dist[:, :1], 1e-12))
+        held = np.cumsum(self.sizes[ids], axis=1) - self.sizes[ids]
+        fits = np.isfinite(dist) & ((dist <= (1 + reach) ** 2 * np.maximum(dist[:, :1], 1e-12)) | (held < least))
         rows, at = np.nonzero(fits)
         return rows, ids[rows, at]
 
@@ -138,7 +152,7 @@ def _usable(batch: pa.RecordBatch, dims: int) -> tuple[np.ndarray, np.ndarray]:
     own = np.flatnonzero(counts == dims)
     values = flat[(ends[own] - dims)[:, None] + np.arange(dims)]
     some = np.square(values).sum(axis=1) > 0
-    return np.asarray(batch.column(0).cast(pa.int64()).fill_null(-1))[rows[own]][some], values[some]
+    return np.asarray(batch.column(0))[rows[own]][some], values[some]
 
 
 def _norms(df: DataFrame, id_column: str, vector: str) -> tuple[int, float, int]:
@@ -160,8 +174,8 @@ def _lifted(x: np.ndarray, top: float) -> np.ndarray:
     return np.concatenate([x, np.sqrt(np.maximum(top * top - np.square(x).sum(axis=1), 0))[:, None]], axis=1)
 
 
-def _in_lists(df: DataFrame, dims: int, place) -> DataFrame:
-    """LISTED rows: blocks of the vectors of each list."""
+def _in_lists(df: DataFrame, dims: int, place: Callable, parts: np.ndarray, to_all: bool) -> DataFrame:
+    """LISTED rows: blocks of the vectors of each list, each vector in one part of the list or in all of them."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -169,16 +183,21 @@ def _in_lists(df: DataFrame, dims: int, place) -> DataFrame:
                 ids, x = _usable(batch.slice(at, 1024), dims)
                 if len(ids):
                     rows, lists = place(x)
-                    yield pa.RecordBatch.from_arrays([pa.array(lists.astype(np.int32)), pa.array(ids[rows]), pa.array([v.tobytes() for v in x[rows].astype(np.float64)], pa.binary())], names=["list", "id", "vec"])
+                    n = parts[lists]
+                    if to_all:
+                        rows, lists, part = np.repeat(rows, n), np.repeat(lists, n), np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                    else:
+                        part = (splitmix(ids[rows].view(np.uint64)) % n.astype(np.uint64)).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(lists.astype(np.int32)), pa.array(part.astype(np.int32)), pa.array(ids[rows]), pa.array([v.tobytes() for v in x[rows]], pa.binary())], names=["list", "part", "id", "vec"])
 
     def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, ids, vecs = None, [], []
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([np.array(ids, np.int64).tobytes()], pa.binary()), pa.array([b"".join(vecs)], pa.binary()), pa.array([len(ids)], pa.int32())], names=["list", "ids", "vecs", "n"])
+            return pa.RecordBatch.from_arrays([pa.array([now[0]], pa.int32()), pa.array([now[1]], pa.int32()), pa.array([np.array(ids, np.int64).tobytes()], pa.binary()), pa.array([b"".join(vecs)], pa.binary()), pa.array([len(ids)], pa.int32())], names=["list", "part", "ids", "vecs", "n"])
 
         for batch in batches:
-            for key, i, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for *key, i, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if ids and (key != now or len(ids) == ROWS):
                     yield out()
                     ids, vecs = [], []
@@ -188,31 +207,39 @@ def _in_lists(df: DataFrame, dims: int, place) -> DataFrame:
         if ids:
             yield out()
 
-    listed = df.mapInArrow(spread, "list int, id long, vec binary")
-    # a list is spread over four partitions at most, so a long one isn't one task's
-    return listed.repartition("list", F.pmod("id", F.lit(4))).sortWithinPartitions("list").mapInArrow(block, LISTED)
+    listed = df.mapInArrow(spread, "list int, part int, id long, vec binary")
+    return listed.repartition("list", "part").sortWithinPartitions("list", "part").mapInArrow(block, LISTED)
 
 
 def search(
-    df: DataFrame, queries: Column, k: int, id_column: str = "vec_id", vector: str = "embedding", sample_rows: int = 20_000, most_lists: int = 2048,
+    df: DataFrame, queries: Column, k: int, id_column: str = "vec_id", vector: str = "embedding", most_lists: int = 16_384,
     spread: float = 0.15, copies: int = 4, reach: float = 0.6, ef: int = 128,
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row that ``queries`` holds for."""
     schema = "query_id long, rank int, vec_id long, score double"
+    df = df.where(F.col(id_column).isNotNull())
     dims, top, n = _norms(df, id_column, vector)
     if not n:
         return df.sparkSession.createDataFrame([], schema)
     rows = df.select(F.col(id_column).cast("long").alias("id"), F.col(vector).alias("vec"))
-    sample = rows.orderBy(F.xxhash64("id"), "id").limit(sample_rows).toArrow()
-    fitted = [_usable(b, dims)[1] for b in sample.to_batches()]
     lists = int(min(most_lists, max(1, 2 ** round(np.log2(max(1.0, 2 * np.sqrt(n)))))))
+    sample = rows.orderBy(F.xxhash64("id"), "id").limit(max(LEAST_SAMPLE, 16 * lists)).toArrow()
+    fitted = [_usable(b, dims)[1] for b in sample.to_batches()]
     points = np.concatenate(fitted) if fitted else np.zeros((0, dims))
     if not len(points):  # the sample held no usable vector: any one is a centroid
         points = np.ones((1, dims))
-    shared = df.sparkSession.sparkContext.broadcast(Index(_lifted(points, top), lists))
-    held = _in_lists(rows, dims, lambda x: shared.value.assign(_lifted(x, top), spread, copies))
-    asked = _in_lists(rows.where(queries), dims, lambda x: shared.value.lists_of(np.concatenate([x * (top / np.sqrt(np.square(x).sum(axis=1)))[:, None], np.zeros((len(x), 1))], axis=1), reach, ef))
-    met = held.join(asked.select("list", F.col("ids").alias("q_ids"), F.col("vecs").alias("q_vecs")), "list").select("ids", "vecs", "q_ids", "q_vecs")
+    points = _lifted(points, top)
+    index = Index(points, lists)
+    for at in range(0, len(points), 4096):
+        np.add.at(index.sizes, index.assign(points[at : at + 4096], spread, copies)[1], n / len(points))
+    parts = 1 + (index.sizes // (PART * ROWS)).astype(np.int64)
+    shared = df.sparkSession.sparkContext.broadcast(index)
+
+    def asked(x: np.ndarray) -> np.ndarray:
+        return np.concatenate([x * (top / np.sqrt(np.square(x).sum(axis=1)))[:, None], np.zeros((len(x), 1))], axis=1)
+
+    def every_list(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.repeat(np.arange(len(x)), len(parts)), np.tile(np.arange(len(parts)), len(x))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -232,9 +259,22 @@ def search(
         if best:
             yield _found(best)
 
-    hits = met.mapInArrow(run, "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    ranked = hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
-    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    held = _in_lists(rows, dims, lambda x: shared.value.assign(_lifted(x, top), spread, copies), parts, to_all=False)
+
+    def nearest(asking: DataFrame, place: Callable) -> DataFrame:
+        blocks = _in_lists(asking, dims, place, parts, to_all=True).select("list", "part", F.col("ids").alias("q_ids"), F.col("vecs").alias("q_vecs"))
+        met = held.join(blocks, ["list", "part"]).select("ids", "vecs", "q_ids", "q_vecs")
+        hits = met.mapInArrow(run, "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        ranked = hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
+        return durable(ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"))
+
+    questions = rows.where(queries)
+    found = nearest(questions, lambda x: shared.value.lists_of(asked(x), reach, ef, 4 * k))
+    whole = found.groupBy("query_id").agg(F.count("*").alias("held")).where(F.col("held") >= k).select(F.col("query_id").alias("id"))
+    short = durable(questions.join(whole, "id", "left_anti"))
+    if short.limit(1).count():  # some found fewer than k, or there are no more
+        found = found.join(short.select(F.col("id").alias("query_id")).distinct(), "query_id", "left_anti").union(nearest(short, every_list))
+    return found.select("query_id", "rank", "vec_id", "score")
 
 
 def _found(best: dict[int, tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:

@@ -7,12 +7,14 @@ most |rest of query| * |rest of candidate|; those that cannot reach the query's
 k-th best score so far are dropped and the survivors are compacted.
 
 Work on Spark: every row is put in a candidate block; the stated queries, in
-blocks, meet every candidate block over an equi-join on a candidate group, so a
-task holds one block of each at a time. Only each task's best k per query are
-shuffled.
+blocks, meet every candidate block over an equi-join on a cell of a grid,
+candidate groups by query groups, so a task holds one block of each at a time.
+There are about four candidate groups for each core that Spark has (as many as
+blocks at most), so their number grows with the cluster; a query group is at
+most ``HELD`` blocks. Only each task's best k per query are shuffled.
 
 Defined results: vectors that are null or hold a null or non-finite component
-take no part; only vectors of one length are compared; rows that share a vec_id
+take no part, nor do rows without an id; only vectors of one length are compared; rows that share a vec_id
 are one candidate with their best score, and none of them is a candidate of its
 own query; ties go to the smaller vec_id; an empty table gives no rows.
 """
@@ -31,6 +33,8 @@ HITS = "query_id long, vec_id long, score long"
 #: Dimensions added between two rounds of pruning.
 STEP = 16
 ROWS = 4096
+#: Blocks of queries that a task searches for at a time.
+HELD = 64
 
 
 def vectors(column: pa.Array, scale: float | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -56,7 +60,7 @@ def blocks(df: DataFrame, id_column: str, vector: str, rows: int, scale: float |
         held: dict[int, tuple[list, list]] = {}
         for batch in batches:
             usable, counts, flat = vectors(batch.column(1), scale)
-            ids = np.asarray(batch.column(0).cast(pa.int64()).fill_null(-1))[usable]
+            ids = np.asarray(batch.column(0))[usable]
             ends = np.cumsum(counts)
             for dims in np.unique(counts).tolist():
                 own = np.flatnonzero(counts == dims)
@@ -69,7 +73,7 @@ def blocks(df: DataFrame, id_column: str, vector: str, rows: int, scale: float |
         for dims, kept in held.items():
             yield from _blocks(dims, *kept, rows)
 
-    return df.select(id_column, vector).mapInArrow(run, BLOCKS)
+    return df.where(F.col(id_column).isNotNull()).select(F.col(id_column).cast("long"), vector).mapInArrow(run, BLOCKS)
 
 
 def _blocks(dims: int, ids: list, values: list, rows: int) -> Iterator[pa.RecordBatch]:
@@ -131,17 +135,25 @@ def rest_norms(values: np.ndarray) -> list[np.ndarray]:
     return [np.sqrt(squares[d:].sum(axis=0)) for d in range(0, len(values) + STEP, STEP)]
 
 
-def top_k(df: DataFrame, queries: Column, k: int, id_column: str = "vec_id", vector: str = "embedding", scale: float = 256.0, groups: int = 24, query_rows: int = 1024) -> DataFrame:
+def top_k(df: DataFrame, queries: Column, k: int, id_column: str = "vec_id", vector: str = "embedding", scale: float = 256.0, groups: int | None = None, query_rows: int = 1024) -> DataFrame:
     """query_id, rank, vec_id, score: the k largest integer inner products of floor(scale * x).
 
     Sums are exact in double precision while they stay below 2**53, which holds
     for components up to 10**6 in thousands of dimensions.
     """
-    candidates = blocks(df, id_column, vector, ROWS, scale).withColumn("grp", F.pmod(F.xxhash64("ids"), F.lit(groups)).cast("int"))
-    asked = blocks(df.where(queries).repartition(F.col(id_column)), id_column, vector, query_rows, scale)
-    asked = asked.withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    c, q = candidates.alias("c"), asked.alias("q")
-    met = c.join(q, (F.col("c.grp") == F.col("q.grp")) & (F.col("c.dims") == F.col("q.dims"))).select(F.col("q.dims"), F.col("q.ids").alias("q_ids"), F.col("q.values").alias("q_values"), F.col("c.ids"), F.col("c.values"))
+    n = df.select(F.count("*"), F.count_if(queries)).first()
+    if groups is None:
+        groups = max(1, min(-(-n[0] // ROWS), 4 * df.sparkSession.sparkContext.defaultParallelism))
+    query_groups = max(1, -(-n[1] // (HELD * query_rows)))
+
+    def in_groups(frame: DataFrame, own: str, own_groups: int, other: str, other_groups: int) -> DataFrame:
+        placed = frame.withColumn(own, F.pmod(F.xxhash64("ids"), F.lit(own_groups)).cast("int"))
+        return placed.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(other_groups - 1))))
+
+    c = in_groups(blocks(df, id_column, vector, ROWS, scale), "grp", groups, "q_grp", query_groups).alias("c")
+    q = in_groups(blocks(df.where(queries).repartition(F.col(id_column)), id_column, vector, query_rows, scale), "q_grp", query_groups, "grp", groups).alias("q")
+    met = c.join(q, (F.col("c.grp") == F.col("q.grp")) & (F.col("c.q_grp") == F.col("q.q_grp")) & (F.col("c.dims") == F.col("q.dims")))
+    met = met.select(F.col("q.dims"), F.col("q.ids").alias("q_ids"), F.col("q.values").alias("q_values"), F.col("c.ids"), F.col("c.values"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         searches: dict[bytes, Search] = {}
@@ -150,7 +162,7 @@ def top_k(df: DataFrame, queries: Column, k: int, id_column: str = "vec_id", vec
                 dims, q_ids, q_values, ids, values = (batch.column(j)[row].as_py() for j in range(5))
                 search = searches.get(q_ids)
                 if search is None:
-                    if len(searches) >= 64:  # keep the memory bounded
+                    if len(searches) >= HELD:  # keep the memory bounded
                         yield from _hits(searches)
                         searches = {}
                     search = searches[q_ids] = Search(np.frombuffer(q_ids, np.int64), np.frombuffer(q_values).reshape(dims, -1), k)

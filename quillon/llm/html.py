@@ -38,7 +38,6 @@ from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext

@@ -8,8 +8,10 @@ once for each integer boundary its stretch crosses.
 
 Work on Spark: only (id, source, size) is shuffled. A document's place in its
 source is the count of the groups (source, size, bucket) before its own, from
-a small aggregate, plus its place within the group, so no window runs over a
-whole source and a hot source or a hot size is split over its buckets.
+a small aggregate, plus its place within the group, so no window runs over the
+documents of a whole source, and a hot source or a hot size is split over its
+buckets. Windows over sources hold one row for each source, those over a
+source's sizes one for each different size.
 
 Defined results: a null text has size 0; a null source is a source of its own,
 last in order; a source of size 0 has target 0 and takes nothing; repeated rows
@@ -65,7 +67,7 @@ def targets(sizes: DataFrame, share: float, cap: float, weights: tuple[float, ..
 def sample(docs: DataFrame, size: Column, share: float = 1.5, cap: float = 2.0, weights: tuple[float, ...] = (5, 2, 1), seed: int = 0, whole: bool = False) -> DataFrame:
     """doc_id, source, size, source_size, target, copies of every document; whole: and its row as a struct."""
     kept = ["whole_row"] if whole else []
-    row = [F.struct(*docs.columns).alias("whole_row")] if whole else []
+    row = [F.struct(*docs.columns).alias("whole_row"), F.xxhash64(*docs.columns).alias("row_hash")] if whole else []
     bucket = F.coalesce(F.pmod("doc_id", F.lit(BUCKETS)), F.lit(-1))
     sized = docs.select("doc_id", "source", size.alias("size"), bucket.alias("bucket"), *row)
     groups = sized.groupBy("source", "size", "bucket").agg(F.count("*").alias("n"))
@@ -79,7 +81,8 @@ def sample(docs: DataFrame, size: Column, share: float = 1.5, cap: float = 2.0,
     first = in_size.alias("a").join(before_size.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a.size") == F.col("b.size")))
     first = first.select("a.source", "a.size", "a.bucket", (F.col("before_size") + F.col("before_bucket")).alias("before"))
     first = first.alias("f").join(aim.alias("t"), F.col("f.source").eqNullSafe(F.col("t.source"))).select("f.*", "t.source_size", "t.target")
-    nth = F.row_number().over(Window.partitionBy("source", "size", "bucket").orderBy("doc_id"))
+    # rows that share an id stand in the order of their content, so the mix doesn't depend on how rows are spread
+    nth = F.row_number().over(Window.partitionBy("source", "size", "bucket").orderBy("doc_id", *(["row_hash"] if whole else [])))
     ranked = sized.withColumn("nth", nth).alias("d").join(
         first.alias("f"), F.col("d.source").eqNullSafe(F.col("f.source")) & (F.col("d.size") == F.col("f.size")) & (F.col("d.bucket") == F.col("f.bucket"))
     )

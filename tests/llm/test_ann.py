@@ -40,6 +40,29 @@ def test_recall_and_scores(spark):
     assert all(abs(exact[q][c] - s) < 1e-9 for q in got for c, s in got[q])
 
 
+def test_recall_of_the_query(spark):
+    """The registered query, with its own parameters, on its whole table."""
+    from quillon.llm.registry import op2_ann
+
+    rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select("vec_id", "embedding").collect()]
+    want, got = brute(rows, 20, 20), {}
+    for r in op2_ann(spark, "/root/testdata/sf0.01").collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert set(got) == set(want) and np.mean([len(got[q] & {c for c, _ in w}) / len(w) for q, w in want.items()]) >= 0.9
+
+
+def test_common_vector_and_full_answers(spark, monkeypatch):
+    """A vector that half of the rows have fills lists in parts; each query still gets k, from all lists if need be."""
+    monkeypatch.setattr(ann, "PART", 0.02)
+    rng = np.random.default_rng(5)
+    rows = [(i, (np.ones(8) if i % 2 else rng.normal(size=8)).tolist()) for i in range(1200)]
+    df = spark.createDataFrame([(i, v, 0, "") for i, v in rows] + [(None, [9.0] * 8, 0, "")], SCHEMA).repartition(3)
+    for k, reach in ((10, 0.6), (300, 0.0)):
+        got, want = found(df, k, reach=reach, ef=4), brute(rows, k, 20)
+        assert {q: len(w) for q, w in got.items()} == {q: k for q in want}
+    assert all(c is not None for w in got.values() for c, _ in w)
+
+
 def test_odd_rows(spark):
     rng = np.random.default_rng(3)
     rows = [(i, rng.normal(size=8).tolist()) for i in range(60)]

@@ -30,8 +30,9 @@ def test_against_brute_force(spark, monkeypatch):
     rows = [(i, [float(np.float32(x)) for x in rng.normal(size=40)]) for i in range(300)]
     rows += [(400 + i, rows[7][1]) for i in range(12)]  # ties
     rows += [(7, rows[7][1]), (500, None), (501, []), (502, [None] * 40), (503, [float("nan")] * 40), (504, [float("inf")] * 40), (505, [0.0] * 40), (506, [1.0, 2.0]), (510, [1.0, 2.0])]
-    df = spark.createDataFrame([(i, v, 0, "x") for i, v in rows], SCHEMA).repartition(3)
+    df = spark.createDataFrame([(i, v, 0, "x") for i, v in rows] + [(None, [9.0] * 40, 0, "x")], SCHEMA).repartition(3)
     assert found(df) == brute(rows, 5, 5)
+    monkeypatch.setattr(exact_topk, "HELD", 2)
     assert found(df, query_rows=8, groups=3) == brute(rows, 5, 5)
 
 

@@ -52,6 +52,13 @@ def test_odd_rows_and_reruns(spark):
     assert Counter(r.doc_id for r in mixed.collect()) == +copies
 
 
+def test_mix_does_not_depend_on_the_layout(spark):
+    rows = [(i % 5 if i % 3 else None, f"text {i} words", "en", "s", i) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    mixes = [sorted(r.text for r in mixing.mix(d, share=0.7, seed=4).collect()) for d in (docs.repartition(1), docs.repartition(7, "n_chars"), docs.orderBy(F.desc("n_chars")))]
+    assert mixes[0] == mixes[1] == mixes[2] and len(mixes[0]) == 42
+
+
 def test_empty(spark):
     assert mixing.sample(empty_docs(spark), mixing.words(F.col("text"))).count() == 0
     assert mixing.mix(empty_docs(spark)).count() == 0

@@ -1,6 +1,5 @@
 import random
 import re
-from collections import defaultdict
 
 import pytest
 from helpers import empty_docs, odd_docs
