@@ -14,7 +14,7 @@ from quillon.functions.expressions import amount, credit, on, debit, income, ref
 #: First of equals in (date, seq, id) order.
 ORDER = ("date", "seq", "id")
 #: Lower edges of the amount bands.
-BANDS = (0, 100, 500, 1000, 5000, 10000, 50000, 100000)
+BANDS = (0, 100, 500, 1000, 2500, 5000, 10000, 25000)
 
 
 def money(c: str) -> Column:
@@ -27,39 +27,63 @@ def largest(when: Column, what: str = "id") -> Column:
 
 
 def summary(ledger: DataFrame) -> DataFrame:
-    """Per user: totals, counts, averages, savings, largest rows, dates."""
+    """Per user: totals, counts, averages, savings, largest rows, the category most is spent in, dates.
+
+    Gross spending by category is a second, small aggregate; everything else is one pass.
+    """
+    transfer = F.col("category") == "TRANSFERS"
     sums = ledger.groupBy("user_id").agg(
         F.count("*").alias("n"),
         F.count_if(credit()).alias("credits"),
         F.count_if(debit()).alias("debits"),
+        F.count_if(income()).alias("incomes"),
         total(amount(), credit()).alias("total_credit"),
         total(amount(), debit()).alias("total_debit"),
         total(amount(), income()).alias("income"),
         total(amount(), spending()).alias("spending"),
         total(amount(), refund()).alias("refunds"),
+        total(amount(), credit() & transfer).alias("transfers_in"),
+        total(amount(), debit() & transfer).alias("transfers_out"),
+        total(amount(), debit() & (F.col("category") == "INVESTMENTS")).alias("investments_out"),
         largest(debit()).alias("largest_debit"),
         largest(credit()).alias("largest_credit"),
         F.min("date").alias("first_date"),
         F.max("date").alias("last_date"),
     )
+    by_category = ledger.where(spending()).groupBy("user_id", "category").agg(F.sum("amount").alias("spent"))
+    top = by_category.groupBy("user_id").agg(F.min_by(F.struct("category", "spent"), F.struct(-F.col("spent"), "category")).alias("top"))
     net = F.col("spending") - F.col("refunds")
     savings = F.col("income") - net
-    return sums.select(
-        "user_id", "n", "credits", "debits", *map(money, ("total_credit", "total_debit", "income", "spending", "refunds")), net.cast("double").alias("net_spending"),
-        (F.col("total_credit") - F.col("total_debit")).cast("double").alias("net_cash_flow"), savings.cast("double").alias("savings"),
+    other = F.col("total_credit") - F.col("income") - F.col("refunds") - F.col("transfers_in")
+    return sums.join(top, "user_id", "left").select(
+        "user_id", "n", "credits", "debits", "incomes", *map(money, ("total_credit", "total_debit", "income", "spending", "refunds", "transfers_in", "transfers_out", "investments_out")), other.cast("double").alias("other_credits"),
+        net.cast("double").alias("net_spending"), (F.col("total_credit") - F.col("total_debit")).cast("double").alias("net_cash_flow"), savings.cast("double").alias("savings"),
         F.when(F.col("income") > 0, half_up(savings.cast("double") / F.col("income").cast("double") * 100, 1)).alias("savings_rate"),
+        F.when(F.col("credits") > 0, half_up(F.col("total_credit").cast("double") / F.col("credits"), 2)).otherwise(0.0).alias("average_credit"),
         F.when(F.col("debits") > 0, half_up(F.col("total_debit").cast("double") / F.col("debits"), 2)).otherwise(0.0).alias("average_debit"),
-        "largest_debit", "largest_credit", "first_date", "last_date", (F.datediff("last_date", "first_date") + 1).alias("days"),
+        "largest_debit", "largest_credit", F.col("top.category").alias("top_category"), F.col("top.spent").cast("double").alias("top_amount"), "first_date", "last_date", (F.datediff("last_date", "first_date") + 1).alias("days"),
     )
 
 
 def period_series(ledger: DataFrame, grain: str, first_day: int = 1) -> DataFrame:
-    """Per user and period: income, spending, credits, debits, net and counts."""
+    """Per user and period: income, spending, refunds, credits, debits, savings and its rate, transfers, net and count."""
+    transfer = F.col("category") == "TRANSFERS"
     sums = ledger.groupBy("user_id", bucket(on(), grain, first_day).alias("period")).agg(
         total(amount(), income()).alias("income"), total(amount(), spending()).alias("spending"), total(amount(), refund()).alias("refunds"),
-        total(amount(), credit()).alias("credit"), total(amount(), debit()).alias("debit"), F.count("*").alias("n"), F.min("date").alias("first_date"),
+        total(amount(), credit()).alias("credit"), total(amount(), debit()).alias("debit"), total(amount(), credit() & transfer).alias("transfers_in"),
+        total(amount(), debit() & transfer).alias("transfers_out"), F.count("*").alias("n"), F.min("date").alias("first_date"),
+    )
+    savings = F.col("income") - (F.col("spending") - F.col("refunds"))
+    rate = F.when(F.col("income") > 0, half_up(savings.cast("double") / F.col("income").cast("double") * 100, 1))
+    return sums.select(
+        "user_id", "period", *map(money, ("income", "spending", "refunds", "credit", "debit")), (F.col("credit") - F.col("debit")).cast("double").alias("net"), savings.cast("double").alias("savings"), rate.alias("savings_rate"),
+        *map(money, ("transfers_in", "transfers_out")), "n", "first_date",
     )
-    return sums.select("user_id", "period", *map(money, ("income", "spending", "refunds", "credit", "debit")), (F.col("credit") - F.col("debit")).cast("double").alias("net"), "n", "first_date")
+
+
+def monthly_average(series: DataFrame, measure: str) -> DataFrame:
+    """The mean of a measure over each user's periods."""
+    return series.groupBy("user_id").agg(F.count("*").alias("periods"), half_up(F.sum(F.col(measure).cast("decimal(28,2)")).cast("double") / F.count("*"), 2).alias("average"))
 
 
 def latest_points(series: DataFrame, points: int) -> DataFrame:
@@ -114,9 +138,15 @@ def category_trend_wide(ledger: DataFrame, grain: str, categories: list[str]) ->
     return spent.na.fill(0.0, categories)
 
 
+#: What credits are called that aren't income; income goes by its subcategory.
+CREDIT_KINDS = {"REFUNDS": "Refunds & cashback", "INVESTMENTS": "Investment proceeds"}
+
+
 def income_sources(ledger: DataFrame) -> DataFrame:
     """Every credit by kind, with its share of all credits."""
-    kind = F.when(income(), "Salary & income").when(refund(), "Refunds").when(F.col("category") == "TRANSFERS", "Transfers in").when(F.col("category") == "INVESTMENTS", "Investment returns").otherwise("Other income")
+    category = F.col("category")
+    transfer = F.when(F.col("subcategory") == "Family", "Family transfers").otherwise("Transfers from people")
+    kind = F.when(income(), F.col("subcategory")).when(category == "TRANSFERS", transfer).when(category == "REFUNDS", CREDIT_KINDS["REFUNDS"]).when(category == "INVESTMENTS", CREDIT_KINDS["INVESTMENTS"]).otherwise("Other credits")
     sums = ledger.where(credit()).groupBy("user_id", kind.alias("kind")).agg(F.sum("amount").alias("amount"), F.count("*").alias("n"))
     return sums.select("user_id", "kind", money("amount"), "n", percent(F.col("amount"), F.sum("amount").over(Window.partitionBy("user_id"))).alias("share"))
 
@@ -126,9 +156,9 @@ def _spine(frame: DataFrame, name: str, values: Column) -> DataFrame:
 
 
 def weekday_profile(ledger: DataFrame) -> DataFrame:
-    """Seven rows a user, Monday 1: spending and its count, empty days kept."""
+    """Seven rows a user, Monday 1: spending, its count and average, empty days kept."""
     spent = ledger.where(spending()).groupBy("user_id", (F.weekday("date") + 1).alias("weekday")).agg(F.sum("amount").alias("amount"), F.count("*").alias("n"))
-    return _spine(ledger, "weekday", F.sequence(F.lit(1), F.lit(7))).join(spent, ["user_id", "weekday"], "left").select("user_id", "weekday", F.coalesce(F.col("amount").cast("double"), F.lit(0.0)).alias("amount"), F.coalesce("n", F.lit(0)).alias("n"))
+    return _spine(ledger, "weekday", F.sequence(F.lit(1), F.lit(7))).join(spent, ["user_id", "weekday"], "left").select("user_id", "weekday", F.coalesce(F.col("amount").cast("double"), F.lit(0.0)).alias("amount"), F.coalesce("n", F.lit(0)).alias("n"), F.coalesce(half_up(F.col("amount").cast("double") / F.col("n"), 2), F.lit(0.0)).alias("average"))
 
 
 def weekday_months(ledger: DataFrame) -> DataFrame:
@@ -150,28 +180,48 @@ def monthly_frequency(ledger: DataFrame, first_day: int = 1) -> DataFrame:
     return ledger.groupBy("user_id", bucket(on(), "monthly", first_day).alias("period")).agg(F.count("*").alias("n"), F.count_if(debit()).alias("debits"), F.count_if(credit()).alias("credits"))
 
 
-def payment_methods(ledger: DataFrame) -> DataFrame:
-    """Spending by payment method with its share; none is ``Other``."""
+def payment_methods(netted: DataFrame) -> DataFrame:
+    """Netted spending by payment method with its share and average; none is ``Other``."""
     method = F.coalesce(F.nullif("payment_method", F.lit("")), F.lit("Other"))
-    sums = ledger.where(spending()).groupBy("user_id", method.alias("method")).agg(F.sum("amount").alias("amount"), F.count("*").alias("n"))
-    return sums.select("user_id", "method", money("amount"), "n", percent(F.col("amount"), F.sum("amount").over(Window.partitionBy("user_id"))).alias("share"))
+    sums = netted.groupBy("user_id", method.alias("method")).agg(F.sum("net").alias("amount"), F.count("*").alias("n"))
+    return sums.select("user_id", "method", money("amount"), "n", percent(F.col("amount"), F.sum("amount").over(Window.partitionBy("user_id"))).alias("share"), half_up(F.col("amount").cast("double") / F.col("n"), 2).alias("average"))
+
 
+def spend_series(linked: DataFrame, grain: str, first_day: int = 1) -> DataFrame:
+    """Netted spending less unlinked refunds, floored at 0, with income, cash flow and the count of all rows, by period.
 
-def spend_series(netted: DataFrame, ledger: DataFrame, grain: str, first_day: int = 1) -> DataFrame:
-    """Netted spending less unlinked refunds, floored at 0, with income and cash flow, by period."""
+    linked: rows of refunds.linked(), whose own links count; one pass.
+    """
     key = bucket(on(), grain, first_day).alias("period")
-    spent = netted.groupBy("user_id", key).agg(F.sum("net").alias("spent"), F.count("*").alias("n"))
-    linked = F.col("refund_for").isNotNull()
-    flows = ledger.groupBy("user_id", key).agg(total(amount(), refund() & ~linked).alias("unlinked"), total(amount(), income()).alias("income"), (total(amount(), credit()) - total(amount(), debit())).alias("cash_flow"))
-    net = F.coalesce("spent", F.lit(0).cast("decimal(28,2)")) - F.col("unlinked")
-    return flows.join(spent, ["user_id", "period"], "left").select("user_id", "period", F.greatest(net, F.lit(0).cast("decimal(28,2)")).cast("double").alias("net"), money("income"), money("cash_flow"), F.coalesce("n", F.lit(0)).alias("n"))
+    zero = F.lit(0).cast("decimal(18,2)")
+    net = F.greatest(amount() - F.coalesce("refunded", zero), zero)
+    flows = linked.groupBy("user_id", key).agg(
+        total(net, spending()).alias("spent"), total(amount(), refund() & F.col("refund_for").isNull()).alias("unlinked"), total(amount(), income()).alias("income"),
+        (total(amount(), credit()) - total(amount(), debit())).alias("cash_flow"), F.count("*").alias("n"), F.min("date").alias("first_date"),
+    )
+    return flows.select("user_id", "period", F.greatest(F.col("spent") - F.col("unlinked"), F.lit(0).cast("decimal(28,2)")).cast("double").alias("net"), money("income"), money("cash_flow"), "n", "first_date")
 
 
-def merchant_months(ledger: DataFrame, months: int = 6) -> DataFrame:
-    """Each merchant's spending in the last ``months`` months that the user's ledger has, zero-filled."""
-    keyed = ledger.withColumn("period", bucket(on(), "monthly"))
+def merchant_months(netted: DataFrame, ledger: DataFrame, months: int = 6, first_day: int = 1) -> DataFrame:
+    """Each merchant's netted spending in the last ``months`` months that the user's whole ledger has, zero-filled."""
+    month = bucket(on(), "monthly", first_day).alias("period")
     newest = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("period")))
-    recent = keyed.select("user_id", "period").distinct().withColumn("nth", newest).where(F.col("nth") <= months).drop("nth")
-    spent = keyed.where(spending()).groupBy("user_id", "merchant", "period").agg(F.sum("amount").cast("double").alias("amount"))
-    merchants = keyed.where(spending()).select("user_id", "merchant").distinct()
+    recent = ledger.select("user_id", month).distinct().withColumn("nth", newest).where(F.col("nth") <= months).drop("nth")
+    spent = netted.groupBy("user_id", "merchant", month).agg(F.sum("net").cast("double").alias("amount"))
+    merchants = spent.select("user_id", "merchant").distinct()
     return merchants.join(recent, "user_id").join(spent, ["user_id", "merchant", "period"], "left").na.fill(0.0, ["amount"])
+
+
+def group_stats(netted: DataFrame, key: str) -> DataFrame:
+    """Netted spending by ``key`` (category or merchant): amount, count, average, largest row, first and last day, main category."""
+    first = F.struct(-F.col("net"), *ORDER)
+    by_category = netted.groupBy("user_id", key, *(["category"] if key != "category" else [])).agg(
+        F.sum("net").alias("amount"), F.count("*").alias("n"), F.min(F.struct(first.alias("order"), F.col("net").alias("net"))).alias("top"), F.min("date").alias("first"), F.max("date").alias("last")
+    )
+    if key != "category":
+        by_category = by_category.groupBy("user_id", key).agg(
+            F.sum("amount").alias("total"), F.sum("n").alias("n"), F.min("top").alias("top"), F.min("first").alias("first"), F.max("last").alias("last"), F.min_by("category", F.struct(-F.col("amount"), "category")).alias("category")
+        ).withColumnRenamed("total", "amount")
+    return by_category.select(
+        "user_id", *dict.fromkeys([key, "category"]), money("amount"), "n", half_up(F.col("amount").cast("double") / F.col("n"), 2).alias("average"), F.col("top.order.id").alias("largest"), F.col("top.net").cast("double").alias("largest_amount"), "first", "last",
+    )

@@ -1,107 +1,232 @@
-"""Unusual activity: each detector is windows and aggregates over all users."""
+"""Unusual activity: each detector is windows and aggregates over all users.
+
+Detectors take rows of refunds.linked() with ``is_recurring`` and a date. What
+they learn from are net debits (purchases less their refunds) without
+investments; a user with fewer than ``LEAST_ROWS`` of these has no findings.
+Findings share one schema, FINDING, and unusual_activity() unites them.
+"""
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.functions.expressions import spending, half_up
+from quillon.functions.expressions import debit, half_up, spending
 
+# Thresholds, and categories of few large payments or of no spending.
+Z = 3.5
+LEAST_ROWS = 8
+LUMPY = ("RENT", "BILLS", "UTILITIES", "EDUCATION", "INVESTMENTS", "SUBSCRIPTIONS")
+NON_SPENDING = ("TRANSFERS", "INVESTMENTS")
+SEVERITIES = {"high": 3, "medium": 2, "low": 1}
+FINDING = ("user_id", "id", "type", "severity", "date", "observed", "baseline", "ratio", "score", "sample", "confidence", "merchant", "category", "txn_id")
 
-def robust_z(x: Column, median: Column, mad: Column, floor: float = 0.1) -> Column:
+
+def robust_z(x: Column, median: Column, mad: Column, floor: float = 0.05) -> Column:
     return (x - median) / F.greatest(mad / 0.6745, floor * median, F.lit(1.0))
 
 
+def severity(z: Column, ratio: Column) -> Column:
+    return F.when((z >= 8) | (ratio >= 6), "high").when((z >= 5) | (ratio >= 3.5), "medium").otherwise("low")
+
+
+def confidence(n: Column, z: Column, most: float | Column = 0.95) -> Column:
+    """From the size of the history and the strength of the finding, at most ``most``."""
+    strength = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (z - Z) / 8))
+    return half_up(F.least(most if isinstance(most, Column) else F.lit(most), 0.3 + 0.4 * F.least(F.lit(1.0), n / 30) + 0.25 * strength), 2)
+
+
 def outliers(ledger: DataFrame, least: float = 1500.0) -> DataFrame:
-    """Spending far above its category's median (by MAD; three times it where MAD is 0), or beyond Q3 + 3 IQR of the user."""
+    """The simple detector over gross spending: far above the category's median, else beyond Q3 + 3 IQR of the user.
+
+    With six rows or more and a MAD, by a modified z of 3.5 and twice the
+    median; with a MAD of 0, three times the median; all others by the fence.
+    """
     amount = F.col("amount").cast("double")
     rows = ledger.where(spending()).select("user_id", "id", "category", amount.alias("x"))
     users = rows.groupBy("user_id").agg(F.count("*").alias("of_user"), F.percentile("x", F.lit(0.25)).alias("q1"), F.percentile("x", F.lit(0.75)).alias("q3"))
     groups = rows.groupBy("user_id", "category").agg(F.count("*").alias("n"), F.median("x").alias("median"))
     centred = rows.join(groups, ["user_id", "category"])
     mads = centred.groupBy("user_id", "category").agg(F.median(F.abs(F.col("x") - F.col("median"))).alias("mad"))
-    all_ = centred.join(mads, ["user_id", "category"]).join(users, "user_id")
-    local = F.when(F.col("mad") > 0, (0.6745 * (F.col("x") - F.col("median")) / F.col("mad") > 3.5) & (F.col("x") >= 2 * F.col("median"))).otherwise(F.col("x") >= 3 * F.col("median"))
-    fence = F.col("x") > F.col("q3") + 3 * (F.col("q3") - F.col("q1"))
-    unusual = F.when(F.col("n") >= 6, local).otherwise(fence)
-    return all_.where((F.col("of_user") >= 8) & (F.col("x") >= least) & unusual).select("user_id", "id", "category", F.col("x").alias("amount"))
-
-
-def frequent_payments(ledger: DataFrame) -> DataFrame:
-    """Merchants paid at least four times in seven days and three times their weekly mean before, by a Poisson-like z of 3."""
-    days = ledger.where(spending()).groupBy("user_id", "merchant", "date").agg(F.count("*").alias("n"))
-    own = Window.partitionBy("user_id", "merchant").orderBy(F.datediff("date", F.lit("1970-01-01")))
-    first = F.min("date").over(Window.partitionBy("user_id", "merchant"))
-    seen = days.withColumns({"week": F.sum("n").over(own.rangeBetween(-6, 0)), "so_far": F.sum("n").over(own.rowsBetween(Window.unboundedPreceding, 0)), "first": first})
-    weeks = F.floor((F.datediff("date", "first") - 6) / 7)
-    rated = seen.withColumn("weeks", weeks).where("weeks >= 3").withColumn("mean", F.greatest((F.col("so_far") - F.col("week")) / F.col("weeks"), F.lit(0.5)))
-    z = (F.col("week") - F.col("mean")) / F.sqrt("mean")
-    hits = rated.where((F.col("week") >= 4) & (F.col("week") >= 3 * F.col("mean")) & (z >= 3))
-    best = F.row_number().over(Window.partitionBy("user_id", "merchant").orderBy(F.desc("week"), "date"))
-    return hits.withColumn("nth", best).where("nth = 1").select("user_id", "merchant", "date", "week", half_up(F.col("mean"), 2).alias("mean"))
-
-
-def window_spikes(ledger: DataFrame, key: str | None, days: int, windows: int, base: int, ratio: float, least: float) -> DataFrame:
-    """Spending of the last ``days`` far above the median of the same-length windows before, by key or in all."""
-    keys = ["user_id", *([key] if key else [])]
-    last = ledger.groupBy("user_id").agg(F.max("date").alias("as_of"), F.min("date").alias("first"))
-    numbered = ledger.where(spending()).join(last, "user_id").withColumn("k", F.floor(F.datediff("as_of", "date") / days).cast("int")).where(F.col("k") <= windows)
-    full = F.least(F.floor((F.datediff("as_of", "first") + 1) / days).cast("int") - 1, F.lit(windows))
-    sums = numbered.groupBy(*keys, "k").agg(F.sum("amount").cast("double").alias("x"))
-    spine = numbered.select(*keys, full.alias("full")).distinct().where(F.col("full") >= base).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("full"))))
-    dense = spine.join(sums, [*keys, "k"], "left").na.fill(0.0, ["x"])
-    stats = dense.groupBy(*keys).agg(F.max(F.when(F.col("k") == 0, F.col("x"))).alias("now"), F.median(F.when(F.col("k") > 0, F.col("x"))).alias("median"))
-    spread = dense.join(stats, keys).where("k > 0").groupBy(*keys).agg(F.median(F.abs(F.col("x") - F.col("median"))).alias("mad"))
-    z = robust_z(F.col("now"), F.col("median"), F.col("mad"), 0.25)
-    return stats.join(spread, keys).where((z >= 3.5) & (F.col("now") >= ratio * F.col("median")) & (F.col("now") - F.col("median") >= least)).select(*keys, half_up(F.col("now"), 2).alias("now"), half_up(F.col("median"), 2).alias("median"))
-
-
-def possible_duplicates(ledger: DataFrame, least: float = 100.0) -> DataFrame:
-    """Spending of one day, merchant and amount that occurs more than once, with its ids in order."""
-    groups = ledger.where(spending() & (F.col("amount") >= least)).groupBy("user_id", "date", F.lower("merchant").alias("merchant"), "amount")
-    found = groups.agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("id")), ",").alias("ids")).where("n >= 2")
-    return found.withColumn("amount", F.col("amount").cast("double"))
-
-
-def large_transactions(ledger: DataFrame, peers: int = 6, least: float = 1000.0) -> DataFrame:
-    """Spending with a leave-one-out robust z of 3.5 within its category and at least twice the median of its peers.
-
-    The group's sorted amounts stay in arrays per (user, category), which a
-    category of one user bounds; each row drops itself by position.
+    all_ = centred.where(F.col("x") >= least).join(mads, ["user_id", "category"]).join(users, "user_id")
+    x, median, mad, many = F.col("x"), F.col("median"), F.col("mad"), F.col("n") >= 6
+    fence = x > F.col("q3") + 3 * (F.col("q3") - F.col("q1"))
+    unusual = F.when(many & (mad > 0), (0.6745 * (x - median) / mad > Z) & (x >= 2 * median)).when(many & (mad == 0) & (x >= 3 * median) & (median > 0), True).otherwise(fence)
+    return all_.where((F.col("of_user") >= LEAST_ROWS) & unusual).select("user_id", "id", "category", F.col("x").alias("amount"))
+
+
+def population(linked: DataFrame, as_of: dt.date, lookback: int = 90) -> DataFrame:
+    """Net debits with ``net``, ``everyday`` and ``recent`` flags and the first date of the user's ledger.
+
+    linked: rows up to any date; the detectors look at the ``lookback`` days up to ``as_of``.
+    """
+    zero = F.lit(0).cast("decimal(18,2)")
+    net = F.greatest(F.col("amount") - F.coalesce("refunded", zero), zero)
+    counted = debit() & (F.col("category") != "INVESTMENTS") & (net > 0)
+    users = linked.groupBy("user_id").agg(F.min("date").alias("first"), F.count_if(counted).alias("of_user"))
+    rows = linked.withColumns({"net": net.cast("double"), "counted": counted}).join(users, "user_id")
+    everyday = ~F.col("category").isin(*NON_SPENDING, *LUMPY) & ~F.col("is_recurring")
+    recent = F.col("date").between(F.lit(as_of - dt.timedelta(lookback - 1)), F.lit(as_of))
+    return rows.where((F.col("of_user") >= LEAST_ROWS) & F.col("counted")).select(
+        "user_id", "id", "date", "merchant", "category", "is_recurring", F.col("amount").cast("double").alias("amount"), "net", "first",
+        everyday.alias("everyday"), (~F.col("category").isin(*NON_SPENDING)).alias("spends"), recent.alias("recent"),
+    )
+
+
+def leave_one_out(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """``rows`` (with an ``id``) with ``peers``, the median of the group's other values and their MAD about it.
+
+    Without one value, the median is one of two or three that follow from the
+    three ranks in the middle; the deviations from each are ranked in the same
+    way. So no group's values are ever held together; Spark sorts them.
     """
-    rows = ledger.where(spending()).select("user_id", "category", "id", F.col("amount").cast("double").alias("x"))
-    groups = rows.groupBy("user_id", "category").agg(F.sort_array(F.collect_list("x")).alias("xs")).where(F.size("xs") > peers)
-    others = rows.where(F.col("x") >= least).join(groups, ["user_id", "category"])
-    at = F.array_position("xs", F.col("x"))
-    rest = others.withColumn("xs", F.concat(F.slice("xs", F.lit(1), at - 1), F.slice("xs", at + 1, F.size("xs"))))
 
-    def middle(a: Column) -> Column:
-        n = F.size(a)
-        return (F.element_at(a, F.floor((n + 1) / 2).cast("int")) + F.element_at(a, F.floor(n / 2 + 1).cast("int"))) / 2
+    def ranked(frame: DataFrame, by: list[str], of: str, prefix: str) -> DataFrame:
+        own = frame.withColumns({f"{prefix}n": F.count("*").over(Window.partitionBy(*by)), f"{prefix}i": F.row_number().over(Window.partitionBy(*by).orderBy(of, "id"))})
+        half = F.floor(F.col(f"{prefix}n") / 2)
+        middle = own.groupBy(*by).agg(*(F.max(F.when(F.col(f"{prefix}i") == half + k, F.col(of))).alias(f"{prefix}{c}") for k, c in enumerate("abc")))
+        return own.join(middle, by)
+
+    def without(prefix: str) -> Column:
+        n, i, a, b, c = (F.col(f"{prefix}{x}") for x in "niabc")
+        half = F.floor(n / 2)
+        return F.when(n % 2 == 0, F.when(i <= half, b).otherwise(a)).when(i <= half, (b + c) / 2).when(i == half + 1, (a + c) / 2).otherwise((a + b) / 2)
+
+    first = ranked(rows, keys, value, "_")
+    n, half = F.col("_n"), F.floor(F.col("_n") / 2)
+    mine = F.when(n % 2 == 0, F.when(F.col("_i") <= half, 0).otherwise(1)).otherwise(F.when(F.col("_i") <= half, 0).when(F.col("_i") == half + 1, 1).otherwise(2))
+    medians = F.when(n % 2 == 0, F.array("_b", "_a")).otherwise(F.array((F.col("_b") + F.col("_c")) / 2, (F.col("_a") + F.col("_c")) / 2, (F.col("_a") + F.col("_b")) / 2))
+    first = first.withColumns({"_mine": mine, "median": without("_"), "peers": F.col("_n") - 1})
+    each = first.where("peers > 0").select(*rows.columns, "peers", "median", "_mine", F.posexplode(medians).alias("_which", "_about")).where("_about IS NOT NULL").withColumn("_d", F.abs(F.col(value) - F.col("_about")))
+    second = ranked(each, [*keys, "_which"], "_d", "d_").withColumn("mad", without("d_"))
+    return second.where("_which = _mine").select(*rows.columns, "peers", "median", "mad")
+
+
+def _finding(rows: DataFrame, kind: str, key: Column, **columns: Column) -> DataFrame:
+    given = {"baseline": half_up(F.col("median"), 2), "ratio": F.lit(None).cast("double"), "score": F.lit(None).cast("double"), "merchant": F.lit(None).cast("string"), "category": F.lit(None).cast("string"), "txn_id": F.lit(None).cast("string")} | columns
+    values = {"user_id": F.col("user_id"), "id": F.concat_ws(":", F.lit(kind), key), "type": F.lit(kind), "sample": given.pop("sample").cast("long"), "observed": given.pop("observed").cast("double")} | given
+    return rows.select(*(values[c].alias(c) for c in FINDING))
+
+
+def large_transactions(people: DataFrame, least: float = 1000.0) -> DataFrame:
+    """Payments far above the others of their category: z of 3.5 and twice the median of the peers.
+
+    With under six peers the user's everyday payments stand in (ten at least),
+    but not for categories of few large payments.
+    """
+    z, ratio = robust_z(F.col("net"), F.col("median"), F.col("mad")), half_up(F.col("net") / F.col("median"), 2)
+    wanted = F.col("recent") & (F.col("net") >= least) & ~F.col("is_recurring")
+    plain = people.where(~F.col("is_recurring")).drop("first")
+    own = leave_one_out(plain, ["user_id", "category"], "net").where(wanted & (F.col("peers") >= 6)).withColumn("most", F.lit(0.95))
+    enough = plain.groupBy("user_id", "category").agg(F.count("*").alias("held")).where(F.col("held") > 6).drop("held")
+    lent = leave_one_out(plain.where("everyday"), ["user_id"], "net").where(wanted & (F.col("peers") >= 10)).join(enough, ["user_id", "category"], "left_anti").select(*plain.columns, "peers", "median", "mad").withColumn("most", F.lit(0.7))
+    found = own.select(*plain.columns, "peers", "median", "mad", "most").union(lent).where((z >= Z) & (F.col("median") > 0) & (F.col("net") >= 2 * F.col("median")))
+    return _finding(found, "large_transaction", F.col("id"), severity=severity(z, ratio), date=F.col("date"), observed=F.col("net"), ratio=ratio, score=half_up(z, 2), sample=F.col("peers"), confidence=confidence(F.col("peers"), z, F.col("most")), merchant=F.col("merchant"), category=F.col("category"), txn_id=F.col("id"))
+
+
+def frequent_payments(people: DataFrame) -> DataFrame:
+    """Merchants paid at least four times in seven days and three times their weekly mean before, by a Poisson-like z of 3; each one's best week."""
+    rows = people.where(~F.col("merchant").startswith("Unidentified"))
+    days = rows.groupBy("user_id", "merchant", "date").agg(F.count("*").alias("n"), F.max("id").alias("last"), F.max("recent").alias("recent"), F.min(F.struct("date", "id", "category")).alias("one"))
+    merchant = Window.partitionBy("user_id", "merchant")
+    own = merchant.orderBy(F.datediff("date", F.lit("1970-01-01")))
+    seen = days.withColumns({"week": F.sum("n").over(own.rangeBetween(-6, 0)), "so_far": F.sum("n").over(own.rowsBetween(Window.unboundedPreceding, 0)), "since": F.min("date").over(merchant), "category": F.min("one").over(merchant)["category"]})
+    rated = seen.withColumn("weeks", F.floor((F.datediff("date", "since") - 6) / 7)).where("recent AND weeks >= 3").withColumn("mean", (F.col("so_far") - F.col("week")) / F.col("weeks"))
+    least = F.greatest("mean", F.lit(0.5))
+    z = (F.col("week") - F.col("mean")) / F.sqrt(least)
+    hits = rated.where((F.col("week") >= 4) & (F.col("week") >= 3 * least) & (z >= 3))
+    best = hits.withColumn("nth", F.row_number().over(merchant.orderBy(F.desc("week"), "date"))).where("nth = 1").withColumn("median", F.col("mean"))
+    ratio = half_up(F.col("week") / least, 2)
+    return _finding(best, "frequent_transactions", F.concat_ws(":", F.lower("merchant"), F.col("date").cast("string")), severity=severity(z + 2, ratio), date=F.col("date"), observed=F.col("week"), ratio=ratio, score=half_up(z, 2), sample=F.col("weeks"), confidence=confidence(F.col("weeks") * 2, z + 1, 0.85), merchant=F.col("merchant"), category=F.col("category"), txn_id=F.col("last"))
+
+
+def _middle(values: Column) -> Column:
+    """The median of a short array."""
+    ordered, n = F.array_sort(values), F.size(values)
+    return (F.element_at(ordered, F.floor((n + 1) / 2).cast("int")) + F.element_at(ordered, F.floor(n / 2 + 1).cast("int"))) / 2
+
+
+def window_spikes(people: DataFrame, key: str | None, as_of: dt.date, days: int, windows: int, base: int, ratio: float, least: float, kind: str, per_window: int) -> DataFrame:
+    """The last ``days`` of spending far above the median of the windows of that length before, by key or in all.
+
+    Only windows that the user's ledger covers count, ``base`` at least, empty
+    ones as 0. A window is a conditional sum, so it is one aggregate.
+    """
+    keys = ["user_id", *([key] if key else [])]
+    at = F.floor(F.datediff(F.lit(as_of), "date") / days)
+    rows = people.where(F.col("date") <= F.lit(as_of))
+    top = F.struct((-F.col("net")).alias("net"), F.col("date").alias("date"), F.col("id").alias("id"))
+    sums = rows.groupBy(*keys).agg(
+        F.min("first").alias("first"), F.min(F.struct("date", "id", "category")).alias("one"), F.min(F.when(at == 0, top)).alias("top"),
+        *(F.coalesce(F.sum(F.when(at == k, F.col("net").cast("decimal(18,2)"))).cast("double"), F.lit(0.0)).alias(f"x{k}") for k in range(windows + 1)),
+    )
+    full = F.least(F.floor((F.datediff(F.lit(as_of), "first") + 1) / days) - 1, F.lit(windows)).cast("int")
+    kept = sums.withColumn("full", full).where(F.col("full") >= base).withColumn("before", F.slice(F.array(*(f"x{k}" for k in range(1, windows + 1))), F.lit(1), F.col("full")))
+    kept = kept.withColumn("median", _middle(F.col("before"))).withColumn("mad", _middle(F.transform("before", lambda v: F.abs(v - F.col("median"))))).where("median > 0")
+    if key == "merchant":
+        kept = kept.where(~F.col("merchant").startswith("Unidentified") & ~F.col("one.category").isin(*LUMPY))
+    elif key == "category":
+        kept = kept.where(~F.col("category").isin(*LUMPY))
+    z, times = robust_z(F.col("x0"), F.col("median"), F.col("mad"), 0.25), half_up(F.col("x0") / F.col("median"), 2)
+    found = kept.where((z >= Z) & (times >= ratio) & (F.col("x0") - F.col("median") >= least))
+    names = {"merchant": F.col("merchant"), "category": F.col("one.category")} if key == "merchant" else {"category": F.col("category")} if key else {}
+    label = F.concat_ws(":", *([F.lower(key)] if key else []), F.lit(str(as_of)))
+    return _finding(found, kind, label, severity=severity(z, times), date=F.lit(as_of), observed=half_up(F.col("x0"), 2), ratio=times, score=half_up(z, 2), sample=F.col("full"), confidence=confidence(F.col("full") * per_window, z, 0.85), txn_id=F.col("top.id"), **names)
+
+
+def merchant_spikes(people: DataFrame, as_of: dt.date, least: float = 1000.0) -> DataFrame:
+    return window_spikes(people.where("spends AND NOT is_recurring"), "merchant", as_of, 30, 6, 3, 1.75, least, "merchant_spike", 5)
+
+
+def category_spikes(people: DataFrame, as_of: dt.date, least: float = 1000.0) -> DataFrame:
+    return window_spikes(people.where("spends AND NOT is_recurring"), "category", as_of, 30, 6, 3, 1.75, least, "category_spike", 5)
+
 
-    stats = rest.withColumn("median", middle(F.col("xs")))
-    stats = stats.withColumn("mad", middle(F.sort_array(F.transform("xs", lambda v: F.abs(v - F.col("median"))))))
-    return stats.where((robust_z(F.col("x"), F.col("median"), F.col("mad")) >= 3.5) & (F.col("x") >= 2 * F.col("median"))).select("user_id", "id", "category", F.col("x").alias("amount"), F.col("median"))
+def weekly_spikes(people: DataFrame, as_of: dt.date, least: float = 1000.0) -> DataFrame:
+    return window_spikes(people.where("everyday"), None, as_of, 7, 8, 4, 1.8, 2 * least, "spending_spike", 4)
 
 
-def unusual_days(ledger: DataFrame, reported: DataFrame, least: float = 1000.0) -> DataFrame:
-    """Days whose spending is 2.5 times the median of the user's other spending days and 3.5 robust deviations off.
+def unusual_days(people: DataFrame, large: DataFrame, least: float = 1000.0) -> DataFrame:
+    """Everyday spending of a day 2.5 times the median of the user's other days and 3.5 deviations off.
 
-    A day with one purchase of 70 % of it in ``reported`` (user_id, id) is left
-    out. The leave-one-out median comes from the sorted totals of a user's days.
+    A day whose largest payment is 70 % of it and was reported in ``large`` is left out.
     """
-    rows = ledger.where(spending()).select("user_id", "date", "id", F.col("amount").cast("double").alias("x"))
-    days = rows.groupBy("user_id", "date").agg(F.sum("x").alias("total"))
-    users = days.groupBy("user_id").agg(F.sort_array(F.collect_list("total")).alias("xs")).where(F.size("xs") >= 10)
-    at = F.array_position("xs", F.col("total"))
-    rest = days.where(F.col("total") >= 2 * least).join(users, "user_id").withColumn("xs", F.concat(F.slice("xs", F.lit(1), at - 1), F.slice("xs", at + 1, F.size("xs"))))
-
-    def middle(a: Column) -> Column:
-        n = F.size(a)
-        return (F.element_at(a, F.floor((n + 1) / 2).cast("int")) + F.element_at(a, F.floor(n / 2 + 1).cast("int"))) / 2
-
-    stats = rest.withColumn("median", middle(F.col("xs")))
-    stats = stats.withColumn("mad", middle(F.sort_array(F.transform("xs", lambda v: F.abs(v - F.col("median"))))))
-    unusual = stats.where((robust_z(F.col("total"), F.col("median"), F.col("mad")) >= 3.5) & (F.col("total") >= 2.5 * F.col("median"))).select("user_id", "date", "total", "median")
-    told = rows.join(reported, ["user_id", "id"], "left_semi").groupBy("user_id", "date").agg(F.max("x").alias("one"))
-    return unusual.join(told, ["user_id", "date"], "left").where(F.coalesce(F.col("one") < 0.7 * F.col("total"), F.lit(True))).drop("one")
+    rows = people.where("everyday")
+    top = F.min(F.struct((-F.col("net")).alias("net"), F.col("id").alias("id"))).alias("top")
+    days = rows.groupBy("user_id", "date").agg(F.sum(F.col("net").cast("decimal(18,2)")).cast("double").alias("total"), top, F.max("recent").alias("recent")).withColumn("id", F.col("date").cast("string"))
+    rated = leave_one_out(days, ["user_id"], "total").where((F.col("peers") >= 9) & F.col("recent") & (F.col("total") >= 2 * least))
+    z, ratio = robust_z(F.col("total"), F.col("median"), F.col("mad"), 0.25), half_up(F.col("total") / F.col("median"), 2)
+    unusual = rated.where((z >= Z) & (F.col("total") >= 2.5 * F.col("median")))
+    told = large.select(F.col("user_id").alias("l_user"), F.col("txn_id").alias("l_id"))
+    alone = (F.col("user_id") == F.col("l_user")) & (F.col("top.id") == F.col("l_id")) & (-F.col("top.net") >= 0.7 * F.col("total"))
+    kept = unusual.join(told, alone, "left_anti")
+    return _finding(kept, "unusual_day", F.col("date").cast("string"), severity=severity(z, ratio), date=F.col("date"), observed=half_up(F.col("total"), 2), ratio=ratio, score=half_up(z, 2), sample=F.col("peers"), confidence=confidence(F.col("peers"), z, 0.9), txn_id=F.col("top.id"))
+
+
+def possible_duplicates(people: DataFrame, least: float = 100.0) -> DataFrame:
+    """Payments of one day, merchant and gross amount that occur more than once."""
+    rows = people.where(F.col("recent") & (F.col("net") >= least) & ~F.col("merchant").startswith("Unidentified"))
+    sizes = people.groupBy("user_id").agg(F.count("*").alias("all_rows"))
+    groups = rows.groupBy("user_id", "date", F.lower("merchant").alias("key"), "amount").agg(F.count("*").alias("n"), F.min(F.struct("id", "merchant", "category")).alias("one")).where("n >= 2").join(sizes, "user_id")
+    amount = F.col("amount")
+    label = F.concat_ws("|", F.col("date").cast("string"), F.col("key"), amount.cast("decimal(18,2)").cast("string"))
+    return _finding(groups.withColumn("median", F.lit(1.0)), "possible_duplicate", label, severity=F.when(amount >= 5000, "medium").otherwise("low"), date=F.col("date"), observed=F.col("n"), ratio=F.col("n").cast("double"), sample=F.col("all_rows"), confidence=F.when(amount >= 1000, 0.6).otherwise(0.45), merchant=F.col("one.merchant"), category=F.col("one.category"), txn_id=F.col("one.id"))
+
+
+def unusual_activity(linked: DataFrame, as_of: dt.date, lookback: int = 90, least: float = 1000.0) -> DataFrame:
+    """All findings at a date with each user's ``place``: most severe, latest, largest first."""
+    people = population(linked, as_of, lookback)
+    large = large_transactions(people, least)
+    found = large
+    for more in (frequent_payments(people), merchant_spikes(people, as_of, least), category_spikes(people, as_of, least), unusual_days(people, large, least), weekly_spikes(people, as_of, least), possible_duplicates(people)):
+        found = found.unionByName(more)
+    rank = F.coalesce(*[F.when(F.col("severity") == s, k) for s, k in SEVERITIES.items()])
+    return found.withColumn("place", F.row_number().over(Window.partitionBy("user_id").orderBy(rank.desc(), F.desc("date"), F.desc("observed"), "id")))
+
+
+def badges(findings: DataFrame) -> DataFrame:
+    """(user_id, txn_id, severity): the strongest finding of each payment, to mark it where payments are listed."""
+    rank = F.coalesce(*[F.when(F.col("severity") == s, k) for s, k in SEVERITIES.items()])
+    return findings.where("txn_id IS NOT NULL").groupBy("user_id", "txn_id").agg(F.max_by("severity", rank).alias("severity"))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.functions.expressions import amount, credit, debit, spending, total
+from quillon.functions.expressions import amount, credit, debit, half_up, spending, total
 from quillon.operators.aggregates import ORDER
 
 def signed() -> Column:
@@ -14,10 +14,17 @@ def signed() -> Column:
 
 
 def cumulative_flow(ledger: DataFrame) -> DataFrame:
-    """Net flow by day and its running sum; days are aggregated before the window."""
-    days = ledger.groupBy("user_id", "date").agg((total(amount(), credit()) - total(amount(), debit())).alias("net"))
+    """Net flow by day, its running sum and the day's last known balance (null: none, if the ledger has any); days are aggregated before the window."""
+    known = [F.max_by(F.when(F.col("balance_after").isNotNull(), F.col("balance_after")), F.when(F.col("balance_after").isNotNull(), F.struct("seq", "id"))).cast("double").alias("balance")] if "balance_after" in ledger.columns else []
+    days = ledger.groupBy("user_id", "date").agg((total(amount(), credit()) - total(amount(), debit())).alias("net"), *known)
     running = F.sum("net").over(Window.partitionBy("user_id").orderBy("date"))
-    return days.select("user_id", "date", F.col("net").cast("double").alias("net"), running.cast("double").alias("cumulative"))
+    return days.select("user_id", "date", F.col("net").cast("double").alias("net"), running.cast("double").alias("cumulative"), *(["balance"] if known else []))
+
+
+def moving_average(series: DataFrame, value: str, points: int = 7) -> DataFrame:
+    """``series`` (user_id, period, ...) with the mean of the last ``points`` points of ``value``."""
+    last = Window.partitionBy("user_id").orderBy("period").rowsBetween(1 - points, 0)
+    return series.withColumn("average", half_up(F.avg(value).over(last), 2))
 
 
 def with_balance(ledger: DataFrame) -> DataFrame:
@@ -32,7 +39,7 @@ def balance_on(balanced: DataFrame, day) -> DataFrame:
 
 
 def chain_breaks(balanced: DataFrame, tolerance: float = 0.011) -> DataFrame:
-    """Per user: rows with a balance and those that don't follow from the row before."""
+    """Per user: rows with a balance and those that don't follow from the last row that has one."""
     before = F.lag("balance_after").over(Window.partitionBy("user_id").orderBy(*ORDER))
     rows = balanced.where("balance_after IS NOT NULL").withColumn("expected", before + signed())
     return rows.groupBy("user_id").agg(F.count("*").alias("n"), F.count_if(F.abs(F.col("expected") - F.col("balance_after")) > tolerance).alias("breaks"))
@@ -43,8 +50,12 @@ def daily_strip(ledger: DataFrame, days: int) -> DataFrame:
     last = ledger.groupBy("user_id").agg(F.max("date").alias("last"))
     spine = last.select("user_id", F.explode(F.sequence(F.date_sub("last", days - 1), F.col("last"))).alias("date"))
     flows = ledger.groupBy("user_id", "date").agg(total(amount(), credit()).alias("money_in"), total(amount(), spending()).alias("spent"), (total(amount(), credit()) - total(amount(), debit())).alias("net"))
-    closing = flows.withColumn("balance", F.sum("net").over(Window.partitionBy("user_id").orderBy("date")))
-    seed = closing.join(last, "user_id").where(F.col("date") < F.date_sub("last", days - 1)).groupBy("user_id").agg(F.max_by("balance", "date").alias("seed"))
-    carried = F.last("balance", ignorenulls=True).over(Window.partitionBy("user_id").orderBy("date"))
-    dense = spine.join(closing, ["user_id", "date"], "left").join(seed, "user_id", "left")
-    return dense.select("user_id", "date", F.coalesce(F.col("money_in").cast("double"), F.lit(0.0)).alias("money_in"), F.coalesce(F.col("spent").cast("double"), F.lit(0.0)).alias("spent"), F.coalesce(carried, "seed").cast("double").alias("balance"))
+    # what came before the window is one sum for each user, so only the window's own days are ordered
+    inside = flows.join(last, "user_id")
+    seed = inside.where(F.col("date") < F.date_sub("last", days - 1)).groupBy("user_id").agg(F.sum("net").alias("seed"))
+    recent = inside.where(F.col("date") >= F.date_sub("last", days - 1)).drop("last")
+    dense = spine.join(recent, ["user_id", "date"], "left").join(seed, "user_id", "left")
+    zero = F.lit(0).cast("decimal(28,2)")
+    running = F.coalesce(F.sum("net").over(Window.partitionBy("user_id").orderBy("date")), zero) + F.coalesce("seed", zero)
+    known = F.coalesce(F.col("seed"), F.first("net", ignorenulls=True).over(Window.partitionBy("user_id").orderBy("date"))).isNotNull()
+    return dense.select("user_id", "date", F.coalesce(F.col("money_in").cast("double"), F.lit(0.0)).alias("money_in"), F.coalesce(F.col("spent").cast("double"), F.lit(0.0)).alias("spent"), F.when(known, running.cast("double")).alias("balance"))

@@ -8,8 +8,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.functions.expressions import amount, credit, debit, income, spending, half_up, percent, total
-from quillon.operators.aggregates import largest, money
+from quillon.functions.expressions import amount, credit, debit, half_up, income, percent, refund, spending, total
+from quillon.operators.aggregates import ORDER, group_stats, largest, money, spend_series
+
 
 def own_transfer() -> Column:
     return F.coalesce(F.col("subcategory") == "Self Transfer", F.lit(False))
@@ -31,13 +32,45 @@ def previous(period: Period) -> Period:
     return Period(period.first - dt.timedelta(days), period.first - dt.timedelta(1))
 
 
-def comparable(unit: str, as_of: dt.date) -> tuple[Period, Period]:
-    """The unit that holds ``as_of``, up to it, and as many days of the one before."""
-    firsts = {"week": as_of - dt.timedelta(as_of.weekday()), "month": as_of.replace(day=1), "quarter": as_of.replace(month=3 * ((as_of.month - 1) // 3) + 1, day=1), "year": as_of.replace(month=1, day=1)}
-    first = firsts[unit]
-    day_before = first - dt.timedelta(1)
-    earlier = {"week": first - dt.timedelta(7), "month": day_before.replace(day=1), "quarter": day_before.replace(month=3 * ((day_before.month - 1) // 3) + 1, day=1), "year": day_before.replace(month=1, day=1)}[unit]
-    return Period(first, as_of), Period(earlier, min(earlier + (as_of - first), day_before))
+def _months_later(day: dt.date, months: int) -> dt.date:
+    at = day.year * 12 + day.month - 1 + months
+    return day.replace(year=at // 12, month=at % 12 + 1)
+
+
+def financial_month(day: dt.date, first_day: int = 1) -> Period:
+    """The month of ``day`` when months begin on ``first_day`` (1 to 28)."""
+    first = day.replace(day=first_day)
+    first = first if day.day >= first_day else _months_later(first, -1)
+    return Period(first, _months_later(first, 1) - dt.timedelta(1))
+
+
+def comparable(unit: str, as_of: dt.date, first_day: int = 1) -> tuple[Period, Period]:
+    """The unit that holds ``as_of``, up to it, and as many days of the one before; only months honour ``first_day``."""
+    if unit == "month":
+        first = financial_month(as_of, first_day).first
+        earlier = _months_later(first, -1)
+    elif unit == "week":
+        first = as_of - dt.timedelta(as_of.weekday())
+        earlier = first - dt.timedelta(7)
+    elif unit in ("quarter", "year"):
+        months = 3 if unit == "quarter" else 12
+        first = as_of.replace(month=months * ((as_of.month - 1) // months) + 1, day=1)
+        earlier = _months_later(first, -months)
+    else:
+        raise ValueError(f"unknown unit {unit!r}")
+    return Period(first, as_of), Period(earlier, min(earlier + (as_of - first), first - dt.timedelta(1)))
+
+
+def unit_of(period: Period) -> str:
+    """The calendar unit that a range is, else ``custom``."""
+    day = period.first
+    for unit in ("week", "month", "quarter", "year"):
+        first = comparable(unit, day)[0].first
+        months = {"month": 1, "quarter": 3, "year": 12}.get(unit)
+        after = day + dt.timedelta(7) if months is None else _months_later(first, months)
+        if first == day and after == period.last + dt.timedelta(1):
+            return unit
+    return "day" if period.first == period.last else "custom"
 
 
 def changes(netted: DataFrame, key: str, current: Period, before: Period, least_percent: float = 25.0, least_amount: float = 500.0, least_rows: int = 3) -> DataFrame:
@@ -52,26 +85,65 @@ def changes(netted: DataFrame, key: str, current: Period, before: Period, least_
     return sums.select("user_id", key, money("now"), money("then"), "n_now", "n_then", delta.cast("double").alias("delta"), pct.alias("percent"), kind.alias("kind"), matters.alias("significant"))
 
 
-def period_totals(ledger: DataFrame, netted_all: DataFrame, period: Period) -> DataFrame:
-    """Per user: gross, netted and net spending of a period, links taken from the full history."""
-    inside = ledger.where(period.holds(F.col("date")))
-    flows = inside.groupBy("user_id").agg(
-        total(amount(), spending()).alias("gross"), total(amount(), credit() & (F.col("category") == "REFUNDS") & F.col("refund_for").isNull()).alias("unlinked"),
-        total(amount(), income()).alias("income"), total(amount(), credit()).alias("credit"), total(amount(), debit()).alias("debit"), F.count("*").alias("n"),
+def period_totals(linked: DataFrame, period: Period) -> DataFrame:
+    """Per user: a period's gross, refunded, unlinked and net spending, income, flows and counts; links are those of the full history.
+
+    linked: rows of refunds.linked(); one pass.
+    """
+    zero = F.lit(0).cast("decimal(18,2)")
+    net = F.greatest(amount() - F.coalesce("refunded", zero), zero)
+    sums = linked.where(period.holds(F.col("date"))).groupBy("user_id").agg(
+        total(amount(), spending()).alias("gross"), total(net, spending()).alias("netted"), total(amount(), refund() & F.col("refund_for").isNull()).alias("unlinked"),
+        total(amount(), income()).alias("income"), total(amount(), credit()).alias("credits"), total(amount(), debit()).alias("debits"),
+        total(amount(), debit() & (F.col("category") == "TRANSFERS")).alias("transfers_out"), total(amount(), debit() & (F.col("category") == "INVESTMENTS")).alias("investments_out"),
+        F.count("*").alias("n"), F.count_if(spending() & (net > 0)).alias("n_spending"),
     )
-    spent = netted_all.where(period.holds(F.col("date"))).groupBy("user_id").agg(F.sum("net").alias("netted"))
-    zero = F.lit(0).cast("decimal(28,2)")
-    joined = flows.join(spent, "user_id", "left").withColumn("netted", F.coalesce("netted", zero))
-    return joined.select("user_id", money("gross"), money("netted"), money("unlinked"), F.greatest(F.col("netted") - F.col("unlinked"), zero).cast("double").alias("net"), money("income"), (F.col("credit") - F.col("debit")).cast("double").alias("cash_flow"), "n")
+    return sums.select(
+        "user_id", money("gross"), (F.col("gross") - F.col("netted")).cast("double").alias("refunded"), money("unlinked"), F.greatest(F.col("netted") - F.col("unlinked"), F.lit(0).cast("decimal(28,2)")).cast("double").alias("net"),
+        money("income"), money("credits"), money("debits"), (F.col("credits") - F.col("debits")).cast("double").alias("cash_flow"), money("transfers_out"), money("investments_out"), "n", "n_spending",
+    )
+
 
+def day_stats(linked: DataFrame) -> DataFrame:
+    """Per user and day: counts of all rows, money without own transfers, netted spending, the largest payment and receipt.
 
-def day_stats(ledger: DataFrame) -> DataFrame:
-    """Per user and day: counts (all rows) and money without own transfers."""
+    linked: rows of refunds.linked(); one pass. The largest payment is by netted
+    spending, the largest receipt by amount; ties to the first in ledger order.
+    """
     own = ~own_transfer()
-    return ledger.groupBy("user_id", "date").agg(
-        F.count("*").alias("n"), total(amount(), spending() & own).cast("double").alias("spending"), total(amount(), credit() & own).cast("double").alias("money_in"),
-        total(amount(), income() & own).cast("double").alias("income"), total(amount(), own).cast("double").alias("value"), largest(own).alias("largest"),
+    zero = F.lit(0).cast("decimal(18,2)")
+    net = F.greatest(amount() - F.coalesce("refunded", zero), zero)
+    paid = spending() & (net > 0)
+    got = credit() & own
+    sums = linked.groupBy("user_id", "date").agg(
+        F.count("*").alias("n"), F.count_if(debit()).alias("debits"), F.count_if(credit()).alias("credits"), total(amount(), debit() & own).alias("money_out"), total(amount(), got).alias("money_in"),
+        total(net, spending()).alias("spent"), total(amount(), refund() & F.col("refund_for").isNull()).alias("unlinked"), total(amount(), income() & own).alias("income"), total(amount(), refund() & own).alias("refunds"),
+        total(amount(), got & (F.col("category") == "TRANSFERS")).alias("transfers_in"), F.min_by(F.when(paid, F.col("id")), F.when(paid, F.struct(-net, *ORDER))).alias("largest_payment"), largest(got).alias("largest_receipt"),
     )
+    return sums.select(
+        "user_id", "date", "n", "debits", "credits", money("money_out"), money("money_in"), F.greatest(F.col("spent") - F.col("unlinked"), F.lit(0).cast("decimal(28,2)")).cast("double").alias("spending"),
+        money("income"), money("refunds"), money("transfers_in"), (F.col("money_out") + F.col("money_in")).cast("double").alias("value"), "largest_payment", "largest_receipt",
+    )
+
+
+def analysis(linked: DataFrame, netted: DataFrame, key: str, now: Period, then: Period, top: int | None = None) -> DataFrame:
+    """The spending analysis of two periods by ``key``: this period's group stats with share, what it was before, and the change.
+
+    Only groups of the current period are listed, the ``top`` largest of each user if given.
+    """
+    stats = group_stats(netted.where(now.holds(F.col("date"))), key)
+    moved = changes(netted, key, now, then).select("user_id", key, F.col("then").alias("before"), F.col("n_then").alias("n_before"), "delta", "percent", "kind", "significant")
+    order = Window.partitionBy("user_id").orderBy(F.desc("amount"), key)
+    whole = F.sum(F.col("amount").cast("decimal(28,2)")).over(Window.partitionBy("user_id"))
+    rows = stats.withColumns({"place": F.row_number().over(order), "share": percent(F.col("amount").cast("decimal(28,2)"), whole)}).join(moved, ["user_id", key])
+    return rows if top is None else rows.where(F.col("place") <= top)
+
+
+def period_ranking(linked: DataFrame, period: Period, grain: str, first_day: int = 1) -> DataFrame:
+    """Weeks or months ranked by netted spending; only rows inside ``period`` are bucketed, so one at its edge counts in part."""
+    series = spend_series(linked.where(period.holds(F.col("date"))), grain, first_day)
+    place = F.rank().over(Window.partitionBy("user_id").orderBy(F.desc("net")))
+    return series.withColumn("place", place).select("user_id", "place", "period", "first_date", F.col("net").alias("spending"), "n")
 
 
 def top_ties(frame: DataFrame, measure: str) -> DataFrame:

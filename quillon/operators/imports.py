@@ -36,12 +36,16 @@ def overlapping(statements: DataFrame) -> DataFrame:
 
 
 def lookalikes(incoming: DataFrame, existing: DataFrame) -> DataFrame:
-    """Rows of two sources with one direction, amount and merchant key at most a day apart, unique both ways: possible copies."""
+    """Rows of two sources with one direction, amount and merchant key at most a day apart, unique both ways: possible copies.
+
+    ``has_id`` (optional column): rows that carry a payment id; of a pair, one at least has none.
+    """
     def keyed(frame: DataFrame, name: str) -> DataFrame:
-        return frame.select("user_id", "direction", "amount", merchant_key(F.col("merchant")).alias("key"), F.col("id").alias(name), F.col("date").alias(f"{name}_date"))
+        has_id = F.col("has_id") if "has_id" in frame.columns else F.lit(False)
+        return frame.select("user_id", "direction", "amount", merchant_key(F.col("merchant")).alias("key"), F.col("id").alias(name), F.col("date").alias(f"{name}_date"), has_id.alias(f"{name}_has"))
 
     near = keyed(incoming, "incoming").withColumn("day", F.explode(F.sequence(F.date_sub("incoming_date", 1), F.date_add("incoming_date", 1))))
-    met = near.join(keyed(existing, "existing").withColumn("day", F.col("existing_date")), ["user_id", "direction", "amount", "key", "day"])
+    met = near.join(keyed(existing, "existing").withColumn("day", F.col("existing_date")), ["user_id", "direction", "amount", "key", "day"]).where("NOT (incoming_has AND existing_has)")
     counts = met.withColumns({"a": F.count("*").over(Window.partitionBy("user_id", "incoming")), "b": F.count("*").over(Window.partitionBy("user_id", "existing"))})
     return counts.where("a = 1 AND b = 1").select("user_id", "incoming", "existing")
 
@@ -72,18 +76,53 @@ def shared_id_matches(incoming: DataFrame, existing: DataFrame) -> DataFrame:
     return best.where("x = 1 AND y = 1").select("user_id", F.col("a.id").alias("incoming"), F.col("b.id").alias("existing"), status.alias("status"), "confidence")
 
 
-def reconcile(rows: DataFrame, printed: DataFrame, keys: list[str]) -> DataFrame:
-    """Counts, totals and closing balance of a statement against what it prints (tolerance 0.011)."""
-    sums = rows.groupBy(*keys).agg(F.count_if(debit()).alias("debits"), F.count_if(credit()).alias("credits"), total(F.col("amount"), debit()).alias("debit"), total(F.col("amount"), credit()).alias("credit"))
-    near = lambda a, b: F.abs(a - b) <= 0.011
-    met = sums.join(printed, keys, "left")
-    checks = [F.col("debits") == F.col("debit_count"), F.col("credits") == F.col("credit_count"), near(F.col("debit"), F.col("total_debits")), near(F.col("credit"), F.col("total_credits")), near(F.col("opening_balance") + F.col("credit") - F.col("debit"), F.col("closing_balance"))]
-    passed = sum((F.when(c, 1).otherwise(0) for c in checks), F.lit(0))
-    return met.select(*keys, passed.alias("passed"), F.when(F.col("closing_balance").isNull(), "no_summary").when(passed == len(checks), "reconciled").otherwise("mismatch").alias("status"))
-
-
 def primaries(rows: DataFrame, priority: dict[str, int]) -> DataFrame:
     """One primary row per event (user_id, event_id): the source of highest priority, then the smallest id."""
     rank = F.coalesce(*[F.when(F.col("source") == s, p) for s, p in priority.items()], F.lit(99))
     first = F.row_number().over(Window.partitionBy("user_id", "event_id").orderBy(rank, "id"))
     return rows.withColumn("is_primary", first == 1)
+
+
+def available(existing: DataFrame, claimed: DataFrame, separated: DataFrame, source: str) -> DataFrame:
+    """Rows that a row of ``source`` may match: of no payment that has this source, not claimed and not set apart by the user (user_id, id)."""
+    own = existing.where(F.col("source") == source).select("user_id", "event_id").distinct()
+    return existing.join(own, ["user_id", "event_id"], "left_anti").join(claimed.select("user_id", "id"), ["user_id", "id"], "left_anti").join(separated.select("user_id", "id"), ["user_id", "id"], "left_anti")
+
+
+def near_rows(batch: DataFrame, ledger: DataFrame, source: str, days: int = 3) -> DataFrame:
+    """Ledger rows of other sources within ``days`` days of the batch's span, by user."""
+    spans = batch.groupBy("user_id").agg(F.date_sub(F.min("date"), days).alias("from_day"), F.date_add(F.max("date"), days).alias("to_day"))
+    return ledger.where(F.col("source") != source).join(spans, "user_id").where("date BETWEEN from_day AND to_day").drop("from_day", "to_day")
+
+
+def merged(rows: DataFrame, matches: DataFrame) -> DataFrame:
+    """``rows`` after matches (user_id, incoming, existing, status): a matched row joins the payment of the other, a potential one is marked."""
+    joins = matches.alias("m").join(rows.alias("r"), (F.col("m.user_id") == F.col("r.user_id")) & (F.col("m.existing") == F.col("r.id"))).select(F.col("m.user_id").alias("j_user"), F.col("m.incoming").alias("j_id"), F.col("r.event_id").alias("j_event"), F.col("m.status").alias("match"))
+    out = rows.join(joins, (F.col("user_id") == F.col("j_user")) & (F.col("id") == F.col("j_id")), "left")
+    return out.withColumn("event_id", F.when(F.col("match") == "matched", F.col("j_event")).otherwise(F.col("event_id"))).drop("j_user", "j_id", "j_event")
+
+
+def provenance(rows: DataFrame, statements: DataFrame) -> DataFrame:
+    """All rows of each payment with their statement (statement_id, name), the primary row first."""
+    place = F.row_number().over(Window.partitionBy("user_id", "event_id").orderBy(F.desc("is_primary"), "id"))
+    return rows.join(statements, "statement_id", "left").withColumn("place", place)
+
+
+def preview(batch: DataFrame) -> DataFrame:
+    """Counters of an import before it is confirmed: rows, duplicates, directions, bands of confidence, totals.
+
+    batch: ledger rows with ``confidence``, ``is_duplicate`` and ``needs_review``.
+    """
+    fresh = ~F.col("is_duplicate")
+    sure = F.col("confidence")
+    return batch.groupBy("user_id").agg(
+        F.count("*").alias("n"), F.count_if(fresh).alias("fresh"), F.count_if("is_duplicate").alias("duplicates"), F.count_if(fresh & debit()).alias("debits"), F.count_if(fresh & credit()).alias("credits"),
+        F.count_if(fresh & (F.col("category") == "REFUNDS")).alias("refunds"), F.count_if(fresh & (F.col("category") == "TRANSFERS")).alias("transfers"), F.count_if(fresh & F.col("is_recurring")).alias("recurring"),
+        F.count_if(fresh & F.col("needs_review")).alias("review"), F.count_if(fresh & (sure >= 0.8)).alias("high"), F.count_if(fresh & (sure >= 0.6) & (sure < 0.8)).alias("medium"), F.count_if(fresh & (sure < 0.6)).alias("low"),
+        F.countDistinct(F.when(fresh, F.lower("merchant"))).alias("merchants"), total(F.col("amount"), fresh & debit()).cast("double").alias("debit"), total(F.col("amount"), fresh & credit()).cast("double").alias("credit"), F.min("date").alias("first"), F.max("date").alias("last"),
+    )
+
+
+def merchant_counts(ledger: DataFrame) -> DataFrame:
+    """How many debits each user has at each merchant key."""
+    return ledger.where(debit()).groupBy("user_id", merchant_key(F.col("merchant")).alias("key")).agg(F.count("*").alias("n"))

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.expressions import credit, debit, refund, spending
+from quillon.session import durable
 
 DAYS = 90
 
@@ -89,23 +90,26 @@ class _Open:
 
 
 def greedy_links(ledger: DataFrame) -> DataFrame:
-    """As best_links, but in order of the refunds and each debit claimed once.
+    """As best_links, but in order of the refunds and each debit claimed once."""
+    return _claims(ledger).drop("given")
+
+
+def _claims(ledger: DataFrame) -> DataFrame:
+    """(user_id, refund_id, debit_id, given): exclusive links with the refund's amount.
 
     Each claim depends on those before it, so the rows of a (user, merchant)
     are read in order of time by one task: Spark sorts them on disk, no pairs
     are made, and the task holds the key's unclaimed debits of about 90 days.
-    A row takes time in proportion to the logarithm of these.
+    A row takes time in proportion to the logarithm of these. The ledger is
+    read once.
     """
-    fields = ["user_id", F.lower("merchant").alias("key"), "date", "seq", "id", "amount"]
-    back = ledger.where(refund()).select(*fields, F.lit(1).alias("back"))
-    keys = back.select(F.col("user_id").alias("k_user"), F.col("key").alias("k_key")).distinct()
-    spent = ledger.where(debit()).select(*fields, F.lit(0).alias("back"))
-    spent = spent.join(keys, (F.col("user_id") == F.col("k_user")) & (F.col("key") == F.col("k_key")), "left_semi")
-    whole = F.col("user_id").isNotNull() & F.col("key").isNotNull() & F.col("date").isNotNull() & F.col("amount").isNotNull()
     later = F.col("back") == 1
+    back = F.when(refund(), 1).when(debit(), 0).alias("back")
+    whole = F.col("user_id").isNotNull() & F.col("merchant").isNotNull() & F.col("date").isNotNull() & F.col("amount").isNotNull()
+    rows = ledger.where(whole & (refund() | debit())).select("user_id", F.lower("merchant").alias("key"), "date", "seq", "id", "amount", back)
     # a day's debits stand before its refunds; debits rise in preference, refunds go in turn
     order = ["user_id", "key", "date", "back", F.when(~later, F.col("seq")).asc_nulls_first(), F.when(~later, F.col("id")).desc(), F.when(later, F.col("seq")).asc_nulls_last(), F.when(later, F.col("id"))]
-    rows = back.unionByName(spent).where(whole).repartition("user_id", "key").sortWithinPartitions(*order)
+    rows = rows.repartition("user_id", "key").sortWithinPartitions(*order)
 
     def claim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, _Open()
@@ -118,11 +122,11 @@ def greedy_links(ledger: DataFrame) -> DataFrame:
                 if not is_back:
                     held.add((date, amount, id_), oldest)
                 elif (found := held.claim(amount, oldest)) is not None:
-                    out.append((user, id_, found))
-            users, refunds, debits = zip(*out, strict=True) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(users, pa.int64()), pa.array(refunds, pa.string()), pa.array(debits, pa.string())], names=["user_id", "refund_id", "debit_id"])
+                    out.append((user, id_, found, amount))
+            users, refunds, debits, given = zip(*out, strict=True) if out else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(users, pa.int64()), pa.array(refunds, pa.string()), pa.array(debits, pa.string()), pa.array(given, pa.decimal128(18, 2))], names=["user_id", "refund_id", "debit_id", "given"])
 
-    return rows.mapInArrow(claim, "user_id long, refund_id string, debit_id string")
+    return rows.mapInArrow(claim, "user_id long, refund_id string, debit_id string, given decimal(18,2)")
 
 
 def with_links(ledger: DataFrame, links: DataFrame) -> DataFrame:
@@ -137,12 +141,33 @@ def offsets(rows: DataFrame) -> DataFrame:
     return back.join(rows.where(debit()).select("user_id", "id"), ["user_id", "id"], "left_semi")
 
 
-def netted(rows: DataFrame, links_scope: DataFrame | None = None) -> DataFrame:
-    """Spending rows with ``net`` after linked refunds (never negative); rows that net to nothing vanish.
+def linked(ledger: DataFrame) -> DataFrame:
+    """The ledger with ``refund_for`` of a linked credit and ``refunded`` of its debit, by exclusive links over the whole history.
+
+    The links are made once and kept in a checkpoint; both columns come from
+    one join on the row's id.
+    """
+    links = durable(_claims(ledger))
+    none = F.lit(None)
+    marks = links.select(F.col("user_id").alias("m_user"), F.col("refund_id").alias("m_id"), F.col("debit_id").alias("refund_for"), none.cast("decimal(18,2)").alias("refunded"))
+    marks = marks.union(links.select("user_id", "debit_id", none.cast("string"), "given"))
+    return ledger.join(marks, (F.col("user_id") == F.col("m_user")) & (F.col("id") == F.col("m_id")), "left").drop("m_user", "m_id")
+
+
+def net_rows(linked_rows: DataFrame) -> DataFrame:
+    """Spending rows of linked() with ``net``, what their refunds leave of them; those that net to nothing vanish."""
+    net = F.col("amount") - F.coalesce("refunded", F.lit(0).cast("decimal(18,2)"))
+    return linked_rows.where(spending()).withColumn("net", F.greatest(net, F.lit(0).cast("decimal(18,2)")).cast("decimal(18,2)")).where("net > 0")
+
+
+def marked(rows: DataFrame, links_scope: DataFrame | None = None) -> DataFrame:
+    """Rows that have ``refund_for`` with ``refunded``, what credits of the scope give back to them.
 
     links_scope: the rows whose links count, by default ``rows`` themselves.
     """
-    back = offsets(rows if links_scope is None else links_scope)
-    net = F.greatest(F.col("amount") - F.coalesce("refunded", F.lit(0).cast("decimal(18,2)")), F.lit(0).cast("decimal(18,2)"))
-    return rows.where(spending()).join(back, ["user_id", "id"], "left").withColumn("net", net).where("net > 0").drop("refunded")
+    return rows.join(offsets(rows if links_scope is None else links_scope), ["user_id", "id"], "left")
 
+
+def netted(rows: DataFrame, links_scope: DataFrame | None = None) -> DataFrame:
+    """Spending rows with ``net`` after linked refunds (never negative); rows that net to nothing vanish."""
+    return net_rows(marked(rows, links_scope)).drop("refunded")

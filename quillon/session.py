@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,14 +28,18 @@ def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` with a reliable checkpoint.
 
     The files go to the folder the cluster names in ``spark.checkpoint.dir``;
-    only where that is unset (tests) a folder of our own is used. Losing an
-    executor loses nothing, and Spark's cleaner removes the files when the
-    frame is no longer referenced.
+    only where that is unset and the master is local (tests) a folder of our
+    own is used, as executors elsewhere could not see it. Losing an executor
+    loses nothing, and Spark's cleaner removes the files when the frame is no
+    longer referenced.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return df.checkpoint(eager=True)
 
 

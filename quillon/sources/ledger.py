@@ -24,6 +24,13 @@ LEDGER = T.StructType(
         T.StructField("merchant", T.StringType(), False),
         T.StructField("payment_method", T.StringType(), True),
         T.StructField("is_recurring", T.BooleanType(), False),
+        T.StructField("value_date", T.DateType(), True),
+        T.StructField("description", T.StringType(), True),
+        T.StructField("reference", T.StringType(), True),
+        T.StructField("event_id", T.StringType(), True),
+        T.StructField("source", T.StringType(), True),
+        T.StructField("statement_id", T.StringType(), True),
+        T.StructField("confidence", T.DoubleType(), True),
     ]
 )
 
@@ -62,6 +69,13 @@ def from_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.coalesce(F.nullif(F.col("p_brand"), F.lit("")), F.lit("Unknown")).alias("merchant"),
             F.col("o_orderpriority").alias("payment_method"),
             (F.col("l_tax") > 0.07).alias("is_recurring"),
+            F.when(F.col("l_partkey") % 5 > 0, F.date_add(day, (F.col("l_partkey") % 3).cast("int"))).alias("value_date"),
+            F.concat_ws(" ", "p_type", "p_brand").alias("description"),
+            F.col("l_orderkey").cast("string").alias("reference"),
+            F.concat_ws("-", "l_orderkey", "l_linenumber").alias("event_id"),
+            F.when(F.col("l_linestatus") == "F", "bank").otherwise("wallet").alias("source"),
+            F.date_format(day, "yyyy-MM").alias("statement_id"),
+            (F.col("l_discount").cast("decimal(18,4)") * 10).cast("double").alias("confidence"),
         )
     )
 
@@ -76,7 +90,10 @@ LEDGER_SQL = """ledger AS (
     CAST(l_extendedprice AS DECIMAL(18,2)) AS amount,
     CASE WHEN l_returnflag = 'R' THEN CASE WHEN l_linestatus = 'F' THEN 'REFUNDS' ELSE 'SALARY/INCOME' END
       ELSE CASE split_part(p_type, ' ', 1) WHEN 'ECONOMY' THEN 'FOOD' WHEN 'SMALL' THEN 'GROCERIES' WHEN 'MEDIUM' THEN 'SHOPPING' WHEN 'PROMO' THEN 'ENTERTAINMENT' WHEN 'STANDARD' THEN 'TRANSFERS' WHEN 'LARGE' THEN 'INVESTMENTS' ELSE 'OTHER' END END AS category,
-    p_name AS subcategory, coalesce(nullif(p_brand, ''), 'Unknown') AS merchant, o_orderpriority AS payment_method, l_tax > 0.07 AS is_recurring
+    p_name AS subcategory, coalesce(nullif(p_brand, ''), 'Unknown') AS merchant, o_orderpriority AS payment_method, l_tax > 0.07 AS is_recurring,
+    CASE WHEN l_partkey % 5 > 0 THEN CAST(l_shipdate AS DATE) + CAST(l_partkey % 3 AS INTEGER) END AS value_date, p_type || ' ' || p_brand AS description, CAST(l_orderkey AS VARCHAR) AS reference,
+    l_orderkey || '-' || l_linenumber AS event_id, CASE WHEN l_linestatus = 'F' THEN 'bank' ELSE 'wallet' END AS source, strftime(CAST(l_shipdate AS DATE), '%Y-%m') AS statement_id,
+    CAST(CAST(l_discount AS DECIMAL(18,4)) * 10 AS DOUBLE) AS confidence
   FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey
 )"""
 
@@ -106,3 +123,75 @@ EVENTS_SQL = """ledger AS (
     'k' || CAST(CAST(json_extract_string(props, '$.k') AS BIGINT) % 10 AS VARCHAR) AS merchant, CAST(NULL AS VARCHAR) AS subcategory, CAST(NULL AS VARCHAR) AS payment_method, false AS is_recurring
   FROM events
 )"""
+
+
+def by_value_date(ledger: DataFrame) -> DataFrame:
+    """The ledger on its value-date basis: a row's date is its value date where it has one."""
+    return ledger.withColumn("date", F.coalesce("value_date", "date"))
+
+
+def primary_only(ledger: DataFrame) -> DataFrame:
+    """One row of each payment, where several sources tell of it (``is_primary``)."""
+    return ledger.where("is_primary")
+
+
+def standing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A ledger of standing payments: each customer pays, or is paid by, its market segment twelve times.
+
+    By the customer's key: even rent, rising bills, weekly food, quarterly fees,
+    a subscription whose price goes up, irregular shopping, a salary.
+    """
+    kind = F.col("c_custkey") % 7
+    base = (100 + F.floor(F.abs("c_acctbal")) % 5000).cast(MONEY)
+    pick = lambda *values: F.element_at(F.array(*map(F.lit, values)), (F.col("c_custkey") % 7 + 1).cast("int"))
+    rows = table(spark, sf_dir, "customer").select("*", F.explode(F.sequence(F.lit(0), F.lit(11))).alias("k"), F.date_add(F.lit(FIRST_DAY).cast("date"), (F.col("c_custkey") % 28).cast("int")).alias("start"))
+    k = F.col("k")
+    date = F.when(kind == 2, F.date_add("start", 7 * k)).when(kind == 3, F.add_months("start", 3 * k)).when(kind == 5, F.date_add("start", 10 * k + 9 * (k % 3))).otherwise(F.add_months("start", k))
+    amount = F.when(kind == 1, base + 25 * k).when((kind == 4) & (k == 11), base * F.lit("1.25").cast("decimal(3,2)")).otherwise(base).cast(MONEY)
+    return rows.select(
+        F.col("c_custkey").alias("user_id"), F.concat_ws("-", "c_custkey", "k").alias("id"), date.alias("date"), F.lit(0).alias("seq"), F.when(kind == 6, "credit").otherwise("debit").alias("direction"), amount.alias("amount"),
+        pick("RENT", "UTILITIES", "FOOD", "EDUCATION", "SUBSCRIPTIONS", "SHOPPING", "SALARY/INCOME").alias("category"), F.lit("").alias("subcategory"), F.col("c_mktsegment").alias("merchant"), F.when(kind == 4, "AUTOPAY").otherwise("UPI").alias("payment_method"), F.lit(False).alias("is_recurring"),
+    )
+
+
+#: Day 0 of the ledgers made of customers.
+FIRST_DAY = "2000-01-01"
+STANDING_SQL = f"""ledger AS (
+  SELECT c_custkey AS user_id, c_custkey || '-' || k AS id,
+    CAST(CASE p WHEN 2 THEN start + INTERVAL (7 * k) DAY WHEN 3 THEN start + INTERVAL (3 * k) MONTH WHEN 5 THEN start + INTERVAL (10 * k + 9 * (k % 3)) DAY ELSE start + INTERVAL (k) MONTH END AS DATE) AS date, 0 AS seq,
+    CASE WHEN p = 6 THEN 'credit' ELSE 'debit' END AS direction, CAST(CASE WHEN p = 1 THEN base + 25 * k WHEN p = 4 AND k = 11 THEN base * 1.25 ELSE base END AS DECIMAL(18,2)) AS amount,
+    ['RENT', 'UTILITIES', 'FOOD', 'EDUCATION', 'SUBSCRIPTIONS', 'SHOPPING', 'SALARY/INCOME'][p + 1] AS category, '' AS subcategory, c_mktsegment AS merchant, CASE WHEN p = 4 THEN 'AUTOPAY' ELSE 'UPI' END AS payment_method, false AS is_recurring
+  FROM (SELECT *, CAST(c_custkey % 7 AS INTEGER) AS p, CAST(100 + CAST(floor(abs(c_acctbal)) AS BIGINT) % 5000 AS DECIMAL(18,2)) AS base, DATE '{FIRST_DAY}' + CAST(c_custkey % 28 AS INTEGER) AS start, CAST(unnest(range(12)) AS INTEGER) AS k FROM customer)
+)"""
+
+#: What is added to everyday payments, by customer key modulo 8: (modulo, day, nth, direction, merchant, category, amount).
+PLANTED = [
+    (0, 205, 0, "debit", "Big", "FOOD", 6000),
+    *((1, k, 0, "debit", "Burst", "FOOD", 150) for k in [*range(10, 200, 14), *range(200, 206)]),
+    *((2, k, 0, "debit", "Boutique", "SHOPPING", 300 if k < 181 else 900) for k in [*range(5, 181, 15), *range(181, 191)]),
+    *((3, 203, j, "debit", "Fair", "FOOD", 400) for j in range(12)),
+    *((4, k, 0, "debit", "Spree", "FOOD", 1500) for k in range(203, 210)),
+    *((5, 200, j, "debit", "Twice", "FOOD", 1500) for j in range(2)),
+    (6, 204, 0, "debit", "Back", "FOOD", 7000),
+    (6, 206, 0, "credit", "Back", "REFUNDS", 7000),
+]
+
+
+def activity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A ledger of 210 days of even everyday payments of each customer, with something unusual planted for seven of eight."""
+    customers = table(spark, sf_dir, "customer").select("c_custkey")
+    key, k = F.col("c_custkey"), F.col("k")
+    everyday = customers.select("c_custkey", F.explode(F.sequence(F.lit(0), F.lit(209))).alias("k")).select("c_custkey", "k", F.lit(0).alias("j"), F.lit("debit").alias("direction"), F.concat(F.lit("M"), ((key + k) % 2).cast("string")).alias("merchant"), F.lit("FOOD").alias("category"), (200 + (key * 7 + k * 13) % 60).cast("int").alias("x"))
+    planted = customers.join(F.broadcast(spark.createDataFrame(PLANTED, "m int, k int, j int, direction string, merchant string, category string, x int")), F.col("c_custkey") % 8 == F.col("m")).drop("m")
+    rows = everyday.unionByName(planted)
+    return rows.select(
+        key.alias("user_id"), F.concat_ws("-", "c_custkey", "k", "j", "merchant", "direction").alias("id"), F.date_add(F.lit(FIRST_DAY).cast("date"), k).alias("date"), F.col("j").alias("seq"), "direction", F.col("x").cast(MONEY).alias("amount"),
+        "category", F.lit("").alias("subcategory"), "merchant", F.lit("UPI").alias("payment_method"), F.lit(False).alias("is_recurring"),
+    )
+
+
+ACTIVITY_SQL = f"""ledger AS (
+  SELECT c_custkey AS user_id, concat_ws('-', c_custkey, k, j, merchant, direction) AS id, DATE '{FIRST_DAY}' + CAST(k AS INTEGER) AS date, j AS seq, direction, CAST(x AS DECIMAL(18,2)) AS amount, category, '' AS subcategory, merchant, 'UPI' AS payment_method, false AS is_recurring
+  FROM (SELECT c_custkey, k, 0 AS j, 'debit' AS direction, 'M' || ((c_custkey + k) % 2) AS merchant, 'FOOD' AS category, 200 + (c_custkey * 7 + k * 13) % 60 AS x FROM (SELECT c_custkey, unnest(range(210)) AS k FROM customer)
+    UNION ALL SELECT c_custkey, p.k, p.j, p.direction, p.merchant, p.category, p.x FROM customer JOIN (VALUES {", ".join(map(str, PLANTED))}) p(m, k, j, direction, merchant, category, x) ON c_custkey % 8 = p.m)
+)"""

@@ -15,10 +15,10 @@ from quillon.plans import registry
 COLUMNS = "user_id long, id string, date date, seq int, direction string, amount decimal(18,2), category string, subcategory string, merchant string, payment_method string, is_recurring boolean, refund_for string"
 
 
-def row(i, day, direction, amount, category, merchant, refund_for=None, subcategory=None, recurring_=False, user=1):
+def row(i, day, direction, amount, category, merchant, refund_for=None, subcategory=None, recurring_=False, user=1, method="UPI"):
     from decimal import Decimal
 
-    return (user, i, dt.date.fromisoformat(day), 0, direction, Decimal(str(amount)), category, subcategory, merchant, "UPI", recurring_, refund_for)
+    return (user, i, dt.date.fromisoformat(day), 0, direction, Decimal(str(amount)), category, subcategory, merchant, method, recurring_, refund_for)
 
 
 @pytest.fixture(scope="module")
@@ -37,10 +37,10 @@ def test_four_meanings_of_spending(four):
     s = aggregates.summary(march).first()
     assert (s.spending, s.net_spending, s.net_cash_flow, s.savings, s.savings_rate) == (700, 150, 3850, 4850, 97.0)
     assert sum(r.amount for r in aggregates.category_spend(refunds.netted(march)).collect()) == 400
-    whole = refunds.netted(four)
-    t = compare.period_totals(four, whole, compare.Period(dt.date(2026, 3, 1), dt.date(2026, 3, 31))).first()
-    assert (t.gross, t.netted, t.unlinked, t.net) == (700, 400, 50, 350)
-    feb = compare.period_totals(four, whole, compare.Period(dt.date(2026, 2, 1), dt.date(2026, 2, 28))).first()
+    whole = refunds.marked(four)
+    t = compare.period_totals(whole, compare.Period(dt.date(2026, 3, 1), dt.date(2026, 3, 31))).first()
+    assert (t.gross, t.refunded, t.unlinked, t.net, t.n_spending) == (700, 300, 50, 350, 1)
+    feb = compare.period_totals(whole, compare.Period(dt.date(2026, 2, 1), dt.date(2026, 2, 28))).first()
     assert (feb.gross, feb.net) == (500, 300)
 
 
@@ -49,6 +49,9 @@ def test_refund_links_claim_once(spark):
     ledger = spark.createDataFrame(rows, COLUMNS)
     assert dict(refunds.best_links(ledger).select("refund_id", "debit_id").collect()) == {"r1": "d2", "r2": "d2"}
     assert dict(refunds.greedy_links(ledger).select("refund_id", "debit_id").collect()) == {"r1": "d2", "r2": "d1"}
+    linked = refunds.linked(ledger.drop("refund_for"))
+    assert {r.id: (r.refund_for, r.refunded) for r in linked.collect()} == {"d1": (None, 90), "d2": (None, 100), "r1": ("d2", None), "r2": ("d1", None), "r3": (None, None)}
+    assert [(r.id, r.net) for r in refunds.net_rows(linked).collect()] == [("d1", 10)]
 
 
 def test_greedy_refund_links_make_no_pairs(spark):
@@ -96,15 +99,30 @@ def test_amounts_dates_and_masks(spark):
 
 def test_recurring_series(spark):
     rent = [row(f"r{k}", f"2026-{k:02}-03", "debit", 20000, "RENT", "Landlord") for k in range(1, 7)]
-    power = [row(f"p{k}", f"2026-{k:02}-{10 + k % 2}", "debit", 900 + 150 * k, "UTILITIES", "Power", recurring_=True) for k in range(1, 7)]
+    power = [row(f"p{k}", f"2026-{k:02}-{10 + k % 2}", "debit", 900 + 150 * k, "UTILITIES", "Power", method="AUTOPAY") for k in range(1, 7)]
     food = [row(f"f{k}", str(dt.date(2026, 1, 1) + dt.timedelta(k)), "debit", 100 + 37 * (k % 5), "FOOD", "Eats") for k in range(40)]
     pay = [row(f"s{k}", f"2026-{k:02}-28", "credit", 90000, "SALARY/INCOME", "Employer") for k in range(1, 7)]
     end = [row(f"e{k}", dt.date(2026, k, 28 if k == 2 else 31 if k in (1, 3) else 30).isoformat(), "debit", 499, "SUBSCRIPTIONS", "Stream") for k in range(1, 5)]
     found = {r.series: r for r in recurring.detect(spark.createDataFrame(rent + power + food + pay + end, COLUMNS), F.lit(dt.date(2026, 6, 30))).collect()}
     assert set(found) == {"landlord", "power", "employer", "stream"}
     assert (found["landlord"].frequency, found["landlord"].kind, found["landlord"].next_date) == ("monthly", "FIXED", dt.date(2026, 7, 3))
-    assert found["power"].kind == "AUTOPAY" and found["power"].price_changed and not found["landlord"].ended
-    assert found["stream"].next_date == dt.date(2026, 5, 30) and not found["stream"].ended
+    assert found["power"].kind == "AUTOPAY" and found["power"].changed_from == 1650 and not found["landlord"].ended and found["landlord"].changed_from is None
+    assert found["stream"].next_date == dt.date(2026, 5, 31) and found["stream"].overdue and not found["stream"].ended
+    ledger = spark.createDataFrame(rent + power + food + [row(f"o{k}", f"2026-{k:02}-05", "debit", 300, "OTHER", "Club") for k in range(1, 7)], COLUMNS)
+    flagged = recurring.refreshed_flags(ledger, recurring.detect(ledger, F.lit(dt.date(2026, 6, 30))))
+    assert {r.id[0]: (r.is_recurring, r.category) for r in flagged.collect()} == {"r": (True, "RENT"), "p": (True, "UTILITIES"), "f": (False, "FOOD"), "o": (True, "SUBSCRIPTIONS")}
+
+
+def test_edges_of_recurring(spark):
+    """Bands, pairs, gaps outside every band, and amounts that vary too much."""
+    def series(name, days, amounts, category="SHOPPING"):
+        return [row(f"{name}{k}", str(dt.date(2026, 1, 1) + dt.timedelta(d)), "debit", a, category, name) for k, (d, a) in enumerate(zip(days, amounts, strict=True))]
+
+    rows = series("weekly", range(0, 70, 5), [100] * 14, "FOOD") + series("tenth", range(0, 100, 10), [100] * 10) + series("pair", (0, 31), (50, 50)) + series("unequal", (0, 31), (50, 60)) + series("wild", range(0, 180, 30), [100, 900, 100, 900, 100, 900])
+    rows += series("quarter", (0, 84, 168, 252), [70] * 4) + series("fortnight", range(0, 120, 17), [40] * 8) + series("other", range(0, 180, 30), [9] * 6, "OTHER")
+    found = {r.series: r for r in recurring.detect(spark.createDataFrame(rows, COLUMNS), F.lit(dt.date(2026, 4, 1))).collect()}
+    assert {k: r.frequency for k, r in found.items()} == {"weekly": "weekly", "pair": "monthly", "quarter": "quarterly", "fortnight": "biweekly"}
+    assert found["pair"].confidence == 0.5 and found["pair"].label == "Low" and found["weekly"].confidence == 1.0
 
 
 def test_upcoming_and_projection(spark):
@@ -113,14 +131,25 @@ def test_upcoming_and_projection(spark):
     assert {d for i, d in due if i == "rent"} == {"2026-02-28", "2026-03-31"} and {d for i, d in due if i == "tax"} == {"2026-04-15"} and ("gym", "2026-02-23") in due
     start = spark.createDataFrame([(1, dt.date(2026, 1, 1), 100.0)], "user_id long, date date, balance double")
     owed = spark.createDataFrame([(1, dt.date(2026, 1, 3), -40.0)], "user_id long, date date, amount double")
-    daily = spark.createDataFrame([(1, 5.0)], "user_id long, mean double")
-    assert [(r.committed, r.likely) for r in planning.projection(start, owed, daily, 3).orderBy("date").collect()] == [(100.0, 95.0), (60.0, 50.0), (60.0, 45.0)]
+    daily = spark.createDataFrame([(1, 5.0, 4.0, 6.0)], "user_id long, mean double, low double, high double")
+    assert [tuple(r)[2:] for r in planning.projection(start, owed, daily, 3).orderBy("date").collect()] == [(100.0, 95.0, 94.0, 96.0), (60.0, 50.0, 48.0, 52.0), (60.0, 45.0, 42.0, 48.0)]
+    weekly = spark.createDataFrame([("gym", "weekly", None, 5)], "id string, frequency string, start_date date, due_day int")
+    assert [str(r.due) for r in recurring.upcoming(weekly, F.lit(dt.date(2026, 2, 2)), F.lit(dt.date(2026, 2, 14))).collect()] == ["2026-02-06", "2026-02-13"]
+
+
+def test_budget_blend_early_in_the_month(spark):
+    rows = [row(f"a{k}", f"2026-0{k}-10", "debit", 900, "FOOD", "A") for k in (1, 2, 3)] + [row("b", "2026-04-02", "debit", 100, "FOOD", "A"), row("c", "2026-04-03", "debit", 20, "RENT", "B")]
+    ledger = spark.createDataFrame(rows, COLUMNS)
+    budgets = spark.createDataFrame([(1, "FOOD", 1000.0, 0.8), (1, "RENT", 25.0, 0.8), (1, "TRAVEL", 10.0, 0.8)], "user_id long, category string, budget double, alert double")
+    got = {r.category: (r.actual, r.projected, r.average, r.status) for r in planning.budget_variance(ledger, budgets, dt.date(2026, 4, 4)).collect()}
+    # day 4 of 30: run-rate 750 with weight 0.4, the mean of 900 with 0.6
+    assert got == {"FOOD": (100.0, 840.0, 900.0, "ok"), "RENT": (20.0, 150.0, 0.0, "projected_over"), "TRAVEL": (0.0, 0.0, 0.0, "ok")}
+    assert compare.financial_month(dt.date(2026, 3, 24), 25) == compare.Period(dt.date(2026, 2, 25), dt.date(2026, 3, 24))
+    assert compare.unit_of(compare.Period(dt.date(2026, 4, 1), dt.date(2026, 6, 30))) == "quarter" and compare.unit_of(compare.Period(dt.date(2026, 4, 1), dt.date(2026, 6, 29))) == "custom"
 
 
 def test_imports(spark, four):
     assert imports.new_rows(four, four.where("id < 'e'"), "user_id", "id").count() == 4
-    printed = spark.createDataFrame([(1, 4, 4, 2200.0, 5550.0, 10.0, 3360.0)], "user_id long, debit_count long, credit_count long, total_debits double, total_credits double, opening_balance double, closing_balance double")
-    assert imports.reconcile(four, printed, ["user_id"]).first().status == "reconciled"
     statements = spark.createDataFrame([(1, "x", dt.date(2026, 1, 1), dt.date(2026, 1, 31)), (1, "y", dt.date(2026, 1, 31), dt.date(2026, 2, 28)), (1, "z", dt.date(2026, 3, 1), dt.date(2026, 3, 2))], "user_id long, id string, first date, last date")
     assert [tuple(r) for r in imports.overlapping(statements).collect()] == [(1, "x", "y")]
     copies = spark.createDataFrame([(1, "e1", "wallet", "a"), (1, "e1", "bank", "b"), (1, "e2", "wallet", "c")], "user_id long, event_id string, source string, id string")
@@ -148,10 +177,13 @@ def test_stream_of_days(spark, tmp_path):
     assert [(r.n, r.credit, r.debit) for r in spark.table("flows").collect()] == [(2, 7.0, 5.0)]
 
 
-@pytest.mark.parametrize("name", ["agg_summary", "agg_period_weekly", "agg_category_spend", "agg_category_changes", "jn_refund_links", "win_daily_strip", "anm_outliers"])
+ORACLES = ["agg_summary", "agg_period_weekly", "agg_category_spend", "agg_category_changes", "agg_day_stats", "jn_refund_links", "jn_refund_links_greedy", "win_daily_strip", "anm_outliers", "rec_series", "pln_upcoming", "anm_unusual_activity", "cls_narrations", "rcn_statements", "src_repaired_rows"]
+
+
+@pytest.mark.parametrize("name", ORACLES)
 def test_oracle(spark, sf_dir, name):
     con = duckdb.connect()
-    for t in ("lineitem", "part", "orders", "events"):
+    for t in ("lineitem", "part", "orders", "events", "customer"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{os.path.join(sf_dir, t)}.parquet'")
     rows = registry.queries()[name](spark, sf_dir)
     want = con.execute(registry.oracle_sql()[name])
@@ -160,18 +192,64 @@ def test_oracle(spark, sf_dir, name):
     assert sorted(map(repr, (tuple(r) for r in rows.select(*columns).collect()))) == sorted(map(repr, want.fetchall()))
 
 
+NARRATED = "user_id long, id string, date date, value_date date, narration string, reference string, debit decimal(18,2), credit decimal(18,2), balance decimal(18,2)"
+
+
+def narrated(spark, rows):
+    from decimal import Decimal
+
+    day = dt.date(2026, 1, 5)
+    return spark.createDataFrame([(1, str(k), day, None, text, None, Decimal(d) if d else None, Decimal(c) if c else None, None) for k, (text, d, c) in enumerate(rows)], NARRATED)
+
+
+def test_narrations(spark):
+    from quillon.functions import narration as N
+    from quillon.operators import classify
+
+    rows = [
+        ("UPI-AUTOPAY-GOOGLE PLAY-gp@okaxis-HDFC0MERUPI-111122223333-MANDATE", 5, None), ("UPI-A-B STORE-ab@ybl-123412341234-x - y", 5, None), ("UPI-NO ID HERE-FEE", 5, None), ("IMPS-512345678901-MR RAVI-HDFC-XX12-note", None, 5),
+        ("ACH D- TP ACH POWER CO-12345", 5, None), ("50100012345678-TPT-RENT JAN-LANDLORD", 5, None), ("IB BILLPAY DR-HDFC1A-1234", 5, None), ("nothing", None, None), ("both", 7, 10),
+    ]
+    out = {r.id: r for r in classify.normalise(narrated(spark, rows)).collect()}
+    assert set(out) == set("01234568") and (out["8"].direction, out["8"].amount) == ("credit", 3)
+    assert (out["0"].counterparty, out["0"].payment_method, out["0"].reference, out["0"].upi.provider) == ("GOOGLE PLAY", "AUTOPAY", "111122223333", "Google Pay")
+    assert (out["1"].counterparty, out["1"].upi.upi_id, out["1"].upi.note, out["1"].upi.provider) == ("A-B STORE", "ab@ybl", "x-y", "PhonePe")
+    assert (out["2"].counterparty, out["2"].type, out["2"].upi.note) == ("NO ID HERE", "UPI", "FEE")
+    assert (out["3"].counterparty, out["3"].payment_method) == ("MR RAVI", "IMPS") and (out["4"].counterparty, out["4"].payment_method) == ("POWER CO", "AUTOPAY")
+    assert (out["5"].type, out["5"].counterparty) == ("TRANSFER", "LANDLORD") and out["6"].type == "BILLPAY"
+    again = classify.normalise(narrated(spark, [("same", 5, None), ("same", 5, None)])).collect()
+    assert len({r.dedupe_key for r in again}) == 2
+    texts = spark.createDataFrame([("SWIGGY*12345 ab@ok 99887766 pvt ltd of it",)], "t string").select(N.title_case(N.clean_name(F.col("t"))), N.keyword_text(F.lit(None), F.lit("HDFC0001234 a@b 123456 4160XXXX12 food")), N.category_label(F.lit("SALARY/INCOME"))).first()
+    assert tuple(texts) == ("Swiggy Ab PVT LTD of IT", "food", "Salary/Income")
+
+
 def test_classification_order(spark):
     from quillon.operators import classify
 
-    rows = spark.createDataFrame(
-        [(1, "City Cafe", "upi", "debit", 10.0), (1, "City Cafe", "upi", "credit", 10.0), (1, "Asha Rao", "rent", "debit", 5.0), (1, "X9", "neft from abc", "credit", 20000.0), (1, "X9", "neft from abc", "credit", 2.0), (1, "Zed1", "card fee", "debit", 1.0), (1, "Own Pick", "x", "debit", 1.0), (1, "q1", "", "debit", 1.0)],
-        "user_id long, merchant string, narration string, direction string, amount double",
-    )
-    own = spark.createDataFrame([(1, "OWNPICK", "PETS")], "user_id long, key string, category string")
-    old = spark.createDataFrame([(1, "Q1", "GIFTS", 3, 0.9), (1, "Q1", "FOOD", 2, 0.95)], "user_id long, key string, category string, n long, confidence double")
-    got = [(r.category, r.confidence, r.method) for r in classify.classify(rows, own, old).collect()]
-    assert sorted(got) == sorted([("FOOD", 0.9, "merchant"), ("REFUNDS", 0.85, "merchant"), ("TRANSFERS", 0.62, "person"), ("SALARY/INCOME", 0.62, "bank credit"), ("OTHER", 0.5, "bank credit"), ("BANKING FEES", 0.7, "keyword"), ("PETS", 0.99, "override"), ("GIFTS", 0.88, "history")])
-    assert classify.learned(classify.classify(rows)).count() == 8
+    rows = narrated(spark, [
+        ("UPI-CITY CAFE-c@okaxis-1-x", 10, None), ("UPI-CITY CAFE-c@okaxis-1-x", None, 10), ("UPI-ASHA RAO-a@ybl-1-food", 5, None), ("UPI-SMT DEVI-a@ybl-1-mother", 5, None), ("NEFT CR-ICIC0000001-X9 CO-2", None, 20000), ("NEFT CR-ICIC0000001-X9 CO-2", None, 2), ("UPI-OWN PICK 7-a@ybl-1-x", 1, None), ("UPI-Q1 AND CO 5-a@ybl-1-x", 1, None), ("UPI-PAYTM-a@paytm-1-refund", None, 3), ("odd 7 thing", 1, None),
+    ])
+    own = spark.createDataFrame([(1, "OWNPICK7", "PETS", None)], "user_id long, key string, category string, subcategory string")
+    old = spark.createDataFrame([(1, "Q1ANDCO5", "GIFTS", "g", 3, 0.9), (1, "Q1ANDCO5", "FOOD", "f", 2, 0.95)], "user_id long, key string, category string, subcategory string, n long, confidence double")
+    named = classify.canonical_merchant(classify.normalise(rows))
+    got = {r.id: (r.category, r.subcategory, r.confidence, r.method) for r in classify.classify(named, own, old).collect()}
+    assert got == {
+        "0": ("FOOD", "Cafes", 0.9, "merchant"), "1": ("REFUNDS", "Refund", 0.85, "merchant"), "2": ("TRANSFERS", "Person Transfer", 0.62, "rule"), "3": ("TRANSFERS", "Family", 0.8, "rule"), "4": ("SALARY/INCOME", "Salary", 0.62, "rule"), "5": ("SALARY/INCOME", "Other Income", 0.5, "rule"),
+        "6": ("PETS", "Unclassified", 0.99, "user"), "7": ("GIFTS", "g", 0.88, "history"), "8": ("REFUNDS", "Refund", 0.7, "rule"), "9": ("OTHER", "Unclassified", 0.4, "none"),
+    }
+    classified = classify.classify(named)
+    assert classify.learned(classified).count() == 10
+    changed = classify.reapplied(classified, spark.createDataFrame([(1, "CITYCAFE", "GIFTS", "g")], "user_id long, key string, category string, subcategory string"), spark.createDataFrame([(1, "1")], "user_id long, id string"))
+    assert {r.id: r.category for r in changed.where("merchant = 'City Cafe'").collect()} == {"0": "GIFTS", "1": "REFUNDS"}
+
+
+def test_wallet_reconciliation(spark):
+    from quillon.operators import statements
+
+    rows = [("a", 1, "debit", 10.0, None), ("a", 2, "debit", 5.0, "SELF_TRANSFER"), ("b", 1, "debit", 10.0, None), ("b", 2, "debit", 3.0, "POSSIBLE_SELF_TRANSFER"), ("b", 3, "debit", 4.0, "POSSIBLE_SELF_TRANSFER"), ("c", 1, "debit", 10.0, None), ("c", 2, "debit", 3.0, "POSSIBLE_SELF_TRANSFER"), ("d", 1, "credit", 1.0, None)]
+    frame = spark.createDataFrame(rows, "statement_id string, row_index int, direction string, amount double, semantic string")
+    printed = spark.createDataFrame([("a", 10.0, 0.0), ("b", 10.0, 0.0), ("c", 11.0, 0.0)], "statement_id string, sent double, received double")
+    assert {r.statement_id: r.status for r in statements.reconcile_wallet(frame, printed).collect()} == {"a": "reconciled", "b": "requires_review", "c": "mismatch", "d": "no_summary"}
 
 
 def test_shared_ids(spark):
@@ -185,24 +263,44 @@ def test_shared_ids(spark):
     assert got == {("a1", "b1", "matched", 0.99), ("a2", "b2", "potential", 0.5)}
 
 
-def test_unusual_days_and_large_rows(spark):
+def test_unusual_activity(spark):
     from quillon.operators import anomalies
 
+    as_of = dt.date(2026, 3, 1)
     rows = [row(f"x{k}", str(dt.date(2026, 1, 1) + dt.timedelta(k)), "debit", 300 + 10 * (k % 4), "FOOD", "Eats") for k in range(30)]
-    rows += [row(f"y{k}", "2026-02-10", "debit", 900, "FOOD", "Eats") for k in range(4)] + [row("big", "2026-02-20", "debit", 9000, "FOOD", "Eats")]
-    ledger = spark.createDataFrame(rows, COLUMNS)
-    large = anomalies.large_transactions(ledger)
-    assert [r.id for r in large.collect()] == ["big"]
-    assert [str(r.date) for r in anomalies.unusual_days(ledger, large.select("user_id", "id")).collect()] == ["2026-02-10"]
+    rows += [row(f"y{k}", "2026-02-10", "debit", 900, "FOOD", "Eats") for k in range(4)] + [row("big", "2026-02-20", "debit", 9000, "FOOD", "Eats"), row("back", "2026-02-21", "debit", 9500, "FOOD", "Shop"), row("ref", "2026-02-22", "credit", 9500, "REFUNDS", "Shop", "back"), row("rent", "2026-02-01", "debit", 50000, "RENT", "Home")]
+    ledger = refunds.marked(spark.createDataFrame(rows, COLUMNS))
+    found = {r.id: r for r in anomalies.unusual_activity(ledger, as_of).collect()}
+    # the refunded payment, the rent and the day that its one large payment explains are silent
+    assert set(found) == {"large_transaction:big", "unusual_day:2026-02-10", "possible_duplicate:2026-02-10|eats|900.00"}
+    assert found["large_transaction:big"].severity == "high" and found["large_transaction:big"].place == 1
+    assert anomalies.unusual_activity(ledger.where("id < 'x'"), as_of).count() == 0
+    shuffled = {tuple(r) for r in anomalies.unusual_activity(ledger.orderBy(F.rand(1)), as_of).collect()}
+    assert shuffled == {tuple(r) for r in anomalies.unusual_activity(ledger, as_of).collect()}
+
+
+@pytest.mark.parametrize("n", [2, 3, 4, 7, 12])
+def test_leave_one_out(spark, n):
+    from statistics import median
+
+    from quillon.operators import anomalies
+
+    rng = random.Random(n)
+    rows = [(g, f"{g}{k}", float(rng.randrange(6))) for g in "ab" for k in range(n)]
+    got = {r.id: (r.peers, r.median, r.mad) for r in anomalies.leave_one_out(spark.createDataFrame(rows, "g string, id string, x double"), ["g"], "x").collect()}
+    for g, i, _ in rows:
+        peers = [x for h, j, x in rows if h == g and j != i]
+        assert got[i] == (n - 1, median(peers), median(abs(x - median(peers)) for x in peers))
 
 
 def test_insights(spark):
     from quillon.operators import insights
 
-    rows = [row("a1", "2026-02-10", "debit", 1000, "FOOD", "A"), row("a2", "2026-03-05", "debit", 1000, "FOOD", "A"), row("a3", "2026-03-06", "debit", 900, "FOOD", "B"), row("a4", "2026-03-07", "debit", 800, "FOOD", "C"), row("b", "2026-01-01", "debit", 5, "BANKING FEES", "Z", user=2)]
+    rows = [row("a0", "2026-01-10", "debit", 10, "FOOD", "A"), row("a1", "2026-02-10", "debit", 400, "FOOD", "A"), row("a2", "2026-02-11", "debit", 300, "FOOD", "A"), row("a3", "2026-02-12", "debit", 300, "FOOD", "A"), row("a4", "2026-03-05", "debit", 1000, "FOOD", "A"), row("a5", "2026-03-06", "debit", 900, "FOOD", "B"), row("a6", "2026-03-07", "debit", 800, "FOOD", "C"), row("b", "2026-01-01", "debit", 5, "BANKING FEES", "Z", user=2)]
     ledger = spark.createDataFrame(rows, COLUMNS)
-    netted = refunds.netted(ledger)
-    found = ledger.where("id = 'a4'").select("user_id", "id", "category", F.col("amount").cast("double").alias("amount"))
-    got = [(r.user_id, r.id, r.severity, r.value) for r in insights.insights(ledger, netted, found, dt.date(2026, 3, 15)).orderBy("user_id", "place").collect()]
-    assert got == [(1, "category:FOOD", "warning", 1700.0), (1, "spending:total", "warning", 1700.0), (1, "unusual:a4", "warning", 800.0), (2, "stale:ledger", "info", 73.0)]
+    linked = refunds.marked(ledger)
+    now, then = compare.comparable("month", dt.date(2026, 3, 15))
+    told = insights.united(insights.stale(linked, dt.date(2026, 3, 15)), insights.spending_change(linked, now, then, "month"), insights.group_changes(refunds.net_rows(linked), "category", now, then), insights.group_changes(refunds.net_rows(linked), "merchant", now, then))
+    got = [(r.user_id, r.id, r.severity, r.value, r.previous) for r in told.orderBy("user_id", "place").collect()]
+    assert got == [(1, "category_spike:FOOD:2026-03-01", "attention", 2700.0, 1000.0), (1, "spending_up:month:2026-03-01", "watch", 2700.0, 1000.0), (2, "stale_data:2026-01-01", "attention", 73.0, None)]
     assert insights.fees(ledger, dt.date(2026, 3, 15)).first().value == 5 and insights.top_category(ledger, compare.Period(dt.date(2026, 3, 1), dt.date(2026, 3, 31))).first().id == "top:FOOD"
