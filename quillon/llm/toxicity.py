@@ -45,6 +45,8 @@ from quillon.llm.jaccard import shingle_sets
 
 PREFIXES = (3, 4, 5, 6)
 BLOCK = 32
+#: Blocks opened at a time, those of the largest bounds first.
+OPENED = 8
 GATE = 1 << 20
 #: Bytes at a time; small enough for the processor's cache.
 FEATURE_SEGMENT = 1 << 18
@@ -174,16 +176,20 @@ class Model:
         # rounded up by far more than the sums' rounding error
         bounds = np.add.reduceat(self.entry_most[entries] * own, first) * (1 + 1e-9) if len(first) else np.zeros(0)
         rows, scores, floor = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for b in np.argsort(-bounds, kind="stable").tolist():
-            if len(rows) >= self.k and bounds[b] < floor:
-                break
-            part = slice(first[b], last[b])
+        best_first = np.argsort(-bounds, kind="stable")
+        for at in range(0, len(blocks), OPENED):
+            opened = best_first[at : at + OPENED]
+            if len(rows) >= self.k:
+                opened = opened[bounds[opened] >= floor]
+                if not len(opened):
+                    break
+            part = _ranges(first[opened], last[opened])
             from_, to = self.entry_start[entries[part]], self.entry_end[entries[part]]
             postings = _ranges(from_, to)
-            base = int(blocks[b]) * BLOCK
-            found = np.bincount(self.posting_row[postings] - base, np.repeat(own[part], to - from_) * self.posting_weight[postings])
-            keep = np.flatnonzero(found > 0)
-            near, found = self.order[base + keep], found[keep]
+            places, which = np.unique(self.posting_row[postings], return_inverse=True)
+            found = np.bincount(which, np.repeat(own[part], to - from_) * self.posting_weight[postings], len(places))
+            near = self.order[places[found > 0]]
+            found = found[found > 0]
             if digest is not None and (same := self.digests[near] == digest).any():
                 near, found = near[~same], found[~same]
             rows, scores = np.concatenate([rows, near]), np.concatenate([scores, found])
