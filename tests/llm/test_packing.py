@@ -13,9 +13,11 @@ from quillon.llm.registry import op1_packing
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+LIBRARY = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def reference_ids(texts):
-    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    return [library.encode(t or "", add_special_tokens=False).ids + [1] for t in texts]
+    return [LIBRARY.encode(t or "", add_special_tokens=False).ids + [1] for t in texts]
 
 
 def check(pieces, docs, window=2048):
