@@ -18,6 +18,8 @@ from quillon.functions.expressions import credit, debit, refund, spending
 from quillon.session import durable
 
 DAYS = 90
+#: Links that are still broadcast to the ledger, about 100 bytes each and twice.
+BROADCAST_LINKS = 200_000
 
 
 def candidates(ledger: DataFrame) -> DataFrame:
@@ -145,12 +147,15 @@ def linked(ledger: DataFrame) -> DataFrame:
     """The ledger with ``refund_for`` of a linked credit and ``refunded`` of its debit, by exclusive links over the whole history.
 
     The links are made once and kept in a checkpoint; both columns come from
-    one join on the row's id.
+    one join on the row's id, by broadcast while the links are few (a checked
+    count), else by a shuffle.
     """
     links = durable(_claims(ledger))
     none = F.lit(None)
     marks = links.select(F.col("user_id").alias("m_user"), F.col("refund_id").alias("m_id"), F.col("debit_id").alias("refund_for"), none.cast("decimal(18,2)").alias("refunded"))
     marks = marks.union(links.select("user_id", "debit_id", none.cast("string"), "given"))
+    if links.limit(BROADCAST_LINKS + 1).count() <= BROADCAST_LINKS:
+        marks = F.broadcast(marks)
     return ledger.join(marks, (F.col("user_id") == F.col("m_user")) & (F.col("id") == F.col("m_id")), "left").drop("m_user", "m_id")
 
 
