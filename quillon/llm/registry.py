@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import ann, exact_topk, html, jaccard, line_dedup, lm_score, mixing, packing, substring_dedup, toxicity
+from quillon.llm import ann, exact_topk, html, jaccard, line_dedup, lm_score, mixing, packing, pii, substring_dedup, toxicity
 from quillon.session import table
 
 SEED = 20
@@ -129,7 +129,13 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
-_QUERIES = {"op1_packing": op1_packing, "op2_ann": op2_ann, "op3_jaccard_join": op3_jaccard_join, "op4_html": op4_html, "op5_line_dedup": op5_line_dedup, "op6_lm_score": op6_lm_score, "op7_substring_dedup": op7_substring_dedup, "op8_mixing": op8_mixing, "op9_toxicity": op9_toxicity, "op10_exact_topk": op10_exact_topk}
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"))
+    counts = [pii.counted(F.col("base"), kind).alias(f"n_{kind}") for kind in ("email", "ip", "card", "phone")]
+    return found.select("doc_id", *counts, F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
+
+
+_QUERIES = {"op1_packing": op1_packing, "op2_ann": op2_ann, "op3_jaccard_join": op3_jaccard_join, "op4_html": op4_html, "op5_line_dedup": op5_line_dedup, "op6_lm_score": op6_lm_score, "op7_substring_dedup": op7_substring_dedup, "op8_mixing": op8_mixing, "op9_toxicity": op9_toxicity, "op10_exact_topk": op10_exact_topk, "op12_pii": op12_pii}
 _SQL = {"op3_jaccard_join": OP3_SQL, "op8_mixing": OP8_SQL, "op10_exact_topk": OP10_SQL}
 
 
