@@ -85,28 +85,28 @@ def string_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return held, at - at[0]
 
 
-def _segments(data: np.ndarray) -> Iterator[tuple[int, int]]:
+def _segments(data: np.ndarray, space: np.ndarray = SPACE) -> Iterator[tuple[int, int]]:
     """Cut points on white space, about SEGMENT bytes apart."""
     at, n = 0, len(data)
     while at < n:
         end = min(at + SEGMENT, n)
-        while end < n and not SPACE[data[end - 1]]:
-            gap = np.flatnonzero(SPACE[data[end : end + SEGMENT]])
+        while end < n and not space[data[end - 1]]:
+            gap = np.flatnonzero(space[data[end : end + SEGMENT]])
             end = end + int(gap[0]) + 1 if len(gap) else min(end + SEGMENT, n)
         yield at, end
         at = end
 
 
-def word_spans(column: pa.Array, fold: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, first byte, end byte of every word in order; index of each text's first word and the end)."""
+def word_spans(column: pa.Array, fold: bool = True, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, first byte, end byte of every word in order; index of each text's first word and the end); space: the bytes between words."""
     data, offsets = string_bytes(column)
     table = _FOLDED if fold else _BYTE
     first = np.zeros(len(data) + 1, bool)
     first[offsets] = True
     hashes, starts, ends = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for a, b in _segments(data):
+    for a, b in _segments(data, space):
         part = data[a:b]
-        solid = ~SPACE[part]
+        solid = ~space[part]
         left = np.empty(len(part), bool)
         left[0] = True
         left[1:] = ~solid[:-1]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import ann, exact_topk, html, jaccard, line_dedup, lm_score, mixing, packing, pii, substring_dedup, toxicity
+from quillon.llm import ann, exact_topk, html, jaccard, lexical, line_dedup, lm_score, mixing, packing, pii, substring_dedup, toxicity, trie
 from quillon.session import table
 
 SEED = 20
@@ -129,14 +129,84 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    taken = F.crc32(F.col("conv_id").cast("string")) % 4
+    return trie.trie(table(spark, sf_dir, "conversations"), F.col("conv_id") - F.col("conv_id") % 20, taken, most=3)
+
+
+#: Nodes by grouping prefixes; subtrees by joining every member's nodes with those below. crc32 is spelled out bit by bit.
+OP11_SQL = """
+WITH turns AS MATERIALIZED (
+  SELECT conv_id, sha256(concat(length(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, ''))) AS k,
+         coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS words, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, k) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL
+), convs AS MATERIALIZED (
+  SELECT conv_id, conv_id - conv_id % 20 AS base, CAST(xor(list_reduce(
+           list_concat([4294967295::BIGINT], list_transform(range(1, length(conv_id::VARCHAR) + 1), lambda i: ascii((conv_id::VARCHAR)[i])::BIGINT)),
+           lambda c, b: list_reduce(list_concat([xor(c, b)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 4 AS BIGINT) AS h
+  FROM (SELECT DISTINCT conv_id FROM turns)
+), parts AS (
+  SELECT c.conv_id, 0 AS part, pos, k, words FROM convs c JOIN turns t ON t.conv_id = base AND pos <= h
+  UNION ALL SELECT conv_id, 1, pos, k, words FROM convs JOIN turns USING (conv_id) WHERE pos > h
+), seq AS (
+  SELECT conv_id, k, words, row_number() OVER (PARTITION BY conv_id ORDER BY part, pos) AS d FROM parts
+), paths AS MATERIALIZED (
+  SELECT conv_id, d, sha256(string_agg(k, '') OVER (PARTITION BY conv_id ORDER BY d)) AS path, words FROM seq
+  UNION ALL SELECT conv_id, 0, '', 0 FROM convs
+), steps AS MATERIALIZED (
+  SELECT *, lag(path) OVER (PARTITION BY conv_id ORDER BY d) AS above, max(d) OVER (PARTITION BY conv_id) AS length FROM paths
+), nodes AS MATERIALIZED (
+  SELECT d, path, min(above) AS above, min(conv_id) AS conv_id, count(*) AS n, min(words) AS words,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE length = d), '')) AS ends
+  FROM steps GROUP BY d, path
+), kids AS (
+  SELECT d, above AS path, count(*) AS kids FROM nodes WHERE d > 0 GROUP BY d, above
+), below AS (
+  SELECT DISTINCT a.d, a.path, b.d AS d2, b.path AS path2 FROM paths a JOIN paths b ON a.conv_id = b.conv_id AND b.d >= a.d
+), sums AS (
+  SELECT below.d, below.path, count(*) FILTER (WHERE kids.path IS NULL) AS leaves, CAST(sum((nodes.n - 1) * nodes.words) AS BIGINT) AS saved
+  FROM below JOIN nodes ON nodes.d = d2 AND nodes.path = path2 LEFT JOIN kids ON kids.d = d2 + 1 AND kids.path = path2 GROUP BY ALL
+)
+SELECT x.conv_id, CAST(x.d AS BIGINT) AS depth, p.conv_id AS parent_conv_id, x.n AS n_convs, coalesce(kids, 0) AS n_children, leaves AS n_leaves, saved AS saved_tokens, x.ends AS ends_sha256
+FROM nodes x LEFT JOIN nodes p ON p.d = x.d - 1 AND p.path = x.above LEFT JOIN kids ON kids.d = x.d + 1 AND kids.path = x.path JOIN sums ON sums.d = x.d AND sums.path = x.path
+"""
+
+
 def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents"))
     counts = [pii.counted(F.col("base"), kind).alias(f"n_{kind}") for kind in ("email", "ip", "card", "phone")]
     return found.select("doc_id", *counts, F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
 
 
-_QUERIES = {"op1_packing": op1_packing, "op2_ann": op2_ann, "op3_jaccard_join": op3_jaccard_join, "op4_html": op4_html, "op5_line_dedup": op5_line_dedup, "op6_lm_score": op6_lm_score, "op7_substring_dedup": op7_substring_dedup, "op8_mixing": op8_mixing, "op9_toxicity": op9_toxicity, "op10_exact_topk": op10_exact_topk, "op12_pii": op12_pii}
-_SQL = {"op3_jaccard_join": OP3_SQL, "op8_mixing": OP8_SQL, "op10_exact_topk": OP10_SQL}
+def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP13_SQL = """
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents
+), q AS MATERIALIZED (
+  SELECT item, item_id, term, count(*) AS times FROM (
+    SELECT row_number() OVER () AS item, item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+  ) GROUP BY ALL
+), stats AS (
+  SELECT count(*) AS n_docs, CAST(sum(len(t)) AS BIGINT) AS n_terms FROM d WHERE len(t) > 0
+), tf AS MATERIALIZED (
+  SELECT r, doc_id, n, term, count(*) AS tf FROM (SELECT r, doc_id, len(t) AS n, unnest(t) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL
+), w AS (
+  SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, stats GROUP BY term, n_docs
+), scores AS (
+  SELECT item, item_id, r, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+  FROM q JOIN tf USING (term) JOIN w USING (term), stats GROUP BY ALL
+), ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank FROM scores WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 20
+"""
+
+
+_QUERIES = {"op1_packing": op1_packing, "op2_ann": op2_ann, "op3_jaccard_join": op3_jaccard_join, "op4_html": op4_html, "op5_line_dedup": op5_line_dedup, "op6_lm_score": op6_lm_score, "op7_substring_dedup": op7_substring_dedup, "op8_mixing": op8_mixing, "op9_toxicity": op9_toxicity, "op10_exact_topk": op10_exact_topk, "op11_prefix_trie": op11_prefix_trie, "op12_pii": op12_pii, "op13_lexical": op13_lexical}
+_SQL = {"op3_jaccard_join": OP3_SQL, "op8_mixing": OP8_SQL, "op10_exact_topk": OP10_SQL, "op11_prefix_trie": OP11_SQL, "op13_lexical": OP13_SQL}
 
 
 def queries() -> dict:
