@@ -56,26 +56,6 @@ def id_keys(*texts: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(runs, lambda r: F.ltrim(r, F.lit("0"))), lambda r: F.length(r) >= 10))
 
 
-def shared_id_matches(incoming: DataFrame, existing: DataFrame) -> DataFrame:
-    """Rows (user_id, id, direction, amount, date, ids) of two sources that share an id: matched where they agree and are
-    at most two days apart, else potential; each row in one match, the surest and then nearest first.
-
-    Ids are exploded and meet in an equi-join. The choice is mutual: a pair
-    stays if it is the best of both its rows, so no order of rows matters.
-    """
-    def exploded(frame: DataFrame, name: str) -> DataFrame:
-        return frame.select("user_id", F.explode("ids").alias("key"), F.struct("id", "direction", "amount", "date").alias(name))
-
-    met = exploded(incoming, "a").join(exploded(existing, "b"), ["user_id", "key"]).select("user_id", "a", "b").distinct()
-    gap = F.abs(F.datediff("a.date", "b.date"))
-    agree = (F.col("a.direction") == F.col("b.direction")) & (F.col("a.amount") == F.col("b.amount")) & (gap <= 2)
-    rated = met.withColumn("confidence", F.when(agree & (gap <= 1), 0.99).when(agree, 0.95).otherwise(0.5)).withColumn("gap", gap)
-    order = (F.desc("confidence"), "gap", "a.id", "b.id")
-    best = rated.withColumns({"x": F.row_number().over(Window.partitionBy("user_id", "a.id").orderBy(*order)), "y": F.row_number().over(Window.partitionBy("user_id", "b.id").orderBy(*order))})
-    status = F.when(F.col("confidence") > 0.5, "matched").otherwise("potential")
-    return best.where("x = 1 AND y = 1").select("user_id", F.col("a.id").alias("incoming"), F.col("b.id").alias("existing"), status.alias("status"), "confidence")
-
-
 def primaries(rows: DataFrame, priority: dict[str, int]) -> DataFrame:
     """One primary row per event (user_id, event_id): the source of highest priority, then the smallest id."""
     rank = F.coalesce(*[F.when(F.col("source") == s, p) for s, p in priority.items()], F.lit(99))
@@ -95,13 +75,6 @@ def near_rows(batch: DataFrame, ledger: DataFrame, source: str, days: int = 3) -
     return ledger.where(F.col("source") != source).join(spans, "user_id").where("date BETWEEN from_day AND to_day").drop("from_day", "to_day")
 
 
-def merged(rows: DataFrame, matches: DataFrame) -> DataFrame:
-    """``rows`` after matches (user_id, incoming, existing, status): a matched row joins the payment of the other, a potential one is marked."""
-    joins = matches.alias("m").join(rows.alias("r"), (F.col("m.user_id") == F.col("r.user_id")) & (F.col("m.existing") == F.col("r.id"))).select(F.col("m.user_id").alias("j_user"), F.col("m.incoming").alias("j_id"), F.col("r.event_id").alias("j_event"), F.col("m.status").alias("match"))
-    out = rows.join(joins, (F.col("user_id") == F.col("j_user")) & (F.col("id") == F.col("j_id")), "left")
-    return out.withColumn("event_id", F.when(F.col("match") == "matched", F.col("j_event")).otherwise(F.col("event_id"))).drop("j_user", "j_id", "j_event")
-
-
 def provenance(rows: DataFrame, statements: DataFrame) -> DataFrame:
     """All rows of each payment with their statement (statement_id, name), the primary row first."""
     place = F.row_number().over(Window.partitionBy("user_id", "event_id").orderBy(F.desc("is_primary"), "id"))

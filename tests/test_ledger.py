@@ -252,15 +252,9 @@ def test_wallet_reconciliation(spark):
     assert {r.statement_id: r.status for r in statements.reconcile_wallet(frame, printed).collect()} == {"a": "reconciled", "b": "requires_review", "c": "mismatch", "d": "no_summary"}
 
 
-def test_shared_ids(spark):
+def test_id_keys(spark):
     keys = spark.createDataFrame([("ref 000123456789012 x", "123456789012"), ("none", None)], "a string, b string").select(imports.id_keys(F.col("a"), F.col("b"))).collect()
     assert [r[0] for r in keys] == [["123456789012"], []]
-    schema = "user_id long, id string, direction string, amount double, date date, ids array<string>"
-    day = dt.date(2026, 1, 5)
-    a = spark.createDataFrame([(1, "a1", "debit", 10.0, day, ["k1"]), (1, "a2", "debit", 9.0, day, ["k2"]), (1, "a3", "debit", 7.0, day, ["k3", "k1"])], schema)
-    b = spark.createDataFrame([(1, "b1", "debit", 10.0, day + dt.timedelta(1), ["k1"]), (1, "b2", "credit", 9.0, day, ["k2"]), (2, "b3", "debit", 7.0, day, ["k3"])], schema)
-    got = {(r.incoming, r.existing, r.status, r.confidence) for r in imports.shared_id_matches(a, b).collect()}
-    assert got == {("a1", "b1", "matched", 0.99), ("a2", "b2", "potential", 0.5)}
 
 
 def test_unusual_activity(spark):
