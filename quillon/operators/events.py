@@ -60,7 +60,10 @@ def _name(id_: Column) -> Column:
 
 
 def _joined_in_order(crowded: DataFrame) -> DataFrame:
-    """(user_id, id, event): groups in which a source occurs twice, link by link; a group is one sorted stream."""
+    """(user_id, id, event): groups in which a source occurs twice, link by link; a group is one sorted stream.
+
+    crowded is a written frame: Spark drops a repartition by a join's own key, and may then turn the join into one without it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, event, sources = None, {}, {}
@@ -118,7 +121,7 @@ def identities(rows: DataFrame, holding: DataFrame) -> DataFrame:
     ends = _ends(linked, "root").distinct()
     crowd = ends.groupBy("user_id", "root", "source").agg(F.count("*").alias("n")).groupBy("user_id", "root").agg((F.max("n") > 1).alias("crowded"))
     plain = ends.join(crowd.where("NOT crowded"), ["user_id", "root"]).select("user_id", "id", F.element_at(F.split("root", "\u0001"), -1).alias("event"))
-    return durable(pairs.unionByName(plain).unionByName(_joined_in_order(linked.join(crowd.where("crowded").drop("crowded"), ["user_id", "root"]))))
+    return durable(pairs.unionByName(plain).unionByName(_joined_in_order(durable(linked.join(crowd.where("crowded").drop("crowded"), ["user_id", "root"])))))
 
 
 def events(rows: DataFrame, matches: DataFrame, decisions: DataFrame, priority: dict[str, int]) -> DataFrame:

@@ -136,7 +136,8 @@ def shared_id_matches(incoming: DataFrame, existing: DataFrame) -> DataFrame:
     """
     rows = durable(_grouped(incoming, existing))
     asking = rows.where("comes = 1").groupBy("user_id", "group").agg(F.count("*").alias("asking"))
-    rows = rows.join(asking, ["user_id", "group"])
+    # written before it is dealt out: Spark drops a repartition by a join's own key, and may then turn the join into one without it
+    rows = durable(rows.join(asking, ["user_id", "group"]))
     met = _chosen_alone(rows.where("asking = 1")).unionByName(_chosen_in_turn(rows.where("asking > 1").drop("asking")))
     sure = F.when(~F.col("agrees"), UNSURE).when(F.col("gap") <= SURE_DAYS, SURE).otherwise(LATE)
     return met.select("user_id", "incoming", "existing", F.when(F.col("agrees"), "matched").otherwise("potential").alias("status"), sure.alias("confidence"))
