@@ -38,13 +38,14 @@ LEDGER = T.StructType(
 CATEGORY_OF = {"ECONOMY": "FOOD", "SMALL": "GROCERIES", "MEDIUM": "SHOPPING", "PROMO": "ENTERTAINMENT", "STANDARD": "TRANSFERS", "LARGE": "INVESTMENTS"}
 
 
-def from_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+def from_lineitem(spark: SparkSession, sf_dir: str, items: DataFrame | None = None) -> DataFrame:
     """A ledger of line items: suppliers are users, brands merchants, returns credits.
 
     Parts and orders join by key; Spark broadcasts them only under its own
-    size threshold. The id is a hash of the row's content.
+    size threshold. The id is a hash of the row's content. items: the line
+    items, if not the whole table; they may be a stream.
     """
-    items = table(spark, sf_dir, "lineitem")
+    items = table(spark, sf_dir, "lineitem") if items is None else items
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", "p_name")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
     money = F.col("l_extendedprice").cast(MONEY)
