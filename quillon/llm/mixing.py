@@ -69,28 +69,28 @@ def sample(docs: DataFrame, size: Column, share: float = 1.5, cap: float = 2.0,
     kept = ["whole_row"] if whole else []
     row = [F.struct(*docs.columns).alias("whole_row"), F.xxhash64(*docs.columns).alias("row_hash")] if whole else []
     bucket = F.coalesce(F.pmod("doc_id", F.lit(BUCKETS)), F.lit(-1))
-    sized = docs.select("doc_id", "source", size.alias("size"), bucket.alias("bucket"), *row)
-    groups = sized.groupBy("source", "size", "bucket").agg(F.count("*").alias("n"))
+    # one name for each source, the null one too, so that plain keys serve the joins and the window, and whole rows are shuffled once
+    name = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
+    sized = docs.select("doc_id", "source", name.alias("source_name"), size.alias("size"), bucket.alias("bucket"), *row)
+    groups = sized.groupBy("source_name", "source", "size", "bucket").agg(F.count("*").alias("n"))
     # sizes first (one row each), then buckets within a size: both windows hold pre-aggregated rows
-    by_size = groups.groupBy("source", "size").agg(F.sum("n").alias("n"))
-    earlier = Window.partitionBy("source").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
-    before_size = by_size.select("source", "size", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before_size"))
-    within = Window.partitionBy("source", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    in_size = groups.select("source", "size", "bucket", F.coalesce(F.sum("n").over(within), F.lit(0)).alias("before_bucket"))
-    aim = targets(by_size.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size")), share, cap, weights)
-    first = in_size.alias("a").join(before_size.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a.size") == F.col("b.size")))
-    first = first.select("a.source", "a.size", "a.bucket", (F.col("before_size") + F.col("before_bucket")).alias("before"))
-    first = first.alias("f").join(aim.alias("t"), F.col("f.source").eqNullSafe(F.col("t.source"))).select("f.*", "t.source_size", "t.target")
+    by_size = groups.groupBy("source_name", "source", "size").agg(F.sum("n").alias("n"))
+    earlier = Window.partitionBy("source_name").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
+    before_size = by_size.select("source_name", "size", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before_size"))
+    key = ["source_name", "size", "bucket"]
+    within = Window.partitionBy("source_name", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    in_size = groups.select(*key, F.coalesce(F.sum("n").over(within), F.lit(0)).alias("before_bucket"))
+    aim = targets(by_size.groupBy("source_name", "source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size")), share, cap, weights)
+    aim = aim.select(F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")).alias("source_name"), "source_size", "target")
+    first = in_size.join(before_size, ["source_name", "size"]).select(*key, (F.col("before_size") + F.col("before_bucket")).alias("before")).join(aim, "source_name")
     # rows that share an id stand in the order of their content, so the mix doesn't depend on how rows are spread
-    nth = F.row_number().over(Window.partitionBy("source", "size", "bucket").orderBy("doc_id", *(["row_hash"] if whole else [])))
-    ranked = sized.withColumn("nth", nth).alias("d").join(
-        first.alias("f"), F.col("d.source").eqNullSafe(F.col("f.source")) & (F.col("d.size") == F.col("f.size")) & (F.col("d.bucket") == F.col("f.bucket"))
-    )
+    nth = F.row_number().over(Window.partitionBy(*key).orderBy("doc_id", *(["row_hash"] if whole else [])))
+    ranked = sized.join(first, key).withColumn("nth", nth)
     rank = F.col("before") + F.col("nth")
     expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     offset = F.lit(offset_of(seed))
     copies = F.floor(expected * rank + offset) - F.floor(expected * (rank - 1) + offset)
-    return ranked.select("d.doc_id", "d.source", "d.size", "f.source_size", "f.target", copies.alias("copies"), *[f"d.{c}" for c in kept])
+    return ranked.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), *kept)
 
 
 def mix(docs: DataFrame, size: Column | None = None, **options: object) -> DataFrame:
