@@ -101,15 +101,23 @@ def parse_amount(text: Column) -> tuple[Column, Column]:
     return value, F.when(value.isNotNull(), F.when(minus, -1).otherwise(1))
 
 
+MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
+
+
 def parse_date(text: Column) -> Column:
-    """A statement's date in one of seven layouts, null if it is no real day; two-digit years from 70 are 19xx."""
-    clean = F.trim(text)
-    short = F.regexp_extract(clean, r"^(\d{1,2})[/.-](\d{1,2})[/.-](\d{2})$", 0) != ""
-    parts = F.split(clean, "[/.-]")
-    year = F.when(parts[2].try_cast("int") >= 70, F.concat(F.lit("19"), parts[2])).otherwise(F.concat(F.lit("20"), parts[2]))
-    long_year = F.when(short, F.try_to_date(F.concat_ws("/", parts[0], parts[1], year), "d/M/yyyy"))
-    layouts = ("d/M/yyyy", "d-M-yyyy", "d.M.yyyy", "yyyy-MM-dd", "d MMM yyyy", "d-MMM-yyyy", "d MMM, yyyy")
-    return F.coalesce(long_year, *[F.try_to_date(clean, x) for x in layouts])
+    """A statement's date, null if it is no real day: day, month as a number or a name, year; or year-month-day.
+
+    Two-digit years from 70 are 19xx. Of a month's name the first three letters count.
+    """
+    clean = F.trim(F.replace(text, F.lit(","), F.lit("")))
+    numbers, names = r"^(\d{1,2})[/.\-](\d{1,2})[/.\-](\d{2}|\d{4})$", r"^(\d{1,2})[\s\-/]([A-Za-z]{3,9})[\s\-/]*(\d{2}|\d{4})$"
+    at = F.instr(F.lit(MONTHS), F.lower(F.substring(F.regexp_extract(clean, names, 2), 1, 3)))
+    month = F.when(clean.rlike(numbers), F.regexp_extract(clean, numbers, 2)).when(clean.rlike(names) & (at % 3 == 1), ((at + 2) / 3).cast("int").cast("string"))
+    part = lambda i: F.when(clean.rlike(numbers), F.regexp_extract(clean, numbers, i)).otherwise(F.regexp_extract(clean, names, i))
+    short = part(3)
+    year = F.when(F.length(short) == 4, short).when(short >= "70", F.concat(F.lit("19"), short)).otherwise(F.concat(F.lit("20"), short))
+    day_first = F.when(month.isNotNull(), F.try_to_date(F.concat_ws("-", year, month, part(1)), "yyyy-M-d"))
+    return F.coalesce(day_first, F.when(clean.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(clean, "yyyy-MM-dd")))
 
 
 def masked(text: Column) -> Column:

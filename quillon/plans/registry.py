@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.plans import activity_queries, event_queries, import_queries, ledger_queries, stream_queries
+from quillon.plans import activity_queries, event_queries, import_queries, ledger_queries, statement_queries, stream_queries
 
-_ADDED = (activity_queries, import_queries, event_queries, stream_queries)  # modules that add their queries to the same table
+_ADDED = (activity_queries, import_queries, event_queries, statement_queries, stream_queries)  # modules that add their queries to the same table
 
 
 def queries() -> dict[str, ledger_queries.Query]:

@@ -89,8 +89,8 @@ def test_amounts_dates_and_masks(spark):
     value, sign = X.parse_amount(F.col("t"))
     got = [(float(r.v) if r.v is not None else None, r.s) for r in texts.select(value.alias("v"), sign.alias("s")).collect()]
     assert got == [(123456.7, 1), (500.0, -1), (12.0, 1), (75.5, -1), (3.0, -1), (None, None), (None, None)]
-    days = spark.createDataFrame([("05/03/26",), ("5-3-2026",), ("2026-03-05",), ("31/02/26",), ("05/03/71",), ("5 Mar 2026",), ("x",)], "t string")
-    assert [r.d and r.d.isoformat() for r in days.select(X.parse_date(F.col("t")).alias("d")).collect()] == ["2026-03-05", "2026-03-05", "2026-03-05", None, "1971-03-05", "2026-03-05", None]
+    days = spark.createDataFrame([("05/03/26",), ("5-3-2026",), ("2026-03-05",), ("31/02/26",), ("05/03/71",), ("5 Mar 2026",), ("5-Sept-26",), ("7 august, 1971",), ("5 Xyz 26",), ("x",)], "t string")
+    assert [r.d and r.d.isoformat() for r in days.select(X.parse_date(F.col("t")).alias("d")).collect()] == ["2026-03-05", "2026-03-05", "2026-03-05", None, "1971-03-05", "2026-03-05", "2026-09-05", "1971-08-07", None, None]
     secret = spark.createDataFrame([("mail me@x.co or me.you@okbank, HDFC0123456 ref 123456789012 ok 12345",)], "t string")
     assert secret.select(X.masked(F.col("t"))).first()[0] == "mail [email] or [handle], [code] ref [number] ok 12345"
     cells = spark.createDataFrame([("=1+1",), ("-5.20",), ('a,"b"',), (None,)], "t string")
