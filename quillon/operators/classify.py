@@ -8,11 +8,12 @@ history.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import narration as N
 from quillon.functions.expressions import merchant_key, narration_key
+from quillon.operators import rules
 
 #: Our own rule table: words of a merchant's name, its category and subcategory, confidence.
 MERCHANTS = (
@@ -92,6 +93,19 @@ def keyword_step(text: Column, direction: Column) -> Column:
     return F.coalesce(*[F.when(padded.contains(f" {KEYWORDS[k][0]} ") & (F.lit(True) if KEYWORDS[k][1] is None else direction == KEYWORDS[k][1]), _hit(*KEYWORDS[k][2:], "keyword")) for k in order])
 
 
+def rule_table(spark: SparkSession, rules: tuple, whole: bool) -> DataFrame:
+    """A tuple of rules like ``MERCHANTS`` or ``KEYWORDS`` as a table for classify()."""
+    rows = [(k, r[0], whole, r[1] if len(r) == 5 else None, *r[-3:]) for k, r in enumerate(rules)]
+    return spark.createDataFrame(rows, "ord long, pattern string, whole boolean, direction string, category string, subcategory string, confidence double")
+
+
+def _merchant_rule(credit: Column) -> Column:
+    """As merchant_step, of the rule found in a table."""
+    rule = F.col("_merchant_rule")
+    back = _hit("REFUNDS", "Refund", F.least(rule["confidence"], F.lit(0.85)), "merchant")
+    return F.when(rule.isNotNull(), F.when(credit & rule["category"].isin(*SPENT_ON), back).otherwise(_hit(rule["category"], rule["subcategory"], rule["confidence"], "merchant")))
+
+
 def structural_step(kind: Column, text: Column, credit: Column) -> Column:
     """What the narration's form alone tells: cash, reversals, fees, interest, salary, rent, instalments."""
     d = F.upper(text)
@@ -111,16 +125,22 @@ def structural_step(kind: Column, text: Column, credit: Column) -> Column:
     )
 
 
-def classify(rows: DataFrame, overrides: DataFrame | None = None, history: DataFrame | None = None) -> DataFrame:
+def classify(rows: DataFrame, overrides: DataFrame | None = None, history: DataFrame | None = None, merchant_rules: DataFrame | None = None, keyword_rules: DataFrame | None = None) -> DataFrame:
     """rows with category, subcategory, confidence, method.
 
     rows: canonical_merchant(), or any with user_id, merchant, type,
     description, counterparty, direction, amount, gateway, refund_hint.
     overrides: (user_id, key, category, subcategory), the user's own
     corrections; history: (user_id, key, category, subcategory, n, confidence),
-    what the user's ledger says.
+    what the user's ledger says. merchant_rules, keyword_rules: tables as
+    ``rules.matched`` takes them, instead of the short ones of this module: the
+    first merchant rule and the surest keyword rule that hit.
     """
     out = rows.withColumn("_key", merchant_key(F.col("merchant")))
+    if merchant_rules is not None:
+        out = rules.matched(out, merchant_key(F.coalesce("counterparty", "merchant")), F.col("direction"), merchant_rules, "first", "_merchant_rule")
+    if keyword_rules is not None:
+        out = rules.matched(out, narration_key(N.keyword_text(F.col("counterparty"), F.col("description"))), F.col("direction"), keyword_rules, "surest", "_keyword_rule")
     credit, kind, text, party = F.col("direction") == "credit", F.col("type"), F.col("description"), F.col("counterparty")
     steps = []
     if overrides is not None:
@@ -129,7 +149,7 @@ def classify(rows: DataFrame, overrides: DataFrame | None = None, history: DataF
         steps.append(F.when(F.col("o_category").isNotNull(), _hit(F.col("o_category"), F.col("o_sub"), 0.99, "user")))
     steps.append(structural_step(kind, text, credit))
     steps.append(F.when(F.col("gateway"), F.when(credit & F.col("refund_hint"), _hit("REFUNDS", "Refund", 0.7, "rule")).otherwise(_hit("NEEDS_REVIEW", "Unresolved", 0.3, "rule"))))
-    steps.append(merchant_step(F.coalesce("counterparty", "merchant"), credit))
+    steps.append(merchant_step(F.coalesce("counterparty", "merchant"), credit) if merchant_rules is None else _merchant_rule(credit))
     if history is not None:
         best = history.groupBy("user_id", "key").agg(F.max_by(F.struct("category", "subcategory", "n", "confidence"), F.struct("n", "confidence", "category")).alias("h"))
         out = out.join(best.select(F.col("user_id").alias("h_user"), F.col("key").alias("h_key"), "h"), (F.col("user_id") == F.col("h_user")) & (F.col("_key") == F.col("h_key")), "left")
@@ -138,7 +158,8 @@ def classify(rows: DataFrame, overrides: DataFrame | None = None, history: DataF
     human, titled = N.person(party, BUSINESS)
     related = F.coalesce(party.rlike(FAMILY), F.lit(False)) | text.rlike(FAMILY)
     steps.append(F.when(rail & human, F.when(related, _hit("TRANSFERS", "Family", 0.8, "rule")).otherwise(_hit("TRANSFERS", "Person Transfer", F.when(titled, 0.72).otherwise(0.62), "rule"))))
-    steps.append(keyword_step(N.keyword_text(party, text), F.col("direction")))
+    found = F.col("_keyword_rule")
+    steps.append(keyword_step(N.keyword_text(party, text), F.col("direction")) if keyword_rules is None else F.when(found.isNotNull(), _hit(found["category"], found["subcategory"], found["confidence"], "keyword")))
     steps.append(F.when(rail & F.coalesce(party.rlike(FAMILY), F.lit(False)), _hit("TRANSFERS", "Family", 0.8, "rule")))
     steps.append(F.when(rail & credit & F.col("refund_hint"), _hit("REFUNDS", "Refund", 0.8, "rule")))
     company = rail & credit & kind.isin("NEFT", "RTGS") & party.isNotNull()
