@@ -55,3 +55,21 @@ def test_wrap_width_and_joins(spark):
 
 def test_no_items(spark):
     assert layout.printed_rows(spark.createDataFrame([], ITEMS)).count() == 0
+
+
+def test_subset_sums_equal_all_subsets(spark):
+    import itertools
+    import random
+
+    from quillon.operators import statements
+
+    rng = random.Random(7)
+    rows = []
+    for n in (0, 1, 2, 5, 9, 16, 16):
+        amounts = [rng.randrange(1, 5000) / 100 for _ in range(n)]
+        sums = {round(sum(c), 2) for k in range(1, n + 1) for c in itertools.combinations(amounts, k)}
+        some = rng.sample(sorted(sums), min(3, len(sums)))
+        rows += [(amounts, gap, gap in sums) for gap in [*some, 0.01, round(sum(amounts) + 0.01, 2)]]
+    frame = spark.createDataFrame(rows, "amounts array<double>, gap double, want boolean")
+    got = frame.select(statements._explains(F.col("amounts"), F.col("gap")).alias("got"), "want").collect()
+    assert all(r.got == r.want for r in got) and {r.want for r in got} == {True, False}
