@@ -132,6 +132,12 @@ def category_trend(ledger: DataFrame, grain: str, top: int) -> DataFrame:
     return spent.join(named, ["user_id", "category"]).groupBy("user_id", "period", "name").agg(F.sum("amount").cast("double").alias("amount"))
 
 
+def zero_filled(series: DataFrame, name: str, *values: str) -> DataFrame:
+    """A long series (user_id, period, name, ...) with a row of zeros wherever a user has the period and the name, but not both."""
+    periods, names = (series.select("user_id", c).distinct() for c in ("period", name))
+    return periods.join(names, "user_id").join(series, ["user_id", "period", name], "left").na.fill(0.0, list(values)).select(*series.columns)
+
+
 def category_trend_wide(ledger: DataFrame, grain: str, categories: list[str]) -> DataFrame:
     """One row a period with a zero-filled column for each category."""
     spent = ledger.where(spending()).groupBy("user_id", bucket(on(), grain).alias("period")).pivot("category", categories).agg(F.sum(F.col("amount")).cast("double"))

@@ -97,15 +97,14 @@ def members(ledger: DataFrame, series: DataFrame) -> DataFrame:
     return candidates(ledger).join(series.select(*KEYS), KEYS, "left_semi").select("user_id", "id")
 
 
-def refreshed_flags(ledger: DataFrame, series: DataFrame, sure: float = 0.55) -> DataFrame:
+def refreshed_flags(ledger: DataFrame, series: DataFrame, as_of: Column, sure: float = 0.55) -> DataFrame:
     """The ledger with ``is_recurring`` as the detected series say, and rows left unclassified put among subscriptions.
 
     A row of category OTHER is promoted if its merchant, taken by itself, pays
     as regularly and as evenly as a fixed series of confidence ``sure``.
     """
     plain = ledger.where(debit() & (F.col("category") == "OTHER"))
-    last = plain.agg(F.max("date")).first()[0]
-    hidden = detect(plain.withColumn("category", F.lit("SUBSCRIPTIONS")), F.lit(last)).where((F.col("confidence") >= sure) & (F.col("pattern") == "fixed")).select("user_id", "series", F.lit(True).alias("promoted"))
+    hidden = detect(plain.withColumn("category", F.lit("SUBSCRIPTIONS")), as_of).where((F.col("confidence") >= sure) & (F.col("pattern") == "fixed")).select("user_id", "series", F.lit(True).alias("promoted"))
     flagged = members(ledger, series.where((F.col("direction") == "debit") & ~F.col("ended"))).withColumn("flag", F.lit(True))
     rows = ledger.withColumn("series", F.lower("merchant")).join(flagged, ["user_id", "id"], "left").join(hidden, ["user_id", "series"], "left")
     up = F.col("promoted").isNotNull() & debit() & (F.col("category") == "OTHER")

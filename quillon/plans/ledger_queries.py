@@ -158,7 +158,13 @@ over_ledger(
 over_netted("agg_category_spend", f"SELECT user_id, category, CAST(a AS DOUBLE) AS amount, n, floor(CAST(a AS DOUBLE) / n * 100 + 0.5) / 100 AS average, {PCT.format('a', 'sum(a) OVER (PARTITION BY user_id)')} AS share FROM (SELECT user_id, category, sum(net) AS a, count(*) AS n FROM netted GROUP BY ALL)", lambda t, n: aggregates.category_spend(n))
 over_netted("agg_category_tree", "SELECT user_id, category, CAST(sum(a) AS DOUBLE) AS amount, string_agg(subcategory || '=' || CAST(a AS VARCHAR), ';' ORDER BY a DESC, subcategory) AS subcategories FROM (SELECT user_id, category, subcategory, CAST(sum(net) AS DECIMAL(28,2)) AS a FROM netted GROUP BY ALL) GROUP BY ALL", lambda t, n: aggregates.category_tree(n))
 over_netted("agg_merchant_spend", "SELECT user_id, merchant, CAST(sum(a) AS DOUBLE) AS amount, CAST(sum(n) AS BIGINT) AS n, floor(CAST(sum(a) AS DOUBLE) / sum(n) * 100 + 0.5) / 100 AS average, max(last_date) AS last_date, max(CASE WHEN k = 1 THEN category END) AS category FROM (SELECT *, row_number() OVER (PARTITION BY user_id, merchant ORDER BY a DESC, category) AS k FROM (SELECT user_id, merchant, category, sum(net) AS a, count(*) AS n, max(date) AS last_date FROM netted GROUP BY ALL)) GROUP BY ALL", lambda t, n: aggregates.merchant_spend(n))
-over_ledger("agg_category_trend", f"SELECT user_id, period, name, CAST(sum(a) AS DOUBLE) AS amount FROM (SELECT user_id, strftime(date, '%Y-%m') AS period, category, sum(amount) AS a FROM ledger WHERE {SPENT} GROUP BY ALL) JOIN (SELECT user_id, category, CASE WHEN row_number() OVER (PARTITION BY user_id ORDER BY w DESC, category) <= 2 THEN category ELSE 'OTHER CATEGORIES' END AS name FROM (SELECT user_id, category, sum(amount) AS w FROM ledger WHERE {SPENT} GROUP BY ALL)) USING (user_id, category) GROUP BY ALL", lambda t: aggregates.category_trend(t, "monthly", 2))
+_TREND_SQL = f"SELECT user_id, period, name, CAST(sum(a) AS DOUBLE) AS amount FROM (SELECT user_id, strftime(date, '%Y-%m') AS period, category, sum(amount) AS a FROM ledger WHERE {SPENT} GROUP BY ALL) JOIN (SELECT user_id, category, CASE WHEN row_number() OVER (PARTITION BY user_id ORDER BY w DESC, category) <= 2 THEN category ELSE 'OTHER CATEGORIES' END AS name FROM (SELECT user_id, category, sum(amount) AS w FROM ledger WHERE {SPENT} GROUP BY ALL)) USING (user_id, category) GROUP BY ALL"
+over_ledger("agg_category_trend", _TREND_SQL, lambda t: aggregates.category_trend(t, "monthly", 2))
+over_ledger(
+    "agg_category_trend_filled",
+    f"SELECT user_id, period, name, coalesce(amount, 0e0) AS amount FROM (SELECT DISTINCT user_id, period FROM ({_TREND_SQL})) JOIN (SELECT DISTINCT user_id, name FROM ({_TREND_SQL})) USING (user_id) LEFT JOIN ({_TREND_SQL}) USING (user_id, period, name)",
+    lambda t: aggregates.zero_filled(aggregates.category_trend(t, "monthly", 2), "name", "amount"),
+)
 over_ledger("agg_category_wide", f"SELECT user_id, CAST(year(date) AS VARCHAR) AS period, {sums(FOOD="category = 'FOOD'", GROCERIES="category = 'GROCERIES'", SHOPPING="category = 'SHOPPING'")} FROM ledger WHERE {SPENT} GROUP BY ALL", lambda t: aggregates.category_trend_wide(t, "yearly", ["FOOD", "GROCERIES", "SHOPPING"]))
 over_ledger("agg_income_sources", f"SELECT user_id, kind, CAST(a AS DOUBLE) AS amount, n, {PCT.format('a', 'sum(a) OVER (PARTITION BY user_id)')} AS share FROM (SELECT user_id, CASE WHEN category = 'SALARY/INCOME' THEN subcategory WHEN category = 'REFUNDS' THEN 'Refunds & cashback' WHEN category = 'TRANSFERS' AND subcategory = 'Family' THEN 'Family transfers' WHEN category = 'TRANSFERS' THEN 'Transfers from people' WHEN category = 'INVESTMENTS' THEN 'Investment proceeds' ELSE 'Other credits' END AS kind, sum(amount) AS a, count(*) AS n FROM ledger WHERE direction = 'credit' GROUP BY ALL)", aggregates.income_sources)
 over_ledger("agg_weekday_profile", f"SELECT u.user_id, u.weekday, coalesce(CAST(a AS DOUBLE), 0e0) AS amount, coalesce(n, 0) AS n, coalesce(floor(CAST(a AS DOUBLE) / n * 100 + 0.5) / 100, 0e0) AS average FROM (SELECT DISTINCT user_id, unnest(range(1, 8)) AS weekday FROM ledger) u LEFT JOIN (SELECT user_id, isodow(date) AS weekday, sum(amount) AS a, count(*) AS n FROM ledger WHERE {SPENT} GROUP BY ALL) s USING (user_id, weekday)", aggregates.weekday_profile)

@@ -109,7 +109,7 @@ def test_recurring_series(spark):
     assert found["power"].kind == "AUTOPAY" and found["power"].changed_from == 1650 and not found["landlord"].ended and found["landlord"].changed_from is None
     assert found["stream"].next_date == dt.date(2026, 5, 31) and found["stream"].overdue and not found["stream"].ended
     ledger = spark.createDataFrame(rent + power + food + [row(f"o{k}", f"2026-{k:02}-05", "debit", 300, "OTHER", "Club") for k in range(1, 7)], COLUMNS)
-    flagged = recurring.refreshed_flags(ledger, recurring.detect(ledger, F.lit(dt.date(2026, 6, 30))))
+    flagged = recurring.refreshed_flags(ledger, recurring.detect(ledger, F.lit(dt.date(2026, 6, 30))), F.lit(dt.date(2026, 6, 30)))
     assert {r.id[0]: (r.is_recurring, r.category) for r in flagged.collect()} == {"r": (True, "RENT"), "p": (True, "UTILITIES"), "f": (False, "FOOD"), "o": (True, "SUBSCRIPTIONS")}
 
 
