@@ -35,6 +35,17 @@ def overlapping(statements: DataFrame) -> DataFrame:
     return met.select(F.col("a.user_id").alias("user_id"), F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
 
 
+def rows_held(statements: DataFrame, ledger: DataFrame) -> DataFrame:
+    """user_id, id, held: the ledger's rows within each statement's period (first, last), 0 for none.
+
+    Rows are counted by day first, and days meet periods by month.
+    """
+    days = ledger.groupBy("user_id", "date").agg(F.count("*").alias("n")).withColumn("month", F.trunc("date", "month"))
+    months = statements.withColumn("month", F.explode(F.sequence(F.trunc("first", "month"), F.trunc("last", "month"), F.expr("interval 1 month"))))
+    met = months.join(days, ["user_id", "month"]).where("date BETWEEN first AND last").groupBy("user_id", "id").agg(F.sum("n").alias("held"))
+    return statements.select("user_id", "id").join(met, ["user_id", "id"], "left").na.fill(0, ["held"])
+
+
 def lookalikes(incoming: DataFrame, existing: DataFrame) -> DataFrame:
     """Rows of two sources with one direction, amount and merchant key at most a day apart, unique both ways: possible copies.
 

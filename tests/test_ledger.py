@@ -152,6 +152,8 @@ def test_imports(spark, four):
     assert imports.new_rows(four, four.where("id < 'e'"), "user_id", "id").count() == 4
     statements = spark.createDataFrame([(1, "x", dt.date(2026, 1, 1), dt.date(2026, 1, 31)), (1, "y", dt.date(2026, 1, 31), dt.date(2026, 2, 28)), (1, "z", dt.date(2026, 3, 1), dt.date(2026, 3, 2))], "user_id long, id string, first date, last date")
     assert [tuple(r) for r in imports.overlapping(statements).collect()] == [(1, "x", "y")]
+    days = spark.createDataFrame([(1, dt.date(2026, 1, 31)), (1, dt.date(2026, 1, 31)), (1, dt.date(2026, 2, 5)), (2, dt.date(2026, 3, 1)), (1, None)], "user_id long, date date")
+    assert {r.id: r.held for r in imports.rows_held(statements, days).collect()} == {"x": 2, "y": 3, "z": 0}
     copies = spark.createDataFrame([(1, "e1", "wallet", "a"), (1, "e1", "bank", "b"), (1, "e2", "wallet", "c")], "user_id long, event_id string, source string, id string")
     assert {r.id for r in imports.primaries(copies, {"bank": 0, "wallet": 1}).where("is_primary").collect()} == {"b", "c"}
 
