@@ -17,8 +17,20 @@ others were copied from. The links found so far make components. What is left
 are pairs of different components that share no short list but long ones: they
 need all of T's short part from long lists, which each of the two must have in
 its own prefix and, by counts per list and size, some partner too. Only such
-documents meet again, so no link is lost and a group of thousands of near
-copies does not emit its pairs.
+documents meet again: in a list with fewer than ``long_list`` documents besides
+its largest component, each of these meets all others.
+
+Longer lists, as of many variants of one text that lie just below p percent of
+each other, are taken by references. A list's reference R is its member of most
+such lists; every member X is compared with it and becomes the set of its
+differences from R, of d(X) shingles. For any R, X and Y link when they share
+(d(X) + d(Y) - x - y) / 2 + T differences or more. That is at least 1 unless
+both link with R, and at least d(X) less what two linked texts may differ in,
+x (100 - p) / p. So a prefix of that many differences and one, rare ones first,
+holds a shared one. Lists of differences that are long again (four times
+``long_list``) get references of their own, without the first one, and so on;
+what is left after ``ROUNDS`` gives all its pairs. No link is lost, and a group of near copies, linked or
+not, does not emit its pairs as long as its members differ in different places.
 
 The order needs to know which shingles are frequent; those held by ``often``
 documents or more are broadcast, the most frequent first, at most
@@ -38,11 +50,13 @@ ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
 from pyspark.core.broadcast import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.llm._arrow import gathered, list_column, small_batches, splitmix, sub_batches, word_hashes
@@ -53,13 +67,16 @@ from quillon.session import durable
 PREFIXES = "doc_id long, n int, digest_1 long, digest_2 long, small array<long>, small_often int, large array<long>, large_often int"
 #: A pair (a, b) of a list; or, with a shingle, a posting of document a in a long list that was not known as frequent.
 MET = "a long, b long, light int, need int, star int, shingle long, large byte, n int"
-SETS = "doc_id long, shingles binary"
+SETS = "doc_id long, part long, n int, shingles binary"
+DIFFERENCES = "path long, doc_id long, part long, label long, head long, linked boolean, n int, size int, differences array<long>"
 #: Documents of more shingles count a quarter of them, those with small hashes, which come first in their order; the rest
 #: is counted only for those that hold too few infrequent ones of small hash.
 SMALL = 160
 LOW = np.uint64(1 << 62)
 #: Postings of a frequent shingle that stay one list.
 PART = 200_000
+#: How often long lists of differences get references of their own.
+ROUNDS = 6
 _FACTORS = [np.uint64(x) for x in (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0x9FB21C651E98DF25, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 
 
@@ -279,10 +296,8 @@ def _within(counts: np.ndarray) -> np.ndarray:
     return np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
-def _links(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets reach the overlap, found by binary probes."""
-    ids = pairs.select("a").union(pairs.select("b")).distinct()
-    shared = docs.sparkSession.sparkContext.broadcast(member_filter(ids))
+def _sets(docs: DataFrame, n: int, shared: Broadcast) -> DataFrame:
+    """SETS rows of the documents in the filter ``shared``; part: a digest that tells sets of one id apart."""
 
     def sets(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         ids = np.asarray(batch.column("doc_id").fill_null(0))
@@ -291,8 +306,15 @@ def _links(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame
             return None
         batch = batch.filter(pa.array(keep))
         flat, counts = shingle_sets(batch.column("text"), n)
-        ends = np.cumsum(counts)
-        return _record("doc_id shingles", batch.column("doc_id"), pa.array([flat[e - c : e].tobytes() for e, c in zip(ends, counts, strict=True)], pa.binary()))
+        own = [flat[e - c : e] for e, c in zip(np.cumsum(counts), counts, strict=True)]
+        part = pa.array(np.array([x.sum() for x in own], np.uint64).view(np.int64))
+        return _record("doc_id part n shingles", batch.column("doc_id"), part, pa.array(counts.astype(np.int32)), pa.array([x.tobytes() for x in own], pa.binary()))
+
+    return _by_text(docs, sets, SETS)
+
+
+def _linked(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose whole sets reach the overlap, found by binary probes."""
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -305,37 +327,135 @@ def _links(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame
                 keep.append(bool(len(x)) and 100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    whole = _by_text(docs, sets, SETS)
     x = whole.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
     y = whole.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
-    links = durable(pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(probe, "a long, b long").distinct())
+    return durable(pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(probe, "a long, b long").distinct())
+
+
+def _links(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of documents that link."""
+    shared = docs.sparkSession.sparkContext.broadcast(member_filter(pairs.select("a").union(pairs.select("b")).distinct()))
+    links = _linked(pairs, _sets(docs, n, shared), percent)
     shared.destroy()
     return links
 
 
-def _cross_pairs(hot: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components that share no short list and may still reach the overlap by long ones.
+def _total(percent: int, x, y):
+    """The overlap T that sets of x and y shingles need, as a column."""
+    return F.ceil(percent * (x + y) / (100 + percent) - 1e-9)
+
+
+def _crossing(lists: DataFrame, key: list[str]) -> DataFrame:
+    """The rows of lists that several labels share; main: the most frequent label, rest: the rows of all others."""
+    labels = lists.groupBy(*key, "label").agg(F.count("*").alias("held"))
+    labels = labels.groupBy(*key).agg(F.max(F.struct("held", "label")).alias("most"), F.sum("held").alias("held"))
+    return durable(lists.join(labels.select(*key, F.col("most.label").alias("main"), (F.col("held") - F.col("most.held")).alias("rest")).where("rest > 0"), key))
+
+
+def _met(lists: DataFrame, key: list[str], percent: int) -> DataFrame:
+    """Pairs x, y of different labels and near sizes in a list, once each: those outside the main label meet all others."""
+    x, y = lists.where("label <> main").alias("x"), lists.alias("y")
+    once = (F.col("y.label") == F.col("y.main")) | (F.col("x.doc_id") < F.col("y.doc_id"))
+    near = F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent
+    same = [F.col(f"x.{k}") == F.col(f"y.{k}") for k in key]
+    return x.join(y, reduce(and_, [*same, F.col("x.label") != F.col("y.label"), once, near]))
+
+
+def _pair() -> list[Column]:
+    return [F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")]
+
+
+def _references(lists: DataFrame) -> DataFrame:
+    """(path, head, doc_id, label, head_label): the members of each reference; lists: path, key, doc_id, label."""
+    weight = lists.groupBy("path", "doc_id").agg(F.count("*").alias("lists"))
+    heads = lists.join(weight, ["path", "doc_id"]).groupBy("path", "key").agg(F.max(F.struct("lists", F.bitwise_not("doc_id").alias("first"), "label")).alias("most"))
+    heads = heads.select("path", "key", F.bitwise_not("most.first").alias("head"), F.col("most.label").alias("head_label"))
+    return lists.join(heads, ["path", "key"]).groupBy("path", "head", "doc_id").agg(F.min("label").alias("label"), F.min("head_label").alias("head_label"))
+
+
+def _differences(members: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
+    """DIFFERENCES rows: the members' sets against their reference's; those that link with it get its label."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            linked, size, both = [], [], []
+            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                other = np.concatenate([x[~_is_in(x, y)], y[~_is_in(y, x)]])
+                shared = (len(x) + len(y) - len(other)) // 2
+                linked.append(100 * shared >= percent * (len(x) + len(y) - shared))
+                size.append(len(other))
+                both.append(other)
+            flat = np.concatenate(both).view(np.int64) if both else np.zeros(0, np.int64)
+            label = np.where(linked, np.asarray(batch.column("head_label")), np.asarray(batch.column("label")))
+            yield _record(
+                "path doc_id part label head linked n size differences",
+                batch.column("path"), batch.column("doc_id"), batch.column("part"), pa.array(label), batch.column("head"), pa.array(linked, pa.bool_()), batch.column("n"),
+                pa.array(size, pa.int32()), list_column(flat, np.array(size, np.int64), pa.int64()),
+            )
+
+    members = durable(members)
+    heads = members.select(F.col("head").alias("doc_id")).distinct()
+    one = whole.join(heads, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("part", "shingles")).alias("s")).select(F.col("doc_id").alias("head"), F.col("s.shingles").alias("y"))
+    rows = members.join(whole, "doc_id").join(one, "head").select(F.xxhash64("path", "head").alias("path"), "doc_id", "part", "label", "head", "head_label", "n", F.col("shingles").alias("x"), "y")
+    return durable(rows.mapInArrow(run, DIFFERENCES))
+
+
+def _prefix_of_differences(apart: DataFrame, percent: int) -> DataFrame:
+    """(path, key, doc_id, part, label, n, size, at): each set's rarest differences, as many as may all be another's than a partner's, and one; at: their place from 1."""
+    flat = apart.select("path", "doc_id", "part", "label", "n", "size", F.explode("differences").alias("key"))
+    flat = flat.withColumn("held", F.count("*").over(Window.partitionBy("path", "key")))
+    place = F.row_number().over(Window.partitionBy("path", "doc_id", "part").orderBy("held", "key"))
+    first = flat.withColumn("at", place).where(F.col("at") <= F.floor(F.col("n") * (100 - percent) / percent + 1e-9) + 1)
+    return durable(first.where("held > 1").drop("held"))
+
+
+def _cross_links(docs: DataFrame, hot: DataFrame, labels: DataFrame, tried: DataFrame, n: int, percent: int, long_list: int) -> DataFrame | None:
+    """Links (a, b) between different components that share no short list, found by long ones; None if there are no candidates.
 
     hot: the postings (shingle, large, n, doc_id, often) of long lists; often: how many of them the document has.
     """
     hot = hot.join(labels, hot.doc_id == labels.vertex, "left").select("shingle", "large", "n", "doc_id", "often", F.coalesce("root", "doc_id").alias("label"))
 
     def need(x, y):
-        total = F.ceil(percent * (x + y) / (100 + percent) - 1e-9)
-        return total - F.ceil(F.greatest(x, y) * percent / 100 - 1e-9) + 1
+        return _total(percent, x, y) - F.ceil(F.greatest(x, y) * percent / 100 - 1e-9) + 1
 
     near = F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent
     same = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.large") == F.col("y.large"))
     # per list and size: may any document of that size be a partner?
     sizes = hot.groupBy("shingle", "large", "n").agg(F.max("often").alias("often"), F.min("label").alias("low"), F.max("label").alias("high"))
     other = (F.col("y.low") != F.col("x.label")) | (F.col("y.high") != F.col("x.label"))
-    able = hot.alias("x").join(sizes.alias("y"), same & near & other & (need(F.col("x.n"), F.col("y.n")) <= F.least("x.often", "y.often")))
-    able = able.select("x.*", F.col("y.n").alias("size"))
-    met = able.alias("x").join(
-        hot.alias("y"),
-        same & (F.col("x.size") == F.col("y.n")) & (F.col("x.label") != F.col("y.label")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (need(F.col("x.n"), F.col("y.n")) <= F.col("y.often")),
-    ).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"), need(F.col("x.n"), F.col("y.n")).alias("need"))
-    return met.groupBy("a", "b").agg(F.count("*").alias("n"), F.min("need").alias("need")).where("n >= need").select("a", "b")
+    able = hot.alias("x").join(sizes.alias("y"), same & near & other & (need(F.col("x.n"), F.col("y.n")) <= F.least("x.often", "y.often")), "left_semi")
+    lists = _crossing(able, ["shingle", "large"])
+    few, many = lists.where(F.col("rest") < long_list), lists.where(F.col("rest") >= long_list)
+    met = _met(few, ["shingle", "large"], percent).select(*_pair(), need(F.col("x.n"), F.col("y.n")).alias("need"), F.least("x.often", "y.often").alias("often"))
+    met = met.where("need <= often").groupBy("a", "b").agg(F.count("*").alias("n"), F.min("need").alias("need"))
+    in_many = many.groupBy("doc_id").agg(F.count("*").alias("more"))
+    for side in ("a", "b"):
+        met = met.join(in_many.select(F.col("doc_id").alias(side), F.col("more").alias(f"{side}_more")), side, "left")
+    met = met.where(F.col("n") + F.coalesce(F.least(*(F.coalesce(f"{side}_more", F.lit(0)) for side in "ab")), F.lit(0)) >= F.col("need"))
+    pairs = durable(met.select("a", "b").join(tried, ["a", "b"], "left_anti"))
+    rest = durable(many.select(F.lit(0).cast("long").alias("path"), F.xxhash64("shingle", "large").alias("key"), "doc_id", "label").distinct())
+    ids = durable(pairs.select("a").union(pairs.select("b")).union(rest.select("doc_id")).distinct())
+    if not ids.limit(1).count():
+        return None
+    shared = docs.sparkSession.sparkContext.broadcast(member_filter(ids))
+    whole = durable(_sets(docs, n, shared).where("n > 0").dropDuplicates(["doc_id", "part"]))
+    shared.destroy()
+    links = _linked(pairs, whole, percent)
+    for left in range(ROUNDS - 1, -1, -1):
+        if not rest.limit(1).count():
+            break
+        apart = _differences(_references(rest), whole, percent)
+        lists = _crossing(_prefix_of_differences(apart, percent), ["path", "key"])
+        few = lists.where(F.col("rest") < 4 * long_list) if left else lists
+        # of what two sets share, the rarest leaves room for all that they must share
+        must = F.ceil((F.col("x.size") + F.col("y.size") - F.col("x.n") - F.col("y.n")) / 2 + _total(percent, F.col("x.n"), F.col("y.n")))
+        room = F.least(F.col("x.size") - F.col("x.at"), F.col("y.size") - F.col("y.at")) + 1
+        links = links.union(_linked(_met(few, ["path", "key"], percent).where(room >= must).select(*_pair()).distinct(), whole, percent))
+        links = links.union(apart.where("linked AND doc_id <> head").select(F.col("doc_id").alias("a"), F.col("head").alias("b")))
+        rest = durable(lists.where(F.col("rest") >= 4 * long_list).select("path", "key", "doc_id", "label").distinct() if left else rest.limit(0))
+    return links
 
 
 def _same_id(held: DataFrame, single: DataFrame) -> DataFrame:
@@ -393,12 +513,10 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, often: int =
     tried = durable(pairs.where("star = 1 OR light >= need").select("a", "b"))
     links = _links(docs, tried, n, percent).union(_same_id(held, single))
     labels = components(links)
-    more = durable(_cross_pairs(hot, labels, percent).join(tried, ["a", "b"], "left_anti"))
+    later = _cross_links(docs, hot, labels, tried, n, percent, long_list)
     shared.destroy()
-    if more.limit(1).count():
-        later = _links(docs, more, n, percent)
-        if later.limit(1).count():  # the components found so far stand for their links
-            labels = components(labels.select(F.col("vertex").alias("a"), F.col("root").alias("b")).union(later))
+    if later is not None and later.limit(1).count():  # the components found so far stand for their links
+        labels = components(labels.select(F.col("vertex").alias("a"), F.col("root").alias("b")).union(later))
     # every copy follows the document of its set; rows that share an id share a component
     roots = single.join(labels, single.doc_id == labels.vertex, "left").select("digest_1", "digest_2", F.coalesce("root", "doc_id").alias("component_id"))
     members = rows.join(roots, ["digest_1", "digest_2"], "left")

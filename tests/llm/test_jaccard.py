@@ -105,3 +105,39 @@ def test_components(spark):
             root[a] = root[b] = min(root[a], root[b])
     got = dict(components(spark.createDataFrame(edges, "a long, b long")).collect())
     assert {v: got.get(v, v) for v in root} == root
+
+
+def join_rows(spark, since):
+    """The most rows that one join made in the executions from ``since`` on, by Spark's own metrics."""
+    store, most = spark._jsparkSession.sharedState().statusStore(), 0
+    for i in range(since, int(store.executionsCount())):
+        values, nodes = store.executionMetrics(i), store.planGraph(i).allNodes().iterator()
+        while nodes.hasNext():
+            node = nodes.next()
+            metrics = node.metrics().iterator()
+            while "Join" in node.name() and metrics.hasNext():
+                metric = metrics.next()
+                if metric.name() == "number of output rows" and (value := values.get(metric.accumulatorId())).isDefined():
+                    most = max(most, int(value.get().replace(",", "")))
+    return most
+
+
+def test_variants_below_the_threshold_do_not_meet_in_pairs(spark):
+    """Texts that lack different lines of one original: few link, and no join makes rows for all pairs of them."""
+    rng = random.Random(6)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    lines = [[rng.choice(vocabulary) for _ in range(25)] for _ in range(12)]
+    rows = []
+    for _ in range(400):
+        gone = set(rng.sample(range(12), 3))
+        words = [w for k, line in enumerate(lines) if k not in gone for w in line]
+        for _ in range(2):
+            words[rng.randrange(len(words))] = rng.choice(vocabulary)
+        rows.append(" ".join(words))
+    table = list(enumerate([" ".join(w for line in lines for w in line), *rows]))
+    docs = spark.createDataFrame(table, "doc_id long, text string").repartition(3)
+    want = brute(table, 4, 85)
+    assert 20 < sum(i != c for i, (_, c) in want.items()) < 390
+    since = int(spark._jsparkSession.sharedState().statusStore().executionsCount())
+    assert found(docs, n=4, percent=85) == want
+    assert join_rows(spark, since) < 200_000
